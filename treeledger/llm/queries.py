@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm import chat_format, mixing, va_search
+from treeledger.llm import chat_format, decontaminate, mixing, near_dedup, va_search
 from treeledger.llm.common import read
 
 
@@ -31,6 +31,14 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("shards").alias("draws"))
@@ -75,7 +83,13 @@ from g
 
 
 def queries() -> dict:
-    return {"op1_va_search": op1_va_search, "op5_mixing": op5_mixing, "op9_chat_format": op9_chat_format}
+    return {
+        "op1_va_search": op1_va_search,
+        "op2_decontaminate": op2_decontaminate,
+        "op3_near_dedup": op3_near_dedup,
+        "op5_mixing": op5_mixing,
+        "op9_chat_format": op9_chat_format,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
