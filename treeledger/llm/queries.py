@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm import chat_format, decontaminate, mixing, near_dedup, va_search
-from treeledger.llm.common import read
+from treeledger.llm import chat_format, decontaminate, mixing, near_dedup, quality, toxicity, va_search
+from treeledger.llm.common import crc_fold, read
 
 
 def op1_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,25 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("shards").alias("draws"))
 
 
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return _judged(toxicity.score(docs, model), toxicity.THRESHOLD)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return _judged(quality.score(docs, model), quality.THRESHOLD)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -88,7 +107,9 @@ def queries() -> dict:
         "op2_decontaminate": op2_decontaminate,
         "op3_near_dedup": op3_near_dedup,
         "op5_mixing": op5_mixing,
+        "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
+        "op10_quality": op10_quality,
     }
 
 
