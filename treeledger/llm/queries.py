@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm import chat_format, decontaminate, mixing, near_dedup, quality, toxicity, va_search
+from treeledger.llm import chat_format, decontaminate, html_extract, language_id, mixing, near_dedup, pii, quality, toxicity, va_search
 from treeledger.llm.common import crc_fold, read
 
 
@@ -44,6 +44,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("shards").alias("draws"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read(spark, sf_dir, "pages"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.annotate(read(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+        F.sha2(pii.spans_text("base"), 256).alias("base_sha256"), pii.spans_text("spans").alias("spans"),
+    )
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def _judged(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "score",
@@ -106,7 +123,10 @@ def queries() -> dict:
         "op1_va_search": op1_va_search,
         "op2_decontaminate": op2_decontaminate,
         "op3_near_dedup": op3_near_dedup,
+        "op4_html_extract": op4_html_extract,
         "op5_mixing": op5_mixing,
+        "op6_pii": op6_pii,
+        "op7_language_id": op7_language_id,
         "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
         "op10_quality": op10_quality,
