@@ -58,10 +58,20 @@ LABELLED = np.array([
     (1, 0, 0, 80, .00, 30, .0, 40, .0, 0), (1, 1, 0, 30, .00, 45, .0, 20, .0, 0), (1, 1, 0, 4, .00, 45, .0, 45, .0, 0),
     (1, 0, 1, 2, .00, 0, .0, 3, 1., 0), (1, 1, 1, 3, .00, 70, .0, 25, .0, 0), (1, 0, 0, 120, .10, 1, .0, 1, .0, 0),
     (1, 0, 0, 5, .50, 90, .0, 0, .0, 0), (1, 1, 0, 65, .02, 30, .0, 2, .0, 0), (1, 0, 1, 6, 1., 2, 1., 2, 1., 0),
+    # boilerplate between a long text and links, text before links
+    (1, 0, 0, 10, .00, 90, .0, 3, 1., 0), (1, 0, 0, 4, 1., 120, .0, 2, 1., 0), (1, 1, 0, 20, .00, 80, .0, 5, 1., 0),
+    (1, 0, 0, 40, .10, 100, .0, 8, .9, 0), (1, 1, 0, 3, .00, 150, .0, 4, .8, 0), (1, 0, 0, 100, .00, 2, 1., 6, 1., 0),
+    (1, 1, 1, 4, .00, 85, .0, 3, 1., 0), (1, 0, 0, 30, .00, 20, .0, 30, .0, 0), (1, 1, 0, 50, .00, 8, .0, 60, .0, 0),
+    (1, 1, 0, 7, .00, 15, .0, 9, .0, 0), (1, 0, 0, 70, .05, 65, .0, 75, .0, 0), (1, 1, 0, 25, .30, 5, .0, 4, .0, 0),
+    (0, 1, 0, 30, .00, 60, .0, 2, 1., 1), (0, 1, 0, 8, .00, 10, .0, 6, 1., 1), (0, 0, 0, 40, .00, 20, .0, 3, 1., 1),
+    (0, 1, 0, 5, .00, 3, 1., 3, 1., 1), (0, 1, 1, 5, .00, 3, 1., 3, 1., 1), (0, 1, 0, 20, .20, 30, .0, 4, 1., 1),
     # pages without an article's element: long texts and what stands between them
     (0, 0, 0, 60, .00, 40, .0, 50, .0, 1), (0, 0, 0, 35, .05, 6, .0, 80, .0, 1), (0, 0, 0, 22, .00, 90, .0, 3, 1., 1),
     (0, 0, 0, 150, .10, 2, 1., 5, .0, 1), (0, 0, 0, 9, .00, 50, .0, 45, .0, 1), (0, 0, 0, 3, .00, 70, .0, 60, .0, 1),
     (0, 0, 0, 14, .00, 30, .0, 25, .0, 1), (0, 0, 0, 18, .10, 40, .0, 0, .0, 1), (0, 0, 0, 26, .00, 0, .0, 0, .0, 1),
+    (0, 0, 0, 2, .00, 55, .0, 40, .0, 1), (0, 0, 0, 1, .00, 30, .0, 35, .0, 1), (0, 0, 0, 2, .00, 45, .0, 70, .0, 1),
+    # links alone before a text
+    (0, 1, 0, 3, 1., 20, .0, 60, .0, 0), (0, 0, 0, 5, 1., 3, 1., 50, .0, 0), (0, 0, 0, 2, 1., 0, .0, 80, .0, 0),
     # their headings
     (0, 0, 1, 6, .00, 1, 1., 45, .0, 1), (0, 0, 1, 9, .00, 0, .0, 60, .0, 1), (0, 0, 1, 3, .00, 50, .0, 40, .0, 1),
     (0, 0, 1, 2, .00, 3, 1., 3, 1., 0), (0, 0, 1, 2, 1., 4, 1., 2, 1., 0), (0, 0, 1, 3, .00, 30, .0, 2, 1., 0),
