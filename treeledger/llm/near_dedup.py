@@ -5,10 +5,12 @@
 2. A class has ``PERMS`` MinHash samples. Bands of ``ROWS`` samples propose candidates; the samples folded into a parity
    bitmap (odd sketch) of ``SKETCH`` bits give, by the population count of the XOR of two, the estimate that drops
    candidates far under the threshold. The rest is confirmed on full sets, exactly.
-3. Buckets are joined in rounds, never in all pairs. A round gives a bucket a few centres, and compares the members that
-   are not yet in a centre's component with it; then components are merged, buckets whose members are all connected are
-   done, and so are centres. The rounds go on, with more centres each, until no bucket is left: every candidate pair has
-   then been compared, or its two documents are in one component already.
+3. A bucket's members are compared with its least class only, and linked ones merged into components. Buckets left with
+   members in different components are not paired out: their classes go through an exact prefix filter. With a class's
+   shingles from rare to common (counted among these classes), two sets of similarity 0.75 share a shingle among the
+   first quarter of the larger one's and the first seventh of the smaller one's, at places that leave enough shingles
+   behind them. Copies of one text that differ in many places begin with their own edits, so they don't meet. Each
+   list of a shingle is again compared with one class first, and then only what lies in different components.
 
 A link of similarity 0.75 escapes all 40 bands of 5 samples with probability 2e-5, and needs a sketch estimate more than
 five standard deviations too low (under ``FLOOR``) to be dropped.
@@ -35,7 +37,6 @@ PERMS = BANDS * ROWS
 SKETCH = 512
 #: Estimates under it are dropped: 0.75 less five times the error of 200 samples (0.031) and of the bitmap.
 FLOOR = 0.55
-CENTRES = (1, 32, 256, 2048)
 
 _rng = np.random.default_rng(75)
 _MUL = _rng.integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -174,37 +175,69 @@ def connect(links: DataFrame, label: str) -> DataFrame:
     return now
 
 
-def _class_links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """id, comp of the classes that are linked, after all rounds; None without candidates."""
+def _place(n, share: float):
+    """The last place (from 0), from rare to common, at which a set of n can share its first shingle with a linked one:
+    n less share percent of n, rounded up."""
+    return (n - F.ceil(n * share / 100.0 - 1e-9)).cast("int")
+
+
+def _prefixes(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n, s, pos: the first shingles of each set, from rare to common among the sets of ids."""
+    ex = materialize(_sets(docs, ids).select("id", F.explode("set").alias("s")).distinct(), "shingles")
+    counted = ex.groupBy("s").agg(F.count("*").alias("f"))
+    rows = ex.join(counted, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("l"))
+    rows = rows.select("id", F.size("l").alias("n"), F.posexplode(F.slice("l", F.lit(1), _place(F.size("l"), PERCENT) + 1)).alias("pos", "x"))
+    return rows.where("x.f > 1").select("id", "n", F.col("x.s").alias("s"), "pos")
+
+
+def _mixed(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """The rows of the keys that hold more than one component."""
+    keys = rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(key)
+    return materialize(rows.join(keys, key, "left_semi"), label)
+
+
+def _prefix_pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle where linked sets can: index holds the smaller."""
+    share = PERCENT / (100.0 + PERCENT)
+    i = index.select("s", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
+    j = probe.select("s", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
+    rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    fits = (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= PERCENT * F.col("ny")) & (rest >= share * (F.col("nx") + F.col("ny")) - 1e-6)
+    met = i.join(j, (i.s == j.s) & fits)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, comp of the classes that are linked."""
     members = classes.select("class", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-    # the first centre is the least class; only buckets of two classes or more go on
-    held = materialize(members.join(shared.select("bucket", "lo"), "bucket"), "buckets")
-    links, comps, turn = None, None, 0
-    while True:
-        label, slots = str(turn), CENTRES[min(turn, len(CENTRES) - 1)]
-        if turn == 0:
-            pairs = held.where("class <> lo").select(F.col("lo").alias("a"), F.col("class").alias("b")).distinct()
-            held = held.select("bucket", "class", (F.col("class") != F.col("lo")).alias("open"))
+    shared = members.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket", "lo")
+    held = materialize(members.join(shared, "bucket"), "buckets")
+    pairs = held.where("class <> lo").select(F.col("lo").alias("a"), F.col("class").alias("b")).distinct()
+    links = materialize(_confirm(docs, materialize(pairs, "pairs0"), classes, "0"), "links0")
+    comps = connect(links, "0")
+
+    def marked(rows: DataFrame, column: str, comps: DataFrame) -> DataFrame:
+        return rows.drop("comp").join(comps.select(F.col("id").alias(column), F.col("comp").alias("c")), column, "left").withColumn("comp", F.coalesce("c", column)).drop("c")
+
+    left = _mixed(marked(held.select("bucket", "class"), "class", comps), "bucket", "mixed")
+    ids = materialize(left.select(F.col("class").alias("id")).distinct(), "left")
+    if ids.isEmpty():
+        return comps
+    rows = _mixed(marked(_prefixes(docs, ids), "id", comps), "s", "prefixes")
+    smaller = F.col("pos") <= _place(F.col("n"), 100 * 2 * PERCENT / (100.0 + PERCENT))
+    for turn in ("1", "2"):
+        if turn == "1":  # one class of each list: the one with the least id that can be the smaller, against the others
+            centre = rows.where(smaller).groupBy("s").agg(F.min(F.struct("id", "n", "pos", "comp")).alias("c")).select("s", "c.*")
+            pairs = _prefix_pairs(centre, rows)
         else:
-            centre = held.where("open").groupBy("bucket", F.pmod(F.xxhash64("class"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("class", "comp")).alias("c"))
-            centre = materialize(centre.select("bucket", F.col("c.class").alias("centre"), F.col("c.comp").alias("centre_comp")), f"centre{label}")
-            # two open centres meet once, a centre and a closed member have met before
-            met = held.where("open").join(centre, "bucket").where("comp <> centre_comp and class <> centre")
-            pairs = met.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
-            done = centre.select("bucket", F.col("centre").alias("class"), F.lit(True).alias("was"))
-            held = held.join(done, ["bucket", "class"], "left").select("bucket", "class", (F.col("open") & F.col("was").isNull()).alias("open"))
-        new = materialize(_confirm(docs, materialize(pairs, f"pairs{label}"), classes, label), f"links{label}")
-        links = new if links is None else materialize(links.unionByName(new).distinct(), f"all{label}")
-        comps = connect(links, label)
-        mark = comps.select(F.col("id").alias("class"), F.col("comp").alias("c"))
-        held = held.join(mark, "class", "left").select("bucket", "class", "open", F.coalesce("c", "class").alias("comp"))
-        # left over: buckets in which two open members are in different components
-        left = held.where("open").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        held = materialize(held.where("open").join(left, "bucket", "left_semi"), f"held{label}")
-        turn += 1
-        if held.isEmpty():
-            return comps
+            pairs = _prefix_pairs(rows.where(smaller), rows)
+        new = materialize(_confirm(docs, materialize(pairs, f"pairs{turn}"), classes, turn), f"links{turn}")
+        if new.isEmpty():
+            continue
+        links = materialize(links.unionByName(new).distinct(), f"all{turn}")
+        comps = connect(links, turn)
+        rows = _mixed(marked(rows, "id", comps), "s", f"lists{turn}") if turn == "1" else rows
+    return comps
 
 
 def components(docs: DataFrame) -> DataFrame:
