@@ -56,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Shingle sets of whole texts; keeps the hashes of the words it has met, up to a number."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         self.words: dict[bytes, int] = {}
         self.most = most
 

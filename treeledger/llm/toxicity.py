@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from treeledger.llm.common import as_text, materialize, only
 from treeledger.llm.quality import fit_logistic, labelled_sample
 
-FIT_DOCS = 2000
+FIT_DOCS = 1000
 FIT_CHARS = 8000
 WINDOW, STRIDE = 64, 32
 HIDDEN = 8
@@ -66,21 +66,21 @@ class Evidence:
     def __init__(self, texts: list[str], y: np.ndarray, folds: np.ndarray):
         number: dict[str, int] = {}
         known: dict[str, np.ndarray] = {}
-        seen, cell = [], []
+        seen = []
         for t, toxic, f in zip(texts, y.astype(int), folds, strict=True):
             parts = []
             for w in set(tokens(t)):
                 at = known.get(w)
                 if at is None:
-                    at = known[w] = np.array([number.setdefault(k, len(number)) for k in ("=" + w, *grams(w))], np.int64)
+                    at = known[w] = np.array([number.setdefault(k, len(number)) for k in ("=" + w, *grams(w))], np.int32)
                 parts.append(at)
             if parts:
-                seen.append(np.unique(np.concatenate(parts)))
-                cell.append(np.full(len(seen[-1]), toxic * 5 + f))
-        n = len(number)
-        flat = np.concatenate(seen) * 10 + np.concatenate(cell) if seen else np.empty(0, np.int64)
+                seen.append((toxic * 5 + f, np.unique(np.concatenate(parts))))
         self.keys = list(number)
-        self.counts = np.bincount(flat, minlength=10 * n).reshape(n, 2, 5)
+        self.counts = np.zeros((len(number), 10), np.int32)
+        for cell, at in seen:
+            self.counts[at, cell] += 1
+        self.counts = self.counts.reshape(-1, 2, 5)
         self.n = np.bincount(y.astype(int) * 5 + folds, minlength=10).reshape(2, 5)
 
     def table(self, without: int | None = None) -> dict[str, tuple[int, float]]:
