@@ -18,6 +18,21 @@ def stash_plan(contents: DataFrame, min_risk: str = "High") -> DataFrame:
     return found.join(contents.select("root", "path", F.octet_length("text").cast("long").alias("size_bytes")), ["root", "path"])
 
 
+def stash_only(requests: DataFrame, entries: DataFrame, contents: DataFrame, min_risk: str = "High", strict: bool = False) -> DataFrame:
+    """root, path, state, risk, size_bytes of an explicit list (root, path) of files to put away, each once: selected,
+    below_risk, missing, not_a_file or outside (it climbs above the root). Neither the skip policy nor the depth applies.
+    With strict, the last three are errors."""
+    asked = requests.select("root", "path").distinct()
+    found = secrets.scan_secrets(contents.join(asked, ["root", "path"], "left_semi"), min_risk=min_risk, walk=False)
+    rows = asked.join(entries.select("root", "path", "kind", "size_bytes"), ["root", "path"], "left")
+    rows = rows.join(found.select("root", "path", secrets.risk_name(F.col("risk_rank")).alias("risk")), ["root", "path"], "left")
+    state = F.when(F.array_contains(F.split("path", "/"), ".."), "outside").when(F.col("kind").isNull(), "missing").when(F.col("kind") != "file", "not_a_file")
+    if strict:
+        state = F.when(state.isNotNull(), F.raise_error(F.concat_ws(": ", state, "path")))
+    state = F.coalesce(state, F.when(F.col("risk").isNull(), "below_risk").otherwise("selected"))
+    return rows.select("root", "path", state.alias("state"), "risk", F.when(F.col("kind") == "file", F.col("size_bytes")).alias("size_bytes"))
+
+
 def routes(contents: DataFrame, stash: bool = True, content_min: str = "Critical", pack_depth: int = PACK_DEPTH) -> DataFrame:
     """root, project, path, size_bytes, route: the first that applies of pruned, stash, too_deep, deny_name,
     deny_content, pack. A project is a first-level directory; depths and pruning count from it, except that the stash

@@ -90,9 +90,10 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def scan_secrets(contents: DataFrame, min_risk: str = "Low", scan_content: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """root, path, parts, risk_rank, sources (by kind, line, marker, occurrence) of the files with findings."""
-    rows = scanned_files(contents, max_depth)
+def scan_secrets(contents: DataFrame, min_risk: str = "Low", scan_content: bool = True, max_depth: int = MAX_DEPTH, walk: bool = True) -> DataFrame:
+    """root, path, parts, risk_rank, sources (by kind, line, marker, occurrence) of the files with findings; without walk,
+    of pruned and deep files as well."""
+    rows = scanned_files(contents, max_depth) if walk else contents.withColumn("parts", P.parts("path")).withColumn("name", F.element_at("parts", -1))
     found = name_sources(F.col("name"))
     if scan_content:
         inside = F.when(eligible(F.col("text")), content_sources(F.col("text"))).otherwise(F.array().cast(_SOURCE))

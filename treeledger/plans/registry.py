@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeledger.functions import paths as P
 from treeledger.functions.rules import CONTENT_MARKERS, FILENAME_PATTERNS, LANGUAGE_LEVELS, MARKERS, SKIP_EXACT, TRASH, risk_rank
-from treeledger.operators import projects, routing, secrets, trash
+from treeledger.operators import projects, repositories, routing, secrets, trash
 from treeledger.sources.corpus import CORPUS_SQL, corpus, entries, entries_of
 
 TS = "20260102T030405Z"
@@ -161,7 +161,32 @@ def lifecycle_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.lifecycle_stages(routing.routes(c), trash.trash_dirs(entries_of(c))).drop("root", "ord")
 
 
+def depth_kind_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries(spark, sf_dir).where("kind = 'file' and size(parts) between 1 and 4").select("path", F.size("parts").alias("depth"), "size_bytes")
+
+
+def artifact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = projects.candidates(entries(spark, sf_dir)).select("path", P.slug(F.concat_ws("/", "root", "path")).alias("slug"))
+    ts = F.lit(TS)
+    return made.select("path", P.dated("packs", F.concat("slug", F.lit(f"__{TS}.tar.zst")), ts).alias("pack"), P.dated("secrets", F.concat("slug", F.lit(f"__{TS}.age")), ts).alias("stash"))
+
+
+def nearest_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    return repositories.nearest_repository(c, entries_of(c)).drop("root")
+
+
+def stash_only_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    e = entries_of(c)
+    asked = e.where("size(parts) > 0").select("root", "path")
+    gone = e.where("kind = 'file'").select("root", F.concat("path", F.lit(".gone")).alias("path"))
+    above = e.where("kind = 'dir'").select("root", F.concat(F.lit("../"), "path").alias("path"))
+    return routing.stash_only(asked.unionByName(asked).unionByName(gone).unionByName(above), e, c).drop("root")
+
+
 _QUERIES = [
+    depth_kind_filter, artifact_paths, nearest_repository, stash_only_files,
     path_parts, relative_paths, project_slugs, human_sizes, skip_reasons, eligible_contents, filename_matches_all, content_hits,
     findings, findings_critical, findings_names_only, files_scanned, risk_gate, repeated_secrets, git_status_join,
     candidates, candidates_no_git_only, candidates_extra_marker, project_table, scan_report, trash_dirs, trash_by_strategy,
@@ -281,7 +306,12 @@ def oracle_sql() -> dict[str, str]:
     slug = "coalesce(nullif(left(regexp_replace(regexp_replace(coalesce(list_filter(regexp_split_to_array(url, '[/\\\\]'), lambda x: x <> '')[-1], ''), '\\s', '-', 'g'), '[^A-Za-z0-9._-]', '', 'g'), 80), ''), 'project')"
     f = _findings_sql("true", "")
     cand = lambda c: c.replace("arg_min_null(hint, (level, ord))", "list(hint order by level, ord)[1]")
+    last = "coalesce(nullif(string_split(path, '/')[-1], ''), root)"
     return {
+        "depth_kind_filter": f"{_ENTRIES} select path, cast(len(parts) as integer) as depth, size_bytes from entries where kind = 'file' and len(parts) between 1 and 4",
+        "artifact_paths": cand(f"{_ENTRIES}, {_C}, s as (select path, left(regexp_replace({last}, '[^A-Za-z0-9._-]', '', 'g'), 80) as slug from cand) select path, 'packs/2026/01/' || slug || '__{TS}.tar.zst' as pack, 'secrets/2026/01/' || slug || '__{TS}.age' as stash from s"),
+        "nearest_repository": f"{_ENTRIES}, r as (select distinct root, array_to_string(parts[1:-2], '/') as repo from entries where parts[-1] = '.git') select c.path, arg_max(r.repo, length(r.repo)) as repo from corpus c left join r on c.root = r.root and (r.repo = '' or starts_with(c.path, r.repo || '/')) group by c.root, c.path",
+        "stash_only_files": f"{_BASE}, asked as (select root, path from entries where len(parts) > 0 union select root, path || '.gone' from entries where kind = 'file' union select root, '../' || path from entries where kind = 'dir'), top as (select root, path, max(risk) as r from src0 group by root, path) select a.path, case when starts_with(a.path, '../') then 'outside' when e.kind is null then 'missing' when e.kind <> 'file' then 'not_a_file' when coalesce(r, -1) < 2 then 'below_risk' else 'selected' end as state, case when r >= 2 then {_RISK}[r + 1] end as risk, case when e.kind = 'file' then e.size_bytes end as size_bytes from asked a left join entries e using (root, path) left join top using (root, path)",
         "path_parts": f"{_ENTRIES} select path, kind, coalesce(parts[-1], '') as name, array_to_string(parts[1:-2], '/') as parent, cast(len(parts) as integer) as depth, array_to_string(list_transform(range(0, len(parts)), lambda i: array_to_string(parts[1:i], '/')), '|') as ancestors from entries",
         "relative_paths": f"{_ENTRIES} select path, true as under, array_to_string(parts[3:], '/') as rel from entries where parts[1:2] = ['p04', 'src']",
         "project_slugs": f"select page_id, {slug} as slug, 'packs/2026/01/' || {slug} || '__{TS}.tar.zst' as pack, not (url in ('', '.', '..') or contains(url, '/') or contains(url, '\\') or contains(url, chr(0))) as valid from pages",
