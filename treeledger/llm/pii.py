@@ -6,11 +6,14 @@ without a valid check digit). An occurrence of either has lexical patterns: its
 it, and with the word before and the word after.
 
 Spark scores the graph of patterns and instances in rounds. A pattern's confidence in a kind is the share of the kind's
-trusted instances among all that it meets, candidates and *ordinary words in the same context* included (these are
-counted over the whole corpus for the patterns in question). A pattern counts from ``SUPPORT`` distinct trusted
-instances and confidence ``TRUST``; an instance's score is 1 - prod(1 - confidence) over its patterns, and from ``TRUST``
-it is trusted in the next round. In the end, occurrences of trusted candidates under trusted patterns become spans of
-that kind. Seeds stay whatever the graph says.
+trusted instances among all decided ones that it meets: ordinary words in the same context (counted over the whole
+corpus), strings of the other form, instances trusted as another kind, and candidates that are distrusted as this kind
+count against it; candidates that nothing has decided yet do not count. A pattern is judged from ``SUPPORT`` distinct
+trusted instances and counts from confidence ``TRUST``. An instance's score is 1 - prod(1 - confidence) over its
+patterns that count; from ``TRUST`` it is trusted in the next round, as good as a seed, so that it can qualify patterns
+which no seed stands in. A candidate is distrusted if all patterns judged together give it 1 - ``TRUST`` or less. In the
+end, occurrences of trusted candidates under patterns that count become spans of that kind. There are ``ROUNDS`` rounds:
+what lies more than that many steps from a seed is not found. Seeds stay whatever the graph says.
 
 Cases: a null or empty text has no spans. Repeated rows have the same spans each; rows that share an id but not the text
 are told apart by a hash of both. A null doc_id stays null. An empty table gives no rows. Other columns are ignored by
@@ -20,6 +23,8 @@ are told apart by a hash of both. A null doc_id stays null. An empty table gives
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,9 +41,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Forms of candidates: with an at sign, or seven digits and more with separators.
 LIKE_EMAIL = re.compile(r"[^\s@,;:<>()\"']+@[^\s@,;:<>()\"']+")
 LIKE_NUMBER = re.compile(r"[0-9](?:[\x20()./-]{0,2}[0-9]){6,}")
+_SOME = re.compile("[0-9@]")
+_TOKEN = re.compile(r"\S+")
 SUPPORT, TRUST, ROUNDS = 3, 0.9, 3
-#: Patterns that are counted over the corpus at once; more are counted in further passes.
-PATTERN_GROUP = 200_000
+#: Bits of the table that tells the corpus scan which contexts may be patterns. Others are never sent; the join decides.
+BITS, WORD_BITS = 1 << 23, 1 << 15
 
 
 def luhn(digits: str) -> bool:
@@ -103,13 +110,11 @@ _OCC = "array<struct<start:int,end:int,kind:int,form:int,inst:string,ctx:array<s
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, key, spans array<struct<start, kind, end>>, occ: occurrences of seeds and candidates, a row for each row."""
-    some = re.compile("[0-9@]")
-
     def run(batches):
         for p in batches:
             out = []
             for d, k, t in zip(p["doc_id"], p["key"], p["text"], strict=True):
-                if not some.search(t):
+                if not _SOME.search(t):
                     out.append((d, k, [], []))
                     continue
                 spans = base_spans(t)
@@ -126,53 +131,90 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), as_text(F.col("text"))))
 
 
+def ordinary(text: str) -> tuple[list[str], set[int]]:
+    """The words of a text as contexts spell them, and the places of those that hold a seed or a candidate, whole or in part."""
+    if not _SOME.search(text):
+        return [_word(w) for w in text.split()], set()
+    spans = base_spans(text)
+    taken = [(a, b) for a, _, b in spans + candidates(text, spans)]
+    starts = [m.start() for m in _TOKEN.finditer(text)]
+    return [_word(w) for w in text.split()], {i for a, b in taken for i in range(bisect_right(starts, a) - 1, bisect_left(starts, b))}
+
+
+def bit_table(patterns: DataFrame) -> bytes:
+    """A bit for each crc32 (modulo BITS) of a context; of the same size for any number of patterns."""
+    at = patterns.select((F.crc32(F.col("ctx").cast("binary")) % BITS).alias("at"))
+    bits = bytearray(BITS // 8)
+    rows = at.groupBy(F.floor(F.col("at") / WORD_BITS).alias("g")).agg(F.bitmap_construct_agg(F.col("at") % WORD_BITS).alias("m"))
+    for r in rows.toLocalIterator():
+        bits[r.g * WORD_BITS // 8 : (r.g + 1) * WORD_BITS // 8] = r.m
+    return bytes(bits)
+
+
 def background(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """ctx, words: how often each pattern's context occurs in the corpus around any word at all."""
-    n = -(-patterns.count() // PATTERN_GROUP) or 1
-    parts = None
-    for g in range(n):
-        wanted = {r.ctx for r in patterns.where(F.pmod(F.xxhash64("ctx"), F.lit(n)) == g).toLocalIterator()}
-
-        def run(batches, wanted=wanted):
-            for p in batches:
-                seen: dict[str, int] = {}
-                for t in p["text"]:
-                    w = ["^", "^", *map(_word, t.split()), "$"]
-                    for i in range(2, len(w) - 1):
-                        for c in (f"2 {w[i - 2]} {w[i - 1]}", f"1 {w[i - 1]} _ {w[i + 1]}"):
-                            if c in wanted:
-                                seen[c] = seen.get(c, 0) + 1
-                yield pd.DataFrame({"ctx": list(seen), "words": list(seen.values())}, columns=["ctx", "words"]).astype({"words": "int64"})
-
-        part = docs.select(as_text(F.col("text")).alias("text")).mapInPandas(run, "ctx string, words long")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("ctx").agg(F.sum("words").alias("words"))
+    """ctx, words: how often each pattern's context occurs in the corpus around a word that is no seed or candidate."""
+    bits = bit_table(patterns)
+
+    def run(batches):
+        for p in batches:
+            seen: dict[str, int] = {}
+            for t in p["text"]:
+                words, taken = ordinary(t)
+                w = ["^", "^", *words, "$"]
+                for i in range(2, len(w) - 1):
+                    for c in (f"2 {w[i - 2]} {w[i - 1]}", f"1 {w[i - 1]} _ {w[i + 1]}"):
+                        h = crc32(c.encode()) % BITS
+                        if bits[h >> 3] >> (h & 7) & 1 and i - 2 not in taken:
+                            seen[c] = seen.get(c, 0) + 1
+            if seen:  # a frame without rows has no type of its own
+                yield pd.DataFrame({"ctx": list(seen), "words": list(seen.values())})
+
+    found = docs.select(as_text(F.col("text")).alias("text")).mapInPandas(run, "ctx string, words long")
+    found = found.groupBy("ctx").agg(F.sum("words").alias("words"))
+    return found.join(F.broadcast(patterns) if few(patterns) else patterns, "ctx", "left_semi")
 
 
 def discover(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame | None:
     """key, start, kind, end of the candidates that trusted patterns vouch for; None if no pattern can qualify."""
     occ = scanned.select("key", F.explode("occ").alias("o")).select("key", "o.start", "o.end", "o.kind", "o.form", "o.inst", F.explode("o.ctx").alias("ctx"))
     occ = materialize(occ, "occurrences")
-    # a pattern is of use if it has both enough seeds and something to discover
-    seeds = F.count_distinct(F.when(F.col("kind") >= 0, F.col("inst")))
-    useful = occ.groupBy("form", "ctx").agg(seeds.alias("seeds"), F.max((F.col("kind") < 0).cast("int")).alias("new")).where((F.col("seeds") >= support) & (F.col("new") == 1))
-    useful = materialize(useful.select("form", "ctx"), "useful")
+    # whatever comes to be trusted, a pattern takes ``support`` instances and something to discover: others are of no use
+    useful = occ.groupBy("form", "ctx").agg(F.count_distinct("inst").alias("insts"), F.max((F.col("kind") < 0).cast("int")).alias("new"))
+    useful = materialize(useful.where((F.col("insts") >= support) & (F.col("new") == 1)).select("form", "ctx"), "useful")
     if useful.isEmpty():
         return None
-    occ = materialize(occ.join(F.broadcast(useful) if few(useful) else useful, ["form", "ctx"], "left_semi"), "graph")
-    words = materialize(background(docs, useful.select("ctx").distinct()), "background")
+    hint = F.broadcast if few(useful) else lambda x: x
+    forms = occ.groupBy("ctx", F.col("form").alias("other")).agg(F.count("*").alias("others"))
+    forms = forms.join(hint(useful), "ctx").where("form <> other").select("form", "ctx", "others")
+    words = materialize(background(docs, materialize(useful.select("ctx").distinct(), "contexts")), "background")
+    # what speaks against a pattern from the start: ordinary words and strings of the other form
+    no = useful.join(words, "ctx", "left").join(forms, ["form", "ctx"], "left")
+    no = materialize(no.select("form", "ctx", (F.coalesce("words", F.lit(0)) + F.coalesce("others", F.lit(0))).alias("no")), "no")
+    occ = materialize(occ.join(hint(useful), ["form", "ctx"], "left_semi"), "graph")
     edges = materialize(occ.groupBy("form", "ctx", "inst", "kind").agg(F.count("*").alias("n")), "edges")
-    trusted = edges.where("kind >= 0").select("inst", F.col("kind").alias("as")).distinct().withColumn("score", F.lit(1.0))
-    met = edges.groupBy("form", "ctx").agg(F.sum("n").alias("met")).join(words, "ctx", "left")
-    met = materialize(met.select("form", "ctx", F.greatest("met", F.coalesce("words", F.lit(0))).alias("met")), "met")
+    sure = edges.where("kind >= 0").select("inst", F.col("kind").alias("as")).distinct().withColumn("score", F.lit(1.0))
+    trusted = sure = materialize(sure, "seeds")
+    distrusted = None
     for r in range(rounds):
-        good = edges.join(trusted, "inst").where("kind < 0 or kind = `as`").groupBy("form", "ctx", "as").agg(F.sum(F.col("n") * F.col("score")).alias("good"), F.count_distinct("inst").alias("distinct"))
-        patterns = good.join(met, ["form", "ctx"]).withColumn("conf", F.col("good") / F.col("met"))
-        patterns = materialize(patterns.where((F.col("distinct") >= support) & (F.col("conf") >= trust)).select("form", "ctx", "as", "conf"), f"patterns{r}")
-        doubt = F.sum(F.log(1 - F.least(F.col("conf"), F.lit(0.999))))
-        vouched = edges.where("kind < 0").join(patterns, ["form", "ctx"]).groupBy("inst", "as").agg((1 - F.exp(doubt)).alias("score")).where(F.col("score") >= trust)
-        seeds_again = edges.where("kind >= 0").select("inst", F.col("kind").alias("as")).distinct().withColumn("score", F.lit(1.0))
-        trusted = materialize(seeds_again.unionByName(vouched).groupBy("inst", "as").agg(F.max("score").alias("score")), f"trusted{r}")
+        good = edges.join(trusted, "inst").where("kind < 0 or kind = `as`").groupBy("form", "ctx", "as")
+        good = good.agg(F.sum(F.col("n") * F.col("score")).alias("good"), F.count_distinct("inst").alias("distinct"))
+        known = trusted.select("inst").distinct()
+        decided = edges.join(known, "inst", "left_semi").groupBy("form", "ctx").agg(F.sum("n").alias("decided"))
+        judged = good.where(F.col("distinct") >= support).join(decided, ["form", "ctx"]).join(no, ["form", "ctx"])
+        met = F.col("decided") + F.col("no")
+        if distrusted is not None:
+            bad = edges.where("kind < 0").join(known, "inst", "left_anti").join(distrusted, "inst")
+            judged = judged.join(bad.groupBy("form", "ctx", "as").agg(F.sum("n").alias("bad")), ["form", "ctx", "as"], "left")
+            met = met + F.coalesce("bad", F.lit(0))
+        judged = materialize(judged.select("form", "ctx", "as", (F.col("good") / met).alias("conf")), f"patterns{r}")
+        patterns = judged.where(F.col("conf") >= trust)
+        doubt = F.log(1 - F.least(F.col("conf"), F.lit(0.999)))
+        scores = edges.where("kind < 0").join(judged, ["form", "ctx"]).groupBy("inst", "as")
+        scores = scores.agg((1 - F.exp(F.sum(F.when(F.col("conf") >= trust, doubt).otherwise(0.0)))).alias("score"), (1 - F.exp(F.sum(doubt))).alias("most"))
+        scores = materialize(scores, f"scores{r}")
+        vouched = scores.where(F.col("score") >= trust).select("inst", "as", "score")
+        distrusted = scores.where(F.col("most") <= 1 - trust).select("inst", "as")
+        trusted = materialize(sure.unionByName(vouched).groupBy("inst", "as").agg(F.max("score").alias("score")), f"trusted{r}")
     found = occ.where("kind < 0").join(patterns, ["form", "ctx"]).join(trusted, ["inst", "as"])
     best = found.groupBy("key", "start", "end").agg(F.max_by("as", F.struct("conf", -F.col("as"))).alias("kind"))
     return best.select("key", "start", F.col("kind").cast("int").alias("kind"), "end")
