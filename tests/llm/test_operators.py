@@ -174,6 +174,18 @@ def test_main_text():
     assert np.mean(np.array(labels) == html_extract.LABELLED[:, -1]) > 0.95
 
 
+def test_raw_elements_and_open_heads():
+    tree = html_extract.grow(html_extract.LABELLED[:, :-1], html_extract.LABELLED[:, -1])
+    article = "<article><h1>A title</h1><p>First line.</p><p>Second line.</p></article>"
+    for raw in ("<script>for(i=0;i<n;i++){f('x')}</script>", "<SCRIPT>if(a<b)c='<p>'</Script >", "<style>a<b{}</style>",
+                "<textarea><b 'x</textarea>", "<title>a <b</title>", "<script src=x></script>", "<svg><title/><style>a<b{}</style></svg>"):
+        page = f"<html><head><meta charset=utf-8>{raw}</head><body>{raw}{article}{raw}</body></html>"
+        assert html_extract.extract(page, tree) == "A title\n\nFirst line.\n\nSecond line."
+    for page in (f"<head><title>t</title><body>{article}", f"<html><head><meta a=b><title>t</title>{article}</html>"):
+        assert html_extract.extract(page, tree) == "A title\n\nFirst line.\n\nSecond line."
+    assert html_extract.extract(f"{article}<script>a<b", tree) == "A title\n\nFirst line.\n\nSecond line."
+
+
 def test_language_of_pages(spark):
     text = {"en": "the cat and the dog with that thing", "de": "der hund und die katze nicht mit schule", "fr": "le chien et la maison que nous avons"}
     docs = spark.createDataFrame([(i, t, l, "s", 0) for i in range(4) for l, t in text.items()], DOCS)

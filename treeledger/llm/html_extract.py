@@ -9,7 +9,8 @@ Decoded character references, white space inside a block as one space, trimmed,
 that the tree keeps are returned whole, whatever their length.
 
 Cases: a null or empty html, or one without text, gives the empty text. Broken markup is read as far as it goes: an end
-tag without start is ignored, an element without end lasts to the end of the one around it, a lone < is text. Repeated
+tag without start is ignored, an element without end lasts to the end of the one around it, a lone < is text. Scripts,
+styles and the like are passed over as raw text. A head, closed or not, holds nothing but such elements. Repeated
 rows give a row each, null ids stay null, an empty table gives no rows, other columns are ignored.
 """
 
@@ -28,7 +29,7 @@ from treeledger.llm.common import as_text
 # Elements of HTML and the words that name boilerplate.
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = set("script style noscript template head title svg math iframe object audio video canvas select textarea button datalist".split())
+SKIP = set("script style noscript noframes template title svg math iframe object audio video canvas select textarea button datalist".split())
 BOILER_TAGS = set("nav footer aside form menu dialog".split())
 ARTICLE_TAGS = set("article main".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
@@ -36,6 +37,8 @@ BOILER_ROLES = set("navigation banner contentinfo complementary search dialog al
 BOILER_NAMES = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget related recommended recommendations footer header masthead topbar toolbar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login search share sharing social comment comments commentlist reply replies respond discussion disqus pagination pager tags copyright legal disclaimer hidden".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<|[^<]+", re.S)
+#: Elements whose text is no markup: they last to their own literal end tag.
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noframes")}
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -144,7 +147,9 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool, int]]:
             text.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    pos = 0
+    while m := _TOKEN.match(page, pos):
+        pos = m.end()
         tag = m[2]
         if tag is None:
             raw = m[0]
@@ -155,6 +160,12 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool, int]]:
                 linked += len(raw)
             continue
         tag, closing = tag.lower(), bool(m[1])
+        if tag in _RAW_END and not closing and not m[3].rstrip().endswith("/"):
+            end = _RAW_END[tag].search(page, pos)
+            pos = end.end() if end else len(page)
+            continue
+        if tag == "head":
+            continue
         if skip_to:
             if closing and tag == skip_to:
                 skip_to = ""
