@@ -186,6 +186,23 @@ def test_raw_elements_and_open_heads():
     assert html_extract.extract(f"{article}<script>a<b", tree) == "A title\n\nFirst line.\n\nSecond line."
 
 
+def test_names_of_wrappers_and_headers():
+    tree = html_extract.grow(html_extract.LABELLED[:, :-1], html_extract.LABELLED[:, -1])
+    body, want = "<h1>A title</h1><p>First line.</p><p>Second line.</p>", "A title\n\nFirst line.\n\nSecond line."
+    for name in ("page has-sidebar", "no-ads", "layout side-by-side", "sidebar", "withSidebar"):
+        assert html_extract.extract(f'<body><div class="{name}"><article>{body}</article></div>', tree) == want
+    for name in ("entry-header", "post-header", "header"):
+        assert html_extract.extract(f'<article><div class="{name}"><h1>A title</h1></div><p>First line.</p><p>Second line.</p></article>', tree) == want
+    teaser = '<div class="related"><article><p>Another one.</p></article></div><div class="comments"><article><p>Nice one.</p></article></div>'
+    assert html_extract.extract(f"<article>{body}</article>{teaser}", tree) == want
+    assert html_extract.extract(f'<article>{body}<div class="comments"><p>Nice one.</p></div></article>', tree) == want
+    long = " ".join(["word"] * 180)
+    for link, kept in ((f"<p>{long}</p>", True), (f"<p><a href=x>{long}</a></p>", False)):
+        assert (long in html_extract.extract(f'<article>{body}<div class="share">{link}</div></article>', tree)) == kept
+    assert long not in html_extract.extract(f"<article>{body}<aside>{long}</aside><p hidden>{long}</p></article>", tree)
+    assert long not in html_extract.extract(f'<article>{body}</article><div class="comments"><p>{long}</p></div>', tree)
+
+
 def test_language_of_pages(spark):
     text = {"en": "the cat and the dog with that thing", "de": "der hund und die katze nicht mit schule", "fr": "le chien et la maison que nous avons"}
     docs = spark.createDataFrame([(i, t, l, "s", 0) for i in range(4) for l, t in text.items()], DOCS)

@@ -1,8 +1,10 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 The tags of a page cut its text into flat blocks. A block is described by its number of words and its link density, by
-those of the blocks before and after it, and by what surrounds it: an element or a name (class, id, role) that stands
-for boilerplate, an element that stands for the article, a heading. A decision tree, grown by Gini impurity on the small
+those of the blocks before and after it, and by what surrounds it: an element or role that stands for boilerplate (1) or
+only a class or id that does (0.5), an element that stands for the article, a heading. Names that tell of another
+element ("has-sidebar", "no-ads") and the header of an article are no boilerplate. The names around an article's element
+do not count in it, unless the page holds another one that stands apart from such names (teasers, comments). A decision tree, grown by Gini impurity on the small
 labelled table below, says which blocks are main text.
 
 Decoded character references, white space inside a block as one space, trimmed, blocks joined by a blank line; blocks
@@ -36,6 +38,10 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BOILER_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 BOILER_NAMES = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget related recommended recommendations footer header masthead topbar toolbar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login search share sharing social comment comments commentlist reply replies respond discussion disqus pagination pager tags copyright legal disclaimer hidden".split())
 
+#: Names with such a word tell how the element stands to boilerplate, not that it is some.
+LAYOUT_WORDS = set("has have no not non with without by hide show".split())
+ARTICLE_WORDS = set("article entry post story content".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<|[^<]+", re.S)
 #: Elements whose text is no markup: they last to their own literal end tag.
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noframes")}
@@ -84,6 +90,18 @@ LABELLED = np.array([
     (0, 0, 0, 30, .80, 5, 1., 4, 1., 0), (0, 0, 0, 16, .70, 50, .0, 3, .5, 0), (0, 0, 0, 8, .40, 60, .0, 2, .0, 0),
     (0, 0, 0, 5, .00, 2, .0, 2, .0, 0), (0, 0, 0, 45, .60, 20, .9, 10, .9, 0), (0, 0, 0, 7, .00, 4, .5, 0, .0, 0),
 ])
+# Blocks that only a name calls boilerplate: they are as those of an element, but long texts of an article with few links.
+LABELLED = np.concatenate([
+    LABELLED,
+    np.where(np.arange(10) == 0, .5, LABELLED[LABELLED[:, 0] == 1]),
+    np.array([
+        (.5, 1, 0, 150, .00, 60, .0, 80, .0, 1), (.5, 1, 0, 200, .05, 4, 1., 5, 1., 1), (.5, 1, 0, 300, .10, 0, .0, 0, .0, 1),
+        (.5, 1, 0, 170, .00, 90, .0, 2, 1., 1), (.5, 1, 0, 160, .02, 2, .0, 150, .0, 1), (.5, 1, 0, 160, .80, 30, .0, 40, .0, 0),
+        (.5, 1, 0, 250, .60, 5, 1., 4, 1., 0), (.5, 1, 0, 200, .90, 60, .0, 0, .0, 0), (.5, 0, 0, 200, .00, 60, .0, 60, .0, 0),
+        (1, 1, 0, 150, .00, 60, .0, 80, .0, 0), (1, 1, 0, 200, .05, 4, 1., 5, 1., 0), (1, 1, 0, 300, .10, 0, .0, 0, .0, 0),
+        (1, 1, 0, 170, .00, 90, .0, 2, 1., 0), (1, 1, 0, 160, .02, 2, .0, 150, .0, 0), (1, 0, 0, 200, .00, 60, .0, 60, .0, 0),
+    ]),
+])
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
@@ -112,26 +130,42 @@ def decide(tree, row) -> int:
     return tree
 
 
-def _boiler(tag: str, attributes: str, in_article: bool) -> bool:
+def _named(value: str, in_article: bool) -> bool:
+    """Whether a class or id stands for boilerplate."""
+    for name in value.split():
+        words = {w.lower() for w in _NAME_WORD.findall(name)}
+        if words & LAYOUT_WORDS:
+            continue
+        if in_article or words & ARTICLE_WORDS:
+            words.discard("header")
+        if words & BOILER_NAMES:
+            return True
+    return False
+
+
+def _boiler(tag: str, attributes: str, in_article: bool) -> float:
+    """1 by element, role or being hidden, 0.5 by name only, 0 otherwise."""
     if tag in BOILER_TAGS or (tag == "header" and not in_article):
-        return True
+        return 1.0
     if not attributes.strip():
-        return False
+        return 0.0
+    found = 0.0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
+            return 1.0
         if name == "role" and value.lower() in BOILER_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("body", "html", *ARTICLE_TAGS) and any(w.lower() in BOILER_NAMES for w in _NAME_WORD.findall(value)):
-            return True
-    return False
+            return 1.0
+        if name in ("class", "id") and tag not in ("body", "html", *ARTICLE_TAGS) and _named(value, in_article):
+            found = 0.5
+    return found
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool, bool, int]]:
+def blocks(page: str) -> list[tuple[str, float, bool, bool, int]]:
     """(text, boiler, article, heading, characters in links) of each flat block that has text."""
-    out: list[tuple[str, bool, bool, bool, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether boilerplate and article around what is in it
+    out: list[tuple[str, float, bool, bool, int, bool]] = []
+    # element, boilerplate in it, whether an article's, whether in an outermost article below boilerplate's name
+    stack: list[tuple[str, float, bool, bool]] = []
     text: list[str] = []
     linked = links = 0
     heading = False
@@ -142,8 +176,8 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool, int]]:
         if text:
             flat = " ".join(html.unescape("".join(text)).split())
             if flat:
-                _, boiler, article = stack[-1] if stack else ("", False, False)
-                out.append((flat, boiler, article, heading, linked))
+                _, boiler, article, below = stack[-1] if stack else ("", 0.0, False, False)
+                out.append((flat, boiler, article, heading, linked, below))
             text.clear()
         linked = 0
 
@@ -185,7 +219,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool, int]]:
         if closing:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if at >= 0:
-                if any(stack[i][1] != (stack[at - 1][1] if at else False) for i in range(at, len(stack))) and tag not in BLOCK:
+                if any(stack[i][1] != (stack[at - 1][1] if at else 0.0) for i in range(at, len(stack))) and tag not in BLOCK:
                     flush()
                 del stack[at:]
         else:
@@ -193,14 +227,17 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool, int]]:
                 at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), -1)
                 if at >= 0 and (stack[at][0] == "p" or (stack[at][0] in HEADINGS) or (stack[at][0] == tag and tag in ("li", "dt", "dd", "td", "th", "tr"))):
                     del stack[at:]
-            _, boiler, article = stack[-1] if stack else ("", False, False)
+            _, boiler, article, below = stack[-1] if stack else ("", 0.0, False, False)
             named = _boiler(tag, m[3], article)
-            if named and not boiler and tag not in BLOCK:
+            if named > boiler and tag not in BLOCK:
                 flush()
-            stack.append((tag, boiler or named, article or tag in ARTICLE_TAGS))
+            if tag in ARTICLE_TAGS and not article and boiler == 0.5:
+                boiler, below = 0.0, True
+            stack.append((tag, max(boiler, named), article or tag in ARTICLE_TAGS, below))
         heading = any(s[0] in HEADINGS for s in stack[-4:])
     flush()
-    return out
+    apart = any(article and boiler == 0 and not below for _, boiler, article, _, _, below in out)
+    return [(t, max(boiler, 0.5) if below and apart else boiler, *rest) for t, boiler, *rest, below in out]
 
 
 def extract(page: str, tree) -> str:
