@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from treeledger.llm.common import as_text, materialize, only
 from treeledger.llm.quality import fit_logistic, labelled_sample
 
-FIT_DOCS = 1000
+FIT_DOCS = 2000
 FIT_CHARS = 8000
 WINDOW, STRIDE = 64, 32
 HIDDEN = 8
