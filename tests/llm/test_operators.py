@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from treeledger.llm import chat_format, decontaminate, html_extract, language_id, mixing, near_dedup, pii, quality, toxicity, va_search
+from treeledger.llm import chat_format, decontaminate, html_extract, language_id, mixing, near_dedup, quality, toxicity, va_search
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -117,52 +117,6 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
-def test_base_spans_and_redaction(spark):
-    text = "é a.b+c@mail.example.com 10.0.0.256 1.2.3.4.5 card 4111 1111-1111 1111 tel +1 (269) 555-3296 x@y"
-    names = [(pii.KINDS[k], text[a:b]) for a, k, b in pii.base_spans(text)]
-    assert names == [("email", "a.b+c@mail.example.com"), ("ip", "1.2.3.4"), ("card", "4111 1111-1111 1111"), ("phone", "+1 (269) 555-3296")]
-    docs = spark.createDataFrame([(1, text, "en", "s", 0), (1, text, "en", "s", 0), (2, None, None, None, None), (3, "", "", "", 0)], DOCS)
-    out = pii.redact(docs).collect()
-    assert len(out) == 4
-    assert [x.text for x in out if x.doc_id == 1] == ["é [EMAIL] 10.0.0.256 [IP].5 card [CARD] tel [PHONE] x@y"] * 2
-
-
-def test_patterns_discover_unseen_numbers(spark):
-    rows = [(i, f"words here customer hotline +49 30 5550{i:04d} today", "de", "s", 0) for i in range(40)]
-    rows += [(100, "words here customer hotline 030 5551234 today", "de", "s", 0), (101, "number 030 9998887 alone", "de", "s", 0)]
-    docs = spark.createDataFrame(rows, DOCS)
-    got = {x.doc_id: len(x.spans) for x in pii.annotate(docs).collect()}
-    assert got[0] == 1 and got[100] == 1 and got[101] == 0
-
-
-def test_discovered_numbers_qualify_patterns_without_seeds(spark):
-    """Two hops: hotline (seeds) vouches for four numbers, these for 'reach desk', and that for a number seen only there."""
-    rows = [(i, f"words here customer hotline +49 30 5550{i:04d} today", "de", "s", 0) for i in range(40)]
-    near = [f"030 555123{i}" for i in range(4)]
-    rows += [(100 + i, f"words here customer hotline {x} today", "de", "s", 0) for i, x in enumerate(near)]
-    rows += [(200 + i, f"please reach desk {x} soon", "de", "s", 0) for i, x in enumerate([*near, "040 7776661"])]
-    rows += [(300 + i, f"order number {x} shipped", "de", "s", 0) for i, x in enumerate([*near, "040 1112223"])]
-    rows += [(400 + i, f"order number {w} shipped", "de", "s", 0) for i, w in enumerate("one two three four five six".split())]
-    docs = spark.createDataFrame([*rows, (500, None, None, None, None)], DOCS)
-    got = {x.doc_id: len(x.spans) for x in pii.annotate(docs).collect()}
-    assert [got[100 + i] for i in range(4)] == [1] * 4
-    assert [got[200 + i] for i in range(5)] == [1] * 5
-    assert [got[300 + i] for i in range(5)] == [0] * 5
-    assert got[500] == 0 and all(got[400 + i] == 0 for i in range(6))
-
-
-def test_undecided_candidates_do_not_count_against_a_pattern(spark):
-    rows = [(i, f"words here customer hotline +49 30 5550{i:04d} today", "de", "s", 0) for i in range(4)]
-    rows += [(100 + i, f"words here customer hotline 030 555{i:04d} today", "de", "s", 0) for i in range(30)]
-    got = {x.doc_id: len(x.spans) for x in pii.annotate(spark.createDataFrame(rows, DOCS)).collect()}
-    assert all(got[100 + i] == 1 for i in range(30))
-
-
-def test_words_around_candidates():
-    words, taken = pii.ordinary("Call tel:030-5551234 or 030 555 9999, a@b now 12")
-    assert words == ["call", "0", "or", "0", "0", "0", "a@b", "now", "0"] and taken == {1, 3, 4, 5, 6}
-
-
 def test_main_text():
     tree = html_extract.grow(html_extract.LABELLED[:, :-1], html_extract.LABELLED[:, -1])
     page = """<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav>

@@ -1,51 +1,66 @@
 """Personal data by bootstrapped contextual extraction.
 
-Seeds are what four fixed patterns find (email, ip, card with Luhn's check, phone). Beside them a text holds candidates:
-strings of a like form that the patterns do not take (an address without a dotted host, a number without a plus sign or
-without a valid check digit). An occurrence of either has lexical patterns: its kind of form with the two words before
-it, and with the word before and the word after.
+Seeds are what fixed patterns find: email, ip, card with Luhn's check, phone, and secret (credentials of known prefixes,
+and strings of 40 hexadecimal digits that are assigned in quotes). Beside them a text holds candidates, strings of a like
+form that the patterns do not take: an address without a dotted host (form 0), a number without a plus sign or without a
+valid check digit (1), a long string of letters and digits (2). An occurrence of either has four lexical patterns: the
+word before it, the two words before, the word before with the word after, the two words after. Words are runs of letters
+and digits, in lower case; those with digits are all one word.
 
 Spark scores the graph of patterns and instances in rounds. A pattern's confidence in a kind is the share of the kind's
 trusted instances among all decided ones that it meets: ordinary words in the same context (counted over the whole
-corpus), strings of the other form, instances trusted as another kind, and candidates that are distrusted as this kind
+corpus), strings of another form, instances trusted as another kind, and candidates that are distrusted as this kind
 count against it; candidates that nothing has decided yet do not count. A pattern is judged from ``SUPPORT`` distinct
 trusted instances and counts from confidence ``TRUST``. An instance's score is 1 - prod(1 - confidence) over its
-patterns that count; from ``TRUST`` it is trusted in the next round, as good as a seed, so that it can qualify patterns
-which no seed stands in. A candidate is distrusted if all patterns judged together give it 1 - ``TRUST`` or less. In the
-end, occurrences of trusted candidates under patterns that count become spans of that kind. There are ``ROUNDS`` rounds:
-what lies more than that many steps from a seed is not found. Seeds stay whatever the graph says.
-
-Cases: a null or empty text has no spans. Repeated rows have the same spans each; rows that share an id but not the text
-are told apart by a hash of both. A null doc_id stays null. An empty table gives no rows. Other columns are ignored by
-``annotate`` and handed on by ``redact``. Texts are scanned whole, in code points.
+patterns that count; from ``TRUST`` it is trusted for good, as much as a seed, so that it can qualify patterns which no
+seed stands in. A candidate is distrusted if all patterns judged together give it 1 - ``TRUST`` or less. Rounds go on
+until none trusts a new instance. Then the occurrences of trusted candidates under patterns that count become spans of
+that kind. Seeds stay whatever the graph says.
+
+All work on one text is linear in its length: words are hashed once, and a pattern is a 64-bit hash of its words.
+
+Cases: a null or empty text has no spans. Repeated rows have the same spans each; rows are told apart by a 128-bit hash of
+id and text. A null doc_id stays null. An empty table gives no rows. Other columns are ignored by ``annotate`` and handed
+on by ``redact``, whatever their names. Texts are scanned whole, in code points.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from zlib import crc32
 
-import pandas as pd
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import as_text, few, materialize
+from treeledger.llm.common import as_text, few, map_rows, materialize, packed, row_key, scratch, unpacked
 
+#: The base kinds, and all kinds.
 KINDS = ("email", "ip", "card", "phone")
-# The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+NAMES = (*KINDS, "secret")
+# The base patterns, written so that no text takes more than linear time, and the seeds of secrets.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Forms of candidates: with an at sign, or seven digits and more with separators.
-LIKE_EMAIL = re.compile(r"[^\s@,;:<>()\"']+@[^\s@,;:<>()\"']+")
+SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[po]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24}|(?<== \")[0-9a-f]{40}(?=\"))(?![A-Za-z0-9])")
+#: Forms of candidates: around an at sign, seven digits and more with separators, twenty letters and digits and more.
+_AROUND = "\\s@,;:<>()\"'"
+_LEFT, _RIGHT = re.compile(f"[{_AROUND}]"), re.compile(f"[^{_AROUND}]+")
 LIKE_NUMBER = re.compile(r"[0-9](?:[\x20()./-]{0,2}[0-9]){6,}")
+LIKE_TOKEN = re.compile(r"[A-Za-z0-9_-]{20,}")
+_FORM = {0: 0, 1: 1, 2: 1, 3: 1, 4: 2}
 _SOME = re.compile("[0-9@]")
-_TOKEN = re.compile(r"\S+")
-SUPPORT, TRUST, ROUNDS = 3, 0.9, 3
-#: Bits of the table that tells the corpus scan which contexts may be patterns. Others are never sent; the join decides.
-BITS, WORD_BITS = 1 << 23, 1 << 15
+_DIGIT = re.compile("[0-9]")
+_WORD = re.compile(r"\w+")
+SUPPORT, TRUST = 3, 0.9
+LONG = 64
+
+_rng = np.random.default_rng(6)
+_MUL = _rng.integers(0, 2**64, 7, dtype=np.uint64) | np.uint64(1)
+_ADD = _rng.integers(0, 2**64, 4, dtype=np.uint64)
 
 
 def luhn(digits: str) -> bool:
@@ -56,125 +71,213 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> list[tuple[int, int, int]]:
+    """From each at sign to the left over local characters, as far as the last match or at sign, and to the right over a
+    dotted host: what a leftmost search for the whole pattern finds, without trying every place to its left."""
+    out, low = [], 0
+    p = text.find("@")
+    while p >= 0:
+        a = low + len(text[low:p].rstrip(LOCAL))
+        m = HOST.match(text, p + 1) if a < p else None
+        if m:
+            out.append((a, 0, m.end()))
+        low = m.end() if m else p + 1
+        p = text.find("@", low)
+    return out
+
+
+def _ips(text: str) -> list[tuple[int, int, int]]:
+    """Four parts after four parts of each dotted chain of numbers."""
+    out = []
+    for m in DOTTED.finditer(text):
+        parts, a = m.group().split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            b = a + sum(map(len, parts[i : i + 4])) + 3
+            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in parts[i : i + 4]):
+                out.append((a, 1, b))
+            a = b + 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the fixed patterns: leftmost, non-overlapping in each kind; a match that fails its test is
+    """(start, kind, end) of the base patterns: leftmost, non-overlapping in each kind; a match that fails its test is
     dropped and not tried again."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out = _emails(text) if "@" in text else []
+    if not _DIGIT.search(text):
+        return out
+    out += _ips(text)
     for m in CARD.finditer(text):
-        d = m.group().replace(" ", "").replace("-", "")
-        if 14 <= len(d) <= 19 and luhn(d):
-            out.append((m.start(), 2, m.end()))
+        if m.end() - m.start() >= 14:
+            d = m.group().replace(" ", "").replace("-", "")
+            if 14 <= len(d) <= 19 and luhn(d):
+                out.append((m.start(), 2, m.end()))
     if "+" in text:
         out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= sum("0" <= c <= "9" for c in m.group()) <= 15]
     return sorted(out)
 
 
+def secret_seeds(text: str) -> list[tuple[int, int, int]]:
+    return [(m.start(), 4, m.end()) for m in SECRET.finditer(text)] if _DIGIT.search(text) else []
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, form, end) of strings that look alike and overlap no span; form 0 with an at sign, 1 a number."""
-    found = [(m.start(), 0, m.end()) for m in LIKE_EMAIL.finditer(text)] if "@" in text else []
+    """(start, form, end) of strings that look alike and overlap no span."""
+    found, low = [], 0
+    p = text.find("@")
+    while p >= 0:
+        left = low + max((m.end() for m in _LEFT.finditer(text, low, p)), default=low) - low
+        m = _RIGHT.match(text, p + 1) if left < p else None
+        if m:
+            found.append((left, 0, m.end()))
+        low = m.end() if m else p + 1
+        p = text.find("@", low)
     found += [(m.start(), 1, m.end()) for m in LIKE_NUMBER.finditer(text)]
-    return [x for x in found if not any(a < x[2] and x[0] < b for a, _, b in spans)]
+    for m in LIKE_TOKEN.finditer(text):
+        s = m.group()
+        if _DIGIT.search(s) and not s.replace("-", "").replace("_", "").isdigit() and any(c.isalpha() for c in s):
+            found.append((m.start(), 2, m.end()))
+    # the union of the spans as apart stretches, to look up by place
+    starts, ends = [], []
+    for a, _, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [x for x in found if (i := bisect_right(ends, x[0])) == len(starts) or starts[i] >= x[2]]
 
 
-def _word(w: str) -> str:
-    return "0" if any("0" <= c <= "9" for c in w) else w.lower()
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The two words before, and the word before with the word after. Words hold no digits; a text's edge is ^ or $.
-    The stretches looked at double until they hold the words whole, so no word is cut."""
-    reach = 64
-    while True:
-        a = max(0, start - reach)
-        left = text[a:start].split()
-        if a == 0 or len(left) > 2:
-            break
-        reach *= 2
-    reach = 64
-    while True:
-        b = min(len(text), end + reach)
-        right = text[end:b].split()
-        if b == len(text) or len(right) > 1:
-            break
-        reach *= 2
-    before = ["^", "^", *map(_word, left[-2:])][-2:]
-    after = _word(right[0]) if right else "$"
-    return [f"2 {before[0]} {before[1]}", f"1 {before[1]} _ {after}"]
+def patterns_of(b2: np.ndarray, b1: np.ndarray, a1: np.ndarray, a2: np.ndarray) -> np.ndarray:
+    """(4, n) int64: the patterns of places whose words before are b2 b1 and whose words after are a1 a2."""
+    m, c = _MUL, _ADD
+    return _mix(np.stack([b1 * m[0] + c[0], b2 * m[1] + b1 * m[2] + c[1], b1 * m[3] + a1 * m[4] + c[2], a1 * m[5] + a2 * m[6] + c[3]])).view(np.int64)
 
 
-_OCC = "array<struct<start:int,end:int,kind:int,form:int,inst:string,ctx:array<string>>>"
+class Words(dict):
+    """The hash of a word as patterns know it; keeps those it has met, up to a number."""
 
+    EDGES = np.array([1, 1, 2, 2], np.uint64)  # two before a text, two after it
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, key, spans array<struct<start, kind, end>>, occ: occurrences of seeds and candidates, a row for each row."""
-    def run(batches):
-        for p in batches:
-            out = []
-            for d, k, t in zip(p["doc_id"], p["key"], p["text"], strict=True):
-                if not _SOME.search(t):
-                    out.append((d, k, [], []))
-                    continue
-                spans = base_spans(t)
-                occ = [(a, b, kind, 0 if kind == 0 else 1) for a, kind, b in spans] + [(a, b, -1, form) for a, form, b in candidates(t, spans)]
-                occ = [{"start": a, "end": b, "kind": kind, "form": form, "inst": t[a:b].lower(), "ctx": contexts(t, a, b)} for a, b, kind, form in occ]
-                out.append((d, k, [{"start": a, "kind": kind, "end": b} for a, kind, b in spans], occ))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "spans", "occ"]).astype({"doc_id": "Int64"})
-
-    schema = f"doc_id long, key long, spans array<struct<start:int,kind:int,end:int>>, occ {_OCC}"
-    return keyed(docs).select(F.col("doc_id").cast("long"), "key", as_text(F.col("text")).alias("text")).mapInPandas(run, schema)
+    def __missing__(self, w: str) -> int:
+        h = xxhash.xxh3_64_intdigest("0" if _DIGIT.search(w) else w.lower().encode("utf-8", "surrogatepass"))
+        if len(w) <= LONG:
+            if len(self) > 50_000:
+                self.clear()
+            self[w] = h
+        return h
 
+    def __call__(self, words: list[str]) -> np.ndarray:
+        e = self.EDGES
+        return np.concatenate([e[:2], np.array(list(map(self.__getitem__, words)), np.uint64), e[2:]])
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), as_text(F.col("text"))))
+
+def spell(s: str) -> str:
+    """An instance as the graph knows it."""
+    s = s.lower()
+    return s if len(s) <= LONG else xxhash.xxh3_128_hexdigest(s.encode("utf-8", "surrogatepass"))
+
+
+def places(starts: list[int], ends: list[int], a: int, b: int) -> tuple[int, int]:
+    """The words i to j - 1 that lie in the stretch from a to b, whole or in part."""
+    return bisect_right(ends, a), bisect_left(starts, b)
 
 
-def ordinary(text: str) -> tuple[list[str], set[int]]:
-    """The words of a text as contexts spell them, and the places of those that hold a seed or a candidate, whole or in part."""
-    if not _SOME.search(text):
-        return [_word(w) for w in text.split()], set()
-    spans = base_spans(text)
-    taken = [(a, b) for a, _, b in spans + candidates(text, spans)]
-    starts = [m.start() for m in _TOKEN.finditer(text)]
-    return [_word(w) for w in text.split()], {i for a, b in taken for i in range(bisect_right(starts, a) - 1, bisect_left(starts, b))}
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+_OCC = "array<struct<start:int,end:int,kind:int,form:int,inst:string,ctx:array<long>>>"
 
 
-def bit_table(patterns: DataFrame) -> bytes:
-    """A bit for each crc32 (modulo BITS) of a context; of the same size for any number of patterns."""
-    at = patterns.select((F.crc32(F.col("ctx").cast("binary")) % BITS).alias("at"))
-    bits = bytearray(BITS // 8)
-    rows = at.groupBy(F.floor(F.col("at") / WORD_BITS).alias("g")).agg(F.bitmap_construct_agg(F.col("at") % WORD_BITS).alias("m"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key, text; key stands for id and text."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text(F.col("text")).alias("text"))
+    return d.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, key, base, seeds (spans), occ: occurrences of seeds and candidates, a row for each row."""
+
+    def make():
+        known = Words()
+
+        def one(t: str) -> tuple[list, list, list]:
+            base, seeds = base_spans(t), secret_seeds(t)
+            found = [(a, b, k, _FORM[k]) for a, k, b in base + seeds] + [(a, b, -1, form) for a, form, b in candidates(t, base + seeds)]
+            if not found:
+                return [], [], []
+            at = list(_WORD.finditer(t))
+            starts, ends = [m.start() for m in at], [m.end() for m in at]
+            w = known([m.group() for m in at])
+            ij = np.array([places(starts, ends, a, b) for a, b, _, _ in found])
+            i, j = ij[:, 0] + 2, ij[:, 1] + 2
+            ctx = patterns_of(w[i - 2], w[i - 1], w[j], w[j + 1]).T.tolist()
+            occ = [{"start": a, "end": b, "kind": k, "form": f, "inst": spell(t[a:b]), "ctx": c} for (a, b, k, f), c in zip(found, ctx, strict=True)]
+            span = lambda rows: [{"start": a, "kind": k, "end": b} for a, k, b in rows]
+            return span(base), span(seeds), occ
+
+        return lambda rows: [(d, k, *(one(t) if _SOME.search(t) else ([], [], []))) for d, k, t in rows]
+
+    return map_rows(keyed(docs), make, f"doc_id long, key struct<a:long,b:long>, base {_SPANS}, seeds {_SPANS}, occ {_OCC}")
+
+
+def bit_table(contexts: DataFrame) -> np.ndarray:
+    """A bit for each context modulo a power of two, 16 times their number if that is at most 2 ** 28: what the corpus
+    scan looks up. Contexts that share a bit are told apart by a join afterwards."""
+    n = contexts.count()
+    bits = 1 << max(15, min(28, (16 * n).bit_length()))
+    at = contexts.select(F.pmod("ctx", F.lit(bits)).alias("at"))
+    rows = at.groupBy(F.shiftright("at", 15).alias("g")).agg(F.bitmap_construct_agg(F.col("at") % (1 << 15)).alias("m"))
+    out = np.zeros(bits // 8, np.uint8)
     for r in rows.toLocalIterator():
-        bits[r.g * WORD_BITS // 8 : (r.g + 1) * WORD_BITS // 8] = r.m
-    return bytes(bits)
-
-
-def background(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """ctx, words: how often each pattern's context occurs in the corpus around a word that is no seed or candidate."""
-    bits = bit_table(patterns)
-
-    def run(batches):
-        for p in batches:
-            seen: dict[str, int] = {}
-            for t in p["text"]:
-                words, taken = ordinary(t)
-                w = ["^", "^", *words, "$"]
-                for i in range(2, len(w) - 1):
-                    for c in (f"2 {w[i - 2]} {w[i - 1]}", f"1 {w[i - 1]} _ {w[i + 1]}"):
-                        h = crc32(c.encode()) % BITS
-                        if bits[h >> 3] >> (h & 7) & 1 and i - 2 not in taken:
-                            seen[c] = seen.get(c, 0) + 1
-            if seen:  # a frame without rows has no type of its own
-                yield pd.DataFrame({"ctx": list(seen), "words": list(seen.values())})
-
-    found = docs.select(as_text(F.col("text")).alias("text")).mapInPandas(run, "ctx string, words long")
+        out[r.g << 12 : (r.g + 1) << 12] = np.frombuffer(r.m, np.uint8)
+    return out
+
+
+def background(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """ctx, words: how often each context occurs in the corpus around a word that is no seed or candidate."""
+    held = docs.sparkSession.sparkContext.broadcast(bit_table(contexts))
+
+    def make():
+        known, bits = Words(), held.value
+        last = np.int64(8 * len(bits) - 1)
+
+        def one(t: str) -> tuple[np.ndarray, np.ndarray]:
+            """Hashes of the words with the edges around, and which of them are places of ordinary words."""
+            if not _SOME.search(t):
+                w = known(_WORD.findall(t))
+                free = np.ones(len(w), bool)
+            else:
+                at = list(_WORD.finditer(t))
+                w = known([m.group() for m in at])
+                free = np.ones(len(w), bool)
+                spans = base_spans(t) + secret_seeds(t)
+                starts, ends = [m.start() for m in at], [m.end() for m in at]
+                for a, _, b in spans + candidates(t, spans):
+                    i, j = places(starts, ends, a, b)
+                    free[i + 2 : j + 2] = False
+            free[:2] = free[-2:] = False
+            return w, free
+
+        def work(rows):
+            w, free = (np.concatenate(x) for x in zip(*(one(t) for (t,) in rows), strict=True))
+            i = np.nonzero(free)[0]
+            ctx = patterns_of(w[i - 2], w[i - 1], w[i + 1], w[i + 2]).ravel()
+            at = ctx & last
+            ctx, n = np.unique(ctx[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1], return_counts=True)
+            return list(zip(ctx.tolist(), n.tolist(), strict=True))
+
+        return work
+
+    found = map_rows(docs.select(as_text(F.col("text")).alias("text")), make, "ctx long, words long")
     found = found.groupBy("ctx").agg(F.sum("words").alias("words"))
-    return found.join(F.broadcast(patterns) if few(patterns) else patterns, "ctx", "left_semi")
+    return found.join(F.broadcast(contexts) if few(contexts) else contexts, "ctx", "left_semi")
 
 
-def discover(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame | None:
+def discover(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, trust: float = TRUST) -> DataFrame | None:
     """key, start, kind, end of the candidates that trusted patterns vouch for; None if no pattern can qualify."""
     occ = scanned.select("key", F.explode("occ").alias("o")).select("key", "o.start", "o.end", "o.kind", "o.form", "o.inst", F.explode("o.ctx").alias("ctx"))
     occ = materialize(occ, "occurrences")
@@ -185,17 +288,17 @@ def discover(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, trust:
         return None
     hint = F.broadcast if few(useful) else lambda x: x
     forms = occ.groupBy("ctx", F.col("form").alias("other")).agg(F.count("*").alias("others"))
-    forms = forms.join(hint(useful), "ctx").where("form <> other").select("form", "ctx", "others")
+    forms = forms.join(hint(useful), "ctx").where("form <> other").groupBy("form", "ctx").agg(F.sum("others").alias("others"))
     words = materialize(background(docs, materialize(useful.select("ctx").distinct(), "contexts")), "background")
-    # what speaks against a pattern from the start: ordinary words and strings of the other form
+    # what speaks against a pattern from the start: ordinary words and strings of another form
     no = useful.join(words, "ctx", "left").join(forms, ["form", "ctx"], "left")
     no = materialize(no.select("form", "ctx", (F.coalesce("words", F.lit(0)) + F.coalesce("others", F.lit(0))).alias("no")), "no")
     occ = materialize(occ.join(hint(useful), ["form", "ctx"], "left_semi"), "graph")
     edges = materialize(occ.groupBy("form", "ctx", "inst", "kind").agg(F.count("*").alias("n")), "edges")
-    sure = edges.where("kind >= 0").select("inst", F.col("kind").alias("as")).distinct().withColumn("score", F.lit(1.0))
-    trusted = sure = materialize(sure, "seeds")
-    distrusted = None
-    for r in range(rounds):
+    seeds = edges.where("kind >= 0").select("inst", F.col("kind").alias("as")).distinct().withColumn("score", F.lit(1.0))
+    trusted = materialize(seeds, "seeds")
+    held, distrusted, turn = trusted.count(), None, 0
+    while True:
         good = edges.join(trusted, "inst").where("kind < 0 or kind = `as`").groupBy("form", "ctx", "as")
         good = good.agg(F.sum(F.col("n") * F.col("score")).alias("good"), F.count_distinct("inst").alias("distinct"))
         known = trusted.select("inst").distinct()
@@ -206,16 +309,20 @@ def discover(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, trust:
             bad = edges.where("kind < 0").join(known, "inst", "left_anti").join(distrusted, "inst")
             judged = judged.join(bad.groupBy("form", "ctx", "as").agg(F.sum("n").alias("bad")), ["form", "ctx", "as"], "left")
             met = met + F.coalesce("bad", F.lit(0))
-        judged = materialize(judged.select("form", "ctx", "as", (F.col("good") / met).alias("conf")), f"patterns{r}")
-        patterns = judged.where(F.col("conf") >= trust)
+        judged = materialize(judged.select("form", "ctx", "as", (F.col("good") / met).alias("conf")), f"patterns{turn}")
         doubt = F.log(1 - F.least(F.col("conf"), F.lit(0.999)))
         scores = edges.where("kind < 0").join(judged, ["form", "ctx"]).groupBy("inst", "as")
         scores = scores.agg((1 - F.exp(F.sum(F.when(F.col("conf") >= trust, doubt).otherwise(0.0)))).alias("score"), (1 - F.exp(F.sum(doubt))).alias("most"))
-        scores = materialize(scores, f"scores{r}")
+        scores = materialize(scores, f"scores{turn}")
         vouched = scores.where(F.col("score") >= trust).select("inst", "as", "score")
         distrusted = scores.where(F.col("most") <= 1 - trust).select("inst", "as")
-        trusted = materialize(sure.unionByName(vouched).groupBy("inst", "as").agg(F.max("score").alias("score")), f"trusted{r}")
-    found = occ.where("kind < 0").join(patterns, ["form", "ctx"]).join(trusted, ["inst", "as"])
+        # what is trusted stays so: the number can only grow, and the rounds end
+        trusted = materialize(trusted.unionByName(vouched).groupBy("inst", "as").agg(F.max("score").alias("score")), f"trusted{turn}")
+        now, turn = trusted.count(), turn + 1
+        if now == held:
+            break
+        held = now
+    found = occ.where("kind < 0").join(judged.where(F.col("conf") >= trust), ["form", "ctx"]).join(trusted, ["inst", "as"])
     best = found.groupBy("key", "start", "end").agg(F.max_by("as", F.struct("conf", -F.col("as"))).alias("kind"))
     return best.select("key", "start", F.col("kind").cast("int").alias("kind"), "end")
 
@@ -223,28 +330,33 @@ def discover(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, trust:
 def annotate(docs: DataFrame) -> DataFrame:
     """doc_id, key, base and spans (both array<struct<start, kind, end>>, by start and kind) for each row of docs."""
     scanned = materialize(scan(docs), "scan")
-    found = discover(docs, scanned)
-    out = scanned.select("doc_id", "key", F.array_sort("spans").alias("base"))
-    if found is None:
-        return out.withColumn("spans", F.col("base"))
-    more = materialize(found.groupBy("key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more")), "discovered")
-    out = out.join(F.broadcast(more) if few(more) else more, "key", "left")
-    return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))).drop("more")
+    with scratch(docs.sparkSession):
+        found = discover(docs, scanned)
+        if found is not None:
+            more = found.groupBy("key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
+            more = materialize(more, "discovered", keep=True)
+    out = scanned.select("doc_id", "key", F.array_sort("base").alias("base"), "seeds")
+    all_ = ["base", "seeds"]
+    if found is not None:
+        out = out.join(F.broadcast(more) if few(more) else more, "key", "left")
+        all_.append(F.coalesce("more", F.array().cast(_SPANS)))
+    return out.select("doc_id", "key", "base", F.array_sort(F.concat(*all_)).alias("spans"))
 
 
 def spans_text(spans: str) -> Column:
     """kind:start:end of each span, comma-joined."""
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, NAMES))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced by its kind in square brackets; spans that overlap are replaced as one."""
     marks = materialize(annotate(docs).where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"]), "marks")
-    rows = keyed(docs)
-    maybe = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    piece = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
+    text = F.col("row.text")
+    rows = packed(docs).withColumn("key", row_key(F.col("row.doc_id").cast("long"), as_text(text)))
+    maybe = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in NAMES])
+    piece = lambda a, b: F.substring(text, a + 1, b - a)
 
     def step(s: Column, x: Column) -> Column:
         apart = x.start >= s.at
@@ -254,7 +366,8 @@ def redact(docs: DataFrame) -> DataFrame:
         )
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    masked = F.aggregate("spans", start, step, lambda s: F.concat(s.out, piece(s.at, F.length("text"))))
+    masked = F.aggregate("spans", start, step, lambda s: F.concat(s.out, piece(s.at, F.length(text))))
     hit = rows.where(maybe).join(F.broadcast(marks) if few(marks, 200_000) else marks, "key", "left")
-    hit = hit.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked)).drop("key", "spans")
-    return rows.where(~maybe).drop("key").unionByName(hit.select(*docs.columns))
+    masked = F.when(F.col("spans").isNull(), text).otherwise(masked)
+    plain = rows.where(~maybe).select(*unpacked(docs.columns))
+    return plain.unionByName(hit.select(*unpacked(docs.columns, text=masked)))

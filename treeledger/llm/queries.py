@@ -54,6 +54,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
         F.sha2(pii.spans_text("base"), 256).alias("base_sha256"), pii.spans_text("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
