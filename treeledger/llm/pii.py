@@ -120,31 +120,34 @@ def secret_seeds(text: str) -> list[tuple[int, int, int]]:
     return [(m.start(), 4, m.end()) for m in SECRET.finditer(text)] if _DIGIT.search(text) else []
 
 
+def _apart(found: list[tuple[int, int, int]], spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of found that overlap no span: the union of the spans as apart stretches, looked up by place."""
+    starts, ends = [], []
+    for a, _, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [x for x in found if (i := bisect_right(ends, x[0])) == len(starts) or starts[i] >= x[2]]
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, form, end) of strings that look alike and overlap no span."""
+    """(start, form, end) of strings that look alike and overlap no span, nor a candidate of a form named before: around
+    an at sign, of letters and digits, a number."""
     found, low = [], 0
     p = text.find("@")
     while p >= 0:
-        left = low + max((m.end() for m in _LEFT.finditer(text, low, p)), default=low) - low
+        left = max((m.end() for m in _LEFT.finditer(text, low, p)), default=low)
         m = _RIGHT.match(text, p + 1) if left < p else None
         if m:
             found.append((left, 0, m.end()))
         low = m.end() if m else p + 1
         p = text.find("@", low)
-    found += [(m.start(), 1, m.end()) for m in LIKE_NUMBER.finditer(text)]
-    for m in LIKE_TOKEN.finditer(text):
-        s = m.group()
-        if _DIGIT.search(s) and not s.replace("-", "").replace("_", "").isdigit() and any(c.isalpha() for c in s):
-            found.append((m.start(), 2, m.end()))
-    # the union of the spans as apart stretches, to look up by place
-    starts, ends = [], []
-    for a, _, b in sorted(spans):
-        if ends and a <= ends[-1]:
-            ends[-1] = max(ends[-1], b)
-        else:
-            starts.append(a)
-            ends.append(b)
-    return [x for x in found if (i := bisect_right(ends, x[0])) == len(starts) or starts[i] >= x[2]]
+    found = _apart(found, spans)
+    mixed = [m for m in LIKE_TOKEN.finditer(text) if _DIGIT.search(m.group()) and any(c.isalpha() for c in m.group())]
+    found += _apart([(m.start(), 2, m.end()) for m in mixed], spans + found)
+    return found + _apart([(m.start(), 1, m.end()) for m in LIKE_NUMBER.finditer(text)], spans + found)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
