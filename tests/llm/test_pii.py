@@ -158,7 +158,7 @@ def test_graph_equals_a_plain_version(spark):
 
 
 def test_secrets_of_other_forms_are_discovered(spark):
-    rows = [(i, f'words token = "{i:040x}" here', "en", "s", 0) for i in range(1, 9)]
+    rows = [(i, f'words token = "{i:040x}" {"abcdefghij"[i]} words', "en", "s", 0) for i in range(1, 9)]
     rows += [(20, 'WORDS TOKEN = "0123456789ABCDEF0123456789ABCDEF01234567"!! HERE', "en", "s", 0), (21, "plain ABCDEF0123456789ABCDEF0123 here", "en", "s", 0)]
     got = {x.doc_id: [(pii.NAMES[s.kind], s.start) for s in x.spans] for x in pii.annotate(spark.createDataFrame(rows, DOCS)).collect()}
     assert got[1] == [("secret", 15)] and got[20] == [("secret", 15)] and got[21] == []
