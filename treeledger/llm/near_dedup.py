@@ -16,19 +16,19 @@ A link of similarity 0.75 escapes all 40 bands of 5 samples with probability 2e-
 five standard deviations too low (under ``FLOOR``) to be dropped.
 
 Cases: a null, empty or blank text has an empty set, size 0, linked with nothing. A row without doc_id takes no part:
-component_id is null, kept false. Rows that share a doc_id are one document. An empty table gives no rows. Columns other
-than doc_id and text are ignored by ``components`` and handed on by ``deduplicate``.
+component_id is null, kept false. Rows that share a doc_id are one document, which has the links of all its texts. An
+empty table gives no rows. Columns other than doc_id and text are ignored by ``components`` and handed on by
+``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import few, materialize, only
+from treeledger.llm.common import few, map_rows, materialize, only, scratch
 
 WORDS = 5
 PERCENT = 75
@@ -53,31 +53,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Hashes(dict):
+    """The hash of a word; keeps those of short words that it has met, up to a number."""
+
+    def __missing__(self, w: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(w)
+        if len(w) <= 32:
+            if len(self) >= 50_000:
+                self.clear()
+            self[w] = h
+        return h
+
+
 class Shingler:
-    """Shingle sets of whole texts; keeps the hashes of the words it has met, up to a number."""
+    """Shingle sets of whole texts."""
 
-    def __init__(self, most: int = 200_000):
-        self.words: dict[bytes, int] = {}
-        self.most = most
+    def __init__(self):
+        self.words = Hashes()
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __call__(self, text: bytes | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes. bytes.lower() folds A-Z only, and bytes.split() splits at x20 and x09-x0D."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.words
-        if len(known) > self.most:
-            known.clear()
-        try:
-            h = np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.array([known[w] for w in words], np.uint64)
+        h = np.array(list(map(self.words.__getitem__, (text or b"").lower().split())), np.uint64)
         n = len(h)
         if n < WORDS:  # the whole sequence as one, told apart by its length
-            s = np.array([n], np.uint64)
+            s = np.array([n] if n else [], np.uint64)
             for i in range(n):
                 s = _mix(s + h[i : i + 1] * _MUL[i : i + 1])
             return s
@@ -99,38 +98,36 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bands.view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (the class), bands, sketch for each row; the last four null without words."""
 
-    def run(batches):
+    def make():
         shingles = Shingler()
-        for p in batches:
-            out = []
-            for d, t in zip(p["doc_id"], p["text"], strict=True):
-                s = shingles(t)
-                if not len(s):
-                    out.append((d, 0, None, None, None, None))
-                    continue
-                raw = s.tobytes()
-                k = [xxhash.xxh3_64_intdigest(raw, seed) - 2**63 for seed in (1, 2)]
-                out.append((d, len(s), *k, *signature(s)))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
-            yield frame.astype({"doc_id": "Int64", "k1": "Int64", "k2": "Int64"})
-
-    schema = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+
+        def one(d, t) -> tuple:
+            s = shingles(t)
+            if not len(s):
+                return d, 0, None, None, None, None
+            raw = s.tobytes()
+            return d, len(s), *[xxhash.xxh3_64_intdigest(raw, seed) - 2**63 for seed in (1, 2)], *signature(s)
+
+        return lambda rows: [one(d, t) for d, t in rows]
+
+    return map_rows(_texts(docs), make, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, set array<long> of the documents whose doc_id is among ids."""
 
-    def run(batches):
+    def make():
         shingles = Shingler()
-        for p in batches:
-            yield pd.DataFrame({"id": p["id"], "set": [shingles(t).view(np.int64) for t in p["text"]]})
+        return lambda rows: [(d, shingles(t).view(np.int64)) for d, t in rows]
 
-    rows = only(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id")
-    return rows.mapInPandas(run, "id long, set array<long>")
+    return map_rows(only(_texts(docs), ids, "id"), make, "id long, set array<long>")
 
 
 def estimate(a: str, b: str):
@@ -193,7 +190,7 @@ def _prefixes(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _mixed(rows: DataFrame, key: str, label: str) -> DataFrame:
     """The rows of the keys that hold more than one component."""
     keys = rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(key)
-    return materialize(rows.join(keys, key, "left_semi"), label)
+    return materialize(only(rows, materialize(keys, f"{label}-keys"), key), label)
 
 
 def _prefix_pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
@@ -203,17 +200,17 @@ def _prefix_pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
     j = probe.select("s", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
     rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     fits = (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= PERCENT * F.col("ny")) & (rest >= share * (F.col("nx") + F.col("ny")) - 1e-6)
-    met = i.join(j, (i.s == j.s) & fits)
+    met = i.join(j, (i.s == j.s) & fits)  # a list that is long on one side only is split by the skew join
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """id, comp of the classes that are linked."""
+def _class_links(docs: DataFrame, classes: DataFrame, given: DataFrame) -> DataFrame:
+    """id, comp of the classes that are linked, by their sets or by the given links."""
     members = classes.select("class", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket", "lo")
     held = materialize(members.join(shared, "bucket"), "buckets")
     pairs = held.where("class <> lo").select(F.col("lo").alias("a"), F.col("class").alias("b")).distinct()
-    links = materialize(_confirm(docs, materialize(pairs, "pairs0"), classes, "0"), "links0")
+    links = materialize(_confirm(docs, materialize(pairs, "pairs0"), classes, "0").unionByName(given), "links0")
     comps = connect(links, "0")
 
     def marked(rows: DataFrame, column: str, comps: DataFrame) -> DataFrame:
@@ -228,7 +225,8 @@ def _class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     for turn in ("1", "2"):
         if turn == "1":  # one class of each list: the one with the least id that can be the smaller, against the others
             centre = rows.where(smaller).groupBy("s").agg(F.min(F.struct("id", "n", "pos", "comp")).alias("c")).select("s", "c.*")
-            pairs = _prefix_pairs(centre, rows)
+            centre = materialize(centre, "centres")
+            pairs = _prefix_pairs(F.broadcast(centre) if few(centre) else centre, rows)
         else:
             pairs = _prefix_pairs(rows.where(smaller), rows)
         new = materialize(_confirm(docs, materialize(pairs, f"pairs{turn}"), classes, turn), f"links{turn}")
@@ -240,16 +238,26 @@ def _class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return comps
 
 
+def _shared(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that a doc_id with several texts belongs to."""
+    ids = named.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi"))
+    ids = materialize(ids.where("lo < hi").select("doc_id"), "shared")
+    of = only(named.select("doc_id", "k1", "k2"), ids, "doc_id").join(classes.select("k1", "k2", "class"), ["k1", "k2"])
+    first = of.groupBy("doc_id").agg(F.min("class").alias("a"))
+    return of.join(first, "doc_id").select("a", F.col("class").alias("b")).where("a < b").distinct()
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     sig = materialize(signatures(docs), "signatures")
-    named = sig.where("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes, "classes")
-    comps = _class_links(docs, classes)
-    mark = comps.select(F.col("id").alias("class"), "comp")
-    final = classes.select("k1", "k2", "class").join(mark, "class", "left").select("k1", "k2", F.coalesce("comp", "class").alias("comp"))
-    final = materialize(final, "final")
+    with scratch(docs.sparkSession):
+        named = sig.where("doc_id is not null and n_shingles > 0")
+        classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        classes = materialize(classes, "classes")
+        comps = _class_links(docs, classes, _shared(named, classes))
+        mark = comps.select(F.col("id").alias("class"), "comp")
+        final = classes.select("k1", "k2", "class").join(mark, "class", "left").select("k1", "k2", F.coalesce("comp", "class").alias("comp"))
+        final = materialize(final, "final", keep=True)
     out = sig.select("doc_id", "n_shingles", "k1", "k2").join(F.broadcast(final) if few(final) else final, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
@@ -258,9 +266,10 @@ def components(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs less all but one document of each component; of rows that share a doc_id one stays, rows without doc_id stay."""
-    found = materialize(components(docs), "components")
-    dropped = materialize(found.where("doc_id is not null and not kept").select("doc_id").distinct(), "dropped")
-    twice = materialize(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    with scratch(docs.sparkSession):
+        found = materialize(components(docs), "components")
+        dropped = materialize(found.where("doc_id is not null and not kept").select("doc_id").distinct(), "dropped", keep=True)
+        twice = materialize(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice", keep=True)
     stay = only(docs, dropped, "doc_id", "left_anti")
     once = only(stay, twice, "doc_id", "left_anti")
     return once.unionByName(only(stay, twice, "doc_id").dropDuplicates(["doc_id"]))
