@@ -2,18 +2,24 @@
 
 The tags of a page cut its text into flat blocks. A block is described by its number of words and its link density, by
 those of the blocks before and after it, and by what surrounds it: an element or role that stands for boilerplate (1) or
-only a class or id that does (0.5), an element that stands for the article, a heading. Names that tell of another
-element ("has-sidebar", "no-ads") and the header of an article are no boilerplate. The names around an article's element
-do not count in it, unless the page holds another one that stands apart from such names (teasers, comments). A decision tree, grown by Gini impurity on the small
-labelled table below, says which blocks are main text.
+only a class or id that does (0.5), an element that stands for the article, a heading. A name stands for boilerplate if
+all its words do, but for words of layout ("comment-list" does, "has-sidebar" and "comments-open" don't); the header of an
+article is no boilerplate, and neither is a named element that holds a page's first h1 and most of its words. The names
+around an article's element do not count in it, unless the page holds another one that stands apart from such names
+(teasers, comments). A decision tree, grown by Gini impurity on the small labelled table below, says which blocks are main
+text.
 
 Decoded character references, white space inside a block as one space, trimmed, blocks joined by a blank line; blocks
 that the tree keeps are returned whole, whatever their length.
 
+A page is read in time linear in its length, however broken: every search for what ends a construct either moves the
+reader on or is remembered.
+
 Cases: a null or empty html, or one without text, gives the empty text. Broken markup is read as far as it goes: an end
 tag without start is ignored, an element without end lasts to the end of the one around it, a lone < is text. Scripts,
-styles and the like are passed over as raw text. A head, closed or not, holds nothing but such elements. Repeated
-rows give a row each, null ids stay null, an empty table gives no rows, other columns are ignored.
+styles and the like are passed over as raw text; buttons, videos and the like are passed over if they end before an
+article, a heading or another block begins, else only their tags are. A head, closed or not, holds nothing but such elements.
+Repeated rows give a row each, null ids stay null, an empty table gives no rows, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +28,10 @@ import html
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import as_text
+from treeledger.llm.common import as_text, map_rows
 
 # Elements of HTML and the words that name boilerplate.
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -38,14 +43,20 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BOILER_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 BOILER_NAMES = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget related recommended recommendations footer header masthead topbar toolbar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login search share sharing social comment comments commentlist reply replies respond discussion disqus pagination pager tags copyright legal disclaimer hidden".split())
 
-#: Names with such a word tell how the element stands to boilerplate, not that it is some.
-LAYOUT_WORDS = set("has have no not non with without by hide show".split())
+#: Words of a name that tell of layout, and may stand beside words that name boilerplate.
+NEUTRAL_WORDS = set("area bar block bottom box button buttons center col column container content fixed group holder inline inner item items left link links list main menu module outer page panel post posts primary right row secondary section site small sticky text title top unit wrap wrapper zone".split())
 ARTICLE_WORDS = set("article entry post story content".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<|[^<]+", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>")
+_START = re.compile(r"</?[A-Za-z]")
 #: Elements whose text is no markup: they last to their own literal end tag.
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noframes")}
-_ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+RAW = set("script style textarea title iframe noframes".split())
+_BLOCK_START = re.compile(r"<(?:article|main|section|p|div|h[1-6]|ul|ol|table|header|nav|footer|body)(?=[\s/>])", re.I)
+_ARTICLE_START = re.compile(r"<(?:article|main|h1)(?=[\s/>])", re.I)
+#: Elements that hold phrases only; others of SKIP may hold blocks of their own.
+PHRASES = set("button select datalist".split())
+_ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 FEATURES = ("boiler", "article", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after")
@@ -134,11 +145,9 @@ def _named(value: str, in_article: bool) -> bool:
     """Whether a class or id stands for boilerplate."""
     for name in value.split():
         words = {w.lower() for w in _NAME_WORD.findall(name)}
-        if words & LAYOUT_WORDS:
+        if "header" in words and (in_article or words & ARTICLE_WORDS):
             continue
-        if in_article or words & ARTICLE_WORDS:
-            words.discard("header")
-        if words & BOILER_NAMES:
+        if words & BOILER_NAMES and words <= BOILER_NAMES | NEUTRAL_WORDS:
             return True
     return False
 
@@ -161,52 +170,112 @@ def _boiler(tag: str, attributes: str, in_article: bool) -> float:
     return found
 
 
+class Reader:
+    """A page and the places of what ends its constructs, each looked for once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.held: dict[str, tuple[int, int]] = {}
+        self.quotes = True  # whether tags are still read with their quotes
+
+    def next(self, pattern: re.Pattern, pos: int) -> tuple[int, int]:
+        """(start, end) of the first match from pos on, at the page's end if there is none."""
+        at = self.held.get(pattern.pattern)
+        if at is None or at[0] < pos:
+            m = pattern.search(self.page, pos)
+            at = self.held[pattern.pattern] = m.span() if m else (len(self.page) + 1,) * 2
+        return at
+
+    def tag(self, pos: int):
+        """The tag that starts at pos, or None."""
+        if not _START.match(self.page, pos):
+            return None
+        if self.quotes:
+            if m := _TAG.match(self.page, pos):
+                return m
+            self.quotes = False  # it ran to the page's end: quotes don't pair any more
+        if self.next(_GREATER, pos)[0] > len(self.page):
+            return None
+        return _PLAIN_TAG.match(self.page, pos)
+
+    def over(self, tag: str, pos: int) -> int:
+        """Where to go on after the start of an element whose text does not count."""
+        start, end = self.next(_END[tag], pos)
+        if start > len(self.page):
+            return len(self.page) if tag in ("script", "style") else pos
+        if tag in RAW:
+            return end
+        stop = _BLOCK_START if tag in PHRASES else _ARTICLE_START
+        return end if self.next(stop, pos)[0] > start else pos
+
+
+_GREATER = re.compile(">")
+_COMMENT_END = re.compile(r"-->")
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in SKIP | RAW}
+
+
 def blocks(page: str) -> list[tuple[str, float, bool, bool, int]]:
     """(text, boiler, article, heading, characters in links) of each flat block that has text."""
-    out: list[tuple[str, float, bool, bool, int, bool]] = []
-    # element, boilerplate in it, whether an article's, whether in an outermost article below boilerplate's name
-    stack: list[tuple[str, float, bool, bool]] = []
+    out: list[tuple[str, float, bool, bool, int, bool, int]] = []
+    # element, boilerplate in it, whether an article's, whether in an outermost article below boilerplate's name, the
+    # number of the outermost element whose name alone stands for boilerplate (0: none)
+    stack: list[tuple[str, float, bool, bool, int]] = []
+    open_: dict[str, int] = {}
+    block_at: list[int] = []  # places of block elements on the stack
+    top_level = ("", 0.0, False, False, 0)
+    names = 0
     text: list[str] = []
     linked = links = 0
     heading = False
-    skip_to = ""
+    first_h1 = None
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, first_h1
         if text:
             flat = " ".join(html.unescape("".join(text)).split())
             if flat:
-                _, boiler, article, below = stack[-1] if stack else ("", 0.0, False, False)
-                out.append((flat, boiler, article, heading, linked, below))
+                _, boiler, article, below, named = stack[-1] if stack else top_level
+                out.append((flat, boiler, article, heading, linked, below, named))
+                if first_h1 is None and any(x[0] == "h1" for x in stack[-4:]):
+                    first_h1 = named
             text.clear()
         linked = 0
 
-    pos = 0
-    while m := _TOKEN.match(page, pos):
-        pos = m.end()
-        tag = m[2]
-        if tag is None:
-            raw = m[0]
-            if skip_to or raw.startswith(("<!", "<?")):
-                continue
-            text.append("&lt;" if raw == "<" else raw)
-            if links:
-                linked += len(raw)
+    def cut(at: int) -> None:
+        for x in stack[at:]:
+            open_[x[0]] -= 1
+        del stack[at:]
+        while block_at and block_at[-1] >= at:
+            block_at.pop()
+
+    reader, pos, n = Reader(page), 0, len(page)
+    while pos < n:
+        at = page.find("<", pos)
+        if at != pos:
+            at = n if at < 0 else at
+            text.append(page[pos:at])
+            linked += (at - pos) if links else 0
+            pos = at
             continue
-        tag, closing = tag.lower(), bool(m[1])
-        if tag in _RAW_END and not closing and not m[3].rstrip().endswith("/"):
-            end = _RAW_END[tag].search(page, pos)
-            pos = end.end() if end else len(page)
+        if page.startswith("<!--", pos):
+            pos = min(n, reader.next(_COMMENT_END, pos + 2)[1])
             continue
-        if tag == "head":
+        if page.startswith(("<!", "<?"), pos):
+            pos = min(n, reader.next(_GREATER, pos)[1])
             continue
-        if skip_to:
-            if closing and tag == skip_to:
-                skip_to = ""
+        m = reader.tag(pos)
+        if m is None:
+            text.append("&lt;")
+            linked += 1 if links else 0
+            pos += 1
             continue
-        if tag in SKIP:
+        pos = m.end()
+        closing, tag = bool(m[1]), m[2].lower()
+        if tag in RAW or tag in SKIP:
             if not closing and not m[3].rstrip().endswith("/"):
-                skip_to = tag
+                pos = reader.over(tag, pos)
+            continue
+        if tag == "head":
             continue
         if tag in BLOCK:
             flush()
@@ -217,27 +286,39 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, int]]:
         if tag in VOID:
             continue
         if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if at >= 0:
-                if any(stack[i][1] != (stack[at - 1][1] if at else 0.0) for i in range(at, len(stack))) and tag not in BLOCK:
+            if open_.get(tag, 0):
+                at = len(stack) - 1
+                while stack[at][0] != tag:
+                    at -= 1
+                around = stack[at - 1][1] if at else 0.0
+                if tag not in BLOCK and any(x[1] != around for x in stack[at:]):
                     flush()
-                del stack[at:]
+                cut(at)
         else:
-            if tag in BLOCK:  # a block ends an open paragraph
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), -1)
-                if at >= 0 and (stack[at][0] == "p" or (stack[at][0] in HEADINGS) or (stack[at][0] == tag and tag in ("li", "dt", "dd", "td", "th", "tr"))):
-                    del stack[at:]
-            _, boiler, article, below = stack[-1] if stack else ("", 0.0, False, False)
+            if tag in BLOCK and block_at:  # a block ends an open paragraph
+                last = stack[block_at[-1]][0]
+                if last == "p" or last in HEADINGS or (last == tag and tag in ("li", "dt", "dd", "td", "th", "tr")):
+                    cut(block_at[-1])
+            _, boiler, article, below, group = stack[-1] if stack else top_level
             named = _boiler(tag, m[3], article)
             if named > boiler and tag not in BLOCK:
                 flush()
             if tag in ARTICLE_TAGS and not article and boiler == 0.5:
                 boiler, below = 0.0, True
-            stack.append((tag, max(boiler, named), article or tag in ARTICLE_TAGS, below))
-        heading = any(s[0] in HEADINGS for s in stack[-4:])
+            if named == 0.5 and not group:
+                names += 1
+                group = names
+            if tag in BLOCK:
+                block_at.append(len(stack))
+            open_[tag] = open_.get(tag, 0) + 1
+            stack.append((tag, max(boiler, named), article or tag in ARTICLE_TAGS, below, group))
+        heading = any(x[0] in HEADINGS for x in stack[-4:])
     flush()
-    apart = any(article and boiler == 0 and not below for _, boiler, article, _, _, below in out)
-    return [(t, max(boiler, 0.5) if below and apart else boiler, *rest) for t, boiler, *rest, below in out]
+    apart = any(article and boiler == 0 and not below for _, boiler, article, _, _, below, _ in out)
+    if first_h1 and 2 * sum(len(x[0]) for x in out if x[6] == first_h1) > sum(len(x[0]) for x in out):
+        # the page's own wrapper: what its name alone says does not count
+        out = [(t, 0.0 if group == first_h1 and boiler == 0.5 else boiler, *rest, below, group) for t, boiler, *rest, below, group in out]
+    return [(t, max(boiler, 0.5) if below and apart else boiler, *rest) for t, boiler, *rest, below, _ in out]
 
 
 def extract(page: str, tree) -> str:
@@ -255,11 +336,9 @@ def extract(page: str, tree) -> str:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
 
-    def run(batches):
+    def make():
         tree = grow(LABELLED[:, :-1], LABELLED[:, -1])
-        for p in batches:
-            text = [extract(t, tree) for t in p["html"]]
-            yield pd.DataFrame({"page_id": p["page_id"].astype("Int64"), "url": p["url"], "text": text, "n_chars": [len(t) for t in text]})
+        return lambda rows: [(i, url, t, len(t)) for i, url, h in rows for t in (extract(h, tree),)]
 
-    schema = "page_id long, url string, text string, n_chars long"
-    return pages.select(F.col("page_id").cast("long"), "url", as_text(F.col("html")).alias("html")).mapInPandas(run, schema)
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), as_text(F.col("html")).alias("html"))
+    return map_rows(rows, make, "page_id long, url string, text string, n_chars long")
