@@ -1,5 +1,12 @@
 """A training corpus from documents: toxic texts go, near-duplicates and benchmark leaks go, personal data is masked and
-the sources are mixed to their target weights. Each stage works on all that the one before it kept."""
+the sources are mixed to their target weights. Each stage works on all that the one before it kept.
+
+Cases, in every stage: a null text counts as the empty text and stays null; empty texts are no duplicates of each other,
+hold no benchmark item and no personal data, and the mix takes none of their 0 words. A null doc_id is never a duplicate;
+rows with it are judged by their text. Repeated rows: toxicity, decontamination and masking treat each alike,
+near_dedup keeps one of the rows that share a doc_id, the mix takes each by itself. Ties between copies go to the least doc_id.
+An empty table gives an empty one. Texts of any length are read whole. Other columns go through, whatever their names, but
+for those that the last stage adds."""
 
 from __future__ import annotations
 
@@ -11,7 +18,8 @@ from treeledger.llm.common import materialize, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network, fitted on the labelled documents, rejects go."""
+    """Documents that the toxicity network, fitted on the labelled documents of sf_dir, rejects go. Without labels of both
+    classes the score is the one class's share."""
     model = toxicity.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
@@ -22,12 +30,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, with few edits, go."""
+    """Documents that hold an item of sf_dir's benchmark, with few edits, go; an empty benchmark drops nothing."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows the text."""
+    """Personal data is replaced by its kind in brackets; n_chars, where there is one, follows the text."""
     out = pii.redact(docs)
     if "n_chars" in docs.columns:
         n = F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
@@ -49,7 +57,8 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: SQL can't express the network of the first stage; tests/llm compares each stage with a plain version.
+#: SQL can't express the network of the first stage; tests/llm/test_pipeline.py compares each stage, and run(), with plain
+#: Python on a small fixture.
 ORACLE_SQL = None
 
 
