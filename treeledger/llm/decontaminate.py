@@ -6,24 +6,26 @@ then stands unchanged in any document that holds it, and close to its place. An
 in one pass over a whole document; where a piece is found, Myers' bit-parallel distance of the item against the
 surrounding stretch (item length and e more characters to either side) says whether, and how closely, it is there.
 
-Items go to the tasks in groups of at most ``GROUP_CHARS`` characters, one scan of the documents a group, so that no
-automaton is larger than that, however large the benchmark is. A piece that is very common costs no more than one
-distance for each stretch of the document: hits of an item whose stretches overlap are verified as one stretch.
+Items go to the tasks in groups of about ``GROUP_CHARS`` / 2 characters, so that no automaton outgrows a task, however
+large the benchmark is. A benchmark of one group takes one scan of the documents; of more, one scan a group, whose matches
+are written before the next group is fetched. A piece that is very common costs no more than one distance for each stretch
+of the document: hits of an item whose stretches overlap are verified as one stretch.
 
 Cases: null and blank texts match nothing; items that are blank after normalising are left out. Equal items are items of
 their own; repeated documents give rows of their own. A null doc_id or item_id stays null. Empty tables give no rows.
-Columns other than doc_id, text and item_id, text are ignored by ``matches`` and handed on by ``decontaminate``.
+Columns other than doc_id, text and item_id, text are ignored by ``matches`` and handed on by ``decontaminate``, whatever
+their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import as_text, materialize, only
+from treeledger.llm.common import as_text, map_rows, materialize, only, packed, row_key, scratch, unpacked
 
 RATE = 0.07
 GROUP_CHARS = 4_000_000
@@ -111,38 +113,60 @@ class Matcher:
         return out
 
 
-def _groups(benchmark: DataFrame, group_chars: int) -> list[list[tuple[int | None, str]]]:
-    """The items, normalised, in groups; each group is fetched by itself, so that one is in memory at a time."""
-    rows = benchmark.select(F.col("item_id").cast("long"), as_text(F.col("text")).alias("text"))
+def _groups(benchmark: DataFrame, group_chars: int) -> tuple[int, Iterator[list[tuple[int | None, str]]]]:
+    """The number of groups, and the items of each, normalised; each group is fetched by itself."""
+    rows = benchmark.select(F.col("item_id").cast("long"), as_text(F.col("text").cast("string")).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-size // max(1, group_chars // 2)) or 1
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    for g in range(n):
-        items = [(r.item_id, normalise(r.text)) for r in rows.where(F.col("g") == g).orderBy("item_id", "text").toLocalIterator()]
-        yield [x for x in items if x[1]]
+    if n > 1:
+        rows = materialize(rows.withColumn("g", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "benchmark")
+
+    def each():
+        for g in range(n):
+            mine = rows.where(F.col("g") == g) if n > 1 else rows
+            items = [(r.item_id, normalise(r.text)) for r in mine.orderBy("item_id", "text").toLocalIterator()]
+            yield [x for x in items if x[1]]
+
+    return n, each()
+
+
+def _matches(rows: DataFrame, benchmark: DataFrame, rate: float, group_chars: int) -> DataFrame:
+    """The first column, item_id, distance, end_char for rows of two columns, the second one the text."""
+    first = rows.schema[0]
+    schema = f"{first.name} {first.dataType.simpleString()}, item_id long, distance int, end_char long"
+    n, groups = _groups(benchmark, group_chars)
+    parts = []
+    for items in groups:
+        held = rows.sparkSession.sparkContext.broadcast(items)
+
+        def make(held=held):
+            match = Matcher(held.value, rate) if held.value else None
+            return lambda part: [(k, *x) for k, t in part if match for x in match(normalise(t))]
+
+        part = map_rows(rows.where("text is not null"), make, schema)
+        if n > 1:
+            part = materialize(part, "matches", keep=True)
+            held.unpersist()
+        parts.append(part)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, group_chars: int = GROUP_CHARS) -> DataFrame:
     """doc_id, item_id, distance, end_char (in the normalised text) for each document and item that it holds."""
-    schema = "doc_id long, item_id long, distance int, end_char long"
-    found = None
-    for items in _groups(benchmark, group_chars):
-
-        def run(batches, items=items):
-            match = Matcher(items, rate) if items else None
-            for p in batches:
-                out = [(d, *x) for d, t in zip(p["doc_id"], p["text"], strict=True) if match and t for x in match(normalise(t))]
-                frame = pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "end_char"])
-                yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
-
-        part = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInPandas(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """docs less the documents that hold a benchmark item; rows without doc_id are judged by their text alone."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text"))
-    found = matches(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, rate)
-    held = materialize(found.select(F.col("doc_id").alias("_key")).distinct(), "leaks")
-    return only(keyed, held, "_key", "left_anti").drop("_key")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with scratch(docs.sparkSession):
+        return _matches(rows, benchmark, rate, group_chars)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """docs less the documents that hold a benchmark item. Rows are told apart by 128 bits of id and text: each is judged
+    by its own text."""
+    text = F.col("row.text").cast("string")
+    keyed = packed(docs).withColumn("key", row_key(F.col("row.doc_id"), text))
+    with scratch(docs.sparkSession):
+        found = _matches(keyed.select("key", text.alias("text")), benchmark, rate, group_chars)
+        held = materialize(found.select("key").distinct(), "leaks", keep=True)
+    return only(keyed, held, "key", "left_anti").select(*unpacked(docs.columns))

@@ -17,7 +17,8 @@ blocks and those inside one crossing block see about a square root of the corpus
 source, in one array (a node of the tree holds an array of one number a source).
 
 Cases: a null text has size 0, a null source is a source of its own, and a source without words has target 0. Repeated
-rows are documents of their own. An empty table gives no rows. Columns named like the added ones are replaced.
+rows are documents of their own. An empty table gives no rows. Other columns are handed on, whatever their names; those
+named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import materialize, word_count
+from treeledger.llm.common import materialize, packed, scratch, unpacked, word_count
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -77,7 +78,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataF
 
 
 def _log_factorial(x: Column) -> Column:
-    """ln x! by Stirling's series at x + 8, brought down by the product."""
+    """ln x! by Stirling's series at x + 8, brought down by the product, in doubles: the product outgrows a long."""
+    x = x.cast("double")
     z = x + F.lit(8.0)
     series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z)
     return series - F.log((x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7))
@@ -93,7 +95,7 @@ def _hypergeometric(n: Column, k: Column, m: Column, u: Column) -> Column:
     deviations around the mean and always within the possible range."""
 
     def bounds(v: Column) -> Column:
-        mean = v.k * v.m / F.greatest(v.n, F.lit(1))
+        mean = v.k.cast("double") * v.m / F.greatest(v.n, F.lit(1))
         var = mean * (v.n - v.k) / F.greatest(v.n, F.lit(1)) * (v.n - v.m) / F.greatest(v.n - 1, F.lit(1))
         sd = F.sqrt(F.greatest(var, F.lit(0.0)))
         lo, hi = F.greatest(F.lit(0), v.m - (v.n - v.k)), F.least(v.k, v.m)
@@ -148,9 +150,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, levels: int = SHARD_
     order a shard by."""
     added = ["size", "source_size", "target", "taken", "shards"]
     docs = docs.drop(*added)
-    sized = docs.withColumn("size", word_count(F.col("text")))
+    text = F.col("row.text").cast("string")
+    sized = packed(docs).select(
+        "row", F.col("row.source").cast("string").alias("source"), word_count(text).alias("size"),
+        F.xxhash64(F.lit(seed), F.col("row.doc_id"), F.xxhash64(text)).alias("h"),
+    )
+    with scratch(docs.sparkSession):
+        per, plan = _plan(sized.select("source", "size", "h"), weights, cap, levels, seed)
+    on = F.col("source").eqNullSafe(F.col("s2"))
+    s3 = per.select(F.col("s2").alias("s3"), "source_size", "target", "blocks", "passes")
+    out = sized.join(_few(s3), F.col("source").eqNullSafe(F.col("s3")))
+    out = out.withColumn("b", F.pmod("h", "blocks")).join(_few(plan), on & (F.col("b") == F.col("b2")))
+    # in the crossing block, the last pass holds only the documents up to the cut
+    key = F.struct(F.xxhash64(F.lit(seed + 2), "h").alias("k"), F.col("h"))
+    under = F.coalesce(key <= F.col("last"), F.lit(False))
+    kept = F.filter("draws", lambda d: ~F.col("crosses") | (d["copy"] < F.col("passes")) | under)
+    return out.withColumn("draws", kept).select(
+        *unpacked(docs.columns), "size", "source_size", "target",
+        (F.col("size") * F.size("draws")).cast("long").alias("taken"),
+        F.transform("draws", lambda d: F.struct(d.shard.alias("shard"), d["copy"].alias("copy"), F.xxhash64(F.lit(seed + 3), d.shard, d["copy"], "h").alias("position"))).alias("shards"),
+    )
+
+
+def _plan(sized: DataFrame, weights, cap: float, levels: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Of documents (source, size, h): the sources (s2, source_size, target, blocks, passes, extra), and the blocks (s2, b2,
+    draws, crosses, last) with the draws that the shards make from them."""
     # which block: from the share of the documents, about sqrt(documents) in all, at least one for each source
-    narrow = materialize(sized.select("source", "size", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h")), "sizes")
+    narrow = materialize(sized, "sizes")
     per = materialize(source_targets(narrow).join(narrow.groupBy("source").agg(F.count("*").alias("docs")).withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "targets")
     corpus = per.agg(F.sum("docs").alias("n"))
     per = per.crossJoin(corpus).select(
@@ -158,7 +184,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, levels: int = SHARD_
         F.greatest(F.lit(1), F.ceil(F.col("docs") / F.sqrt("n"))).cast("long").alias("blocks"),
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long").alias("passes"),
     ).withColumn("extra", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
-    per = materialize(per, "sources").withColumnRenamed("source", "s2")
+    per = materialize(per, "sources", keep=True).withColumnRenamed("source", "s2")
     on = F.col("source").eqNullSafe(F.col("s2"))
     in_block = narrow.join(per.select("s2", "blocks"), on).select("source", "size", "h", F.pmod("h", "blocks").alias("block"))
 
@@ -197,21 +223,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, levels: int = SHARD_
     )
     c2 = cut.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "last")
     plan = plan.join(c2, on & (F.col("block") == F.col("b2")), "left").select("source", "block", "draws", "crosses", "last")
-    plan = materialize(plan, "plan").select(F.col("source").alias("s2"), F.col("block").alias("b2"), "draws", "crosses", "last")
-
-    h = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
-    s3 = per.select(F.col("s2").alias("s3"), "source_size", "target", "blocks", "passes")
-    out = sized.withColumn("_h", h).join(_few(s3), F.col("source").eqNullSafe(F.col("s3")))
-    out = out.withColumn("_b", F.pmod("_h", "blocks")).join(_few(plan), on & (F.col("_b") == F.col("b2")))
-    # in the crossing block, the last pass holds only the documents up to the cut
-    key = F.struct(F.xxhash64(F.lit(seed + 2), "_h").alias("k"), F.col("_h").alias("h"))
-    under = F.coalesce(key <= F.col("last"), F.lit(False))
-    kept = F.filter("draws", lambda d: ~F.col("crosses") | (d["copy"] < F.col("passes")) | under)
-    return out.withColumn("draws", kept).select(
-        *docs.columns, "size", "source_size", "target",
-        (F.col("size") * F.size("draws")).cast("long").alias("taken"),
-        F.transform("draws", lambda d: F.struct(d.shard.alias("shard"), d["copy"].alias("copy"), F.xxhash64(F.lit(seed + 3), d.shard, d["copy"], "_h").alias("position"))).alias("shards"),
-    )
+    plan = materialize(plan, "plan", keep=True)
+    return per, plan.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "draws", "crosses", "last")
 
 
 def _few(df: DataFrame, bound: int = 200_000) -> DataFrame:

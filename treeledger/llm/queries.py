@@ -19,13 +19,13 @@ with v as (
   from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+q as (select distinct vec_id, v from v where vec_id % 50 = 0),
 p as (
-  select q.vec_id as query_id, c.vec_id as vec_id,
+  select q.vec_id as query_id, q.v as query_v, c.vec_id as vec_id,
          cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
-  where q.vec_id % 50 = 0),
+  from q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
 r as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+  select query_id, cast(row_number() over (partition by query_id, query_v order by score desc, vec_id) as integer) as rank, vec_id, score
   from p)
 select query_id, rank, vec_id, score from r where rank <= 5
 """

@@ -13,7 +13,8 @@ The work is the number of queries times the number of vectors, in blocks of fixe
 numbers a dimension) goes through the driver.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take no part, neither do null ids. Vectors
-of different lengths are not compared. Repeated ids are rows of their own, except that a query never meets its own id.
+of different lengths are not compared. Repeated rows are candidates each, but one query; rows that share an id but not the
+vector are candidates and queries of their own. A query never meets its own id.
 An empty table gives no rows; other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import materialize
+from treeledger.llm.common import materialize, scratch
 
 SCALE = 256
 BITS = 6
@@ -41,10 +42,13 @@ def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
 
 def _classes(vectors: DataFrame, k: int) -> DataFrame:
-    """class (the least id of equal vectors), v, ids: its k + 1 least ids."""
+    """class (a number), v, ids: the k + 1 least ids of equal vectors, each as often as it comes, up to k times. To be
+    written at once, as the numbers hang on the partitions."""
     order = Window.partitionBy("v").orderBy("id")
-    first = vectors.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    return first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("class"), "v", "ids")
+    each = vectors.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    first = each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    ids = F.flatten(F.array_sort(F.collect_list(F.transform(F.sequence(F.lit(1), "n"), lambda _: F.col("id")))))
+    return first.groupBy("v").agg(ids.alias("ids")).select(F.monotonically_increasing_id().alias("class"), "v", "ids")
 
 
 def _edges(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -76,10 +80,10 @@ def approximate(classes: DataFrame, edges: dict, bits: int = BITS) -> DataFrame:
 
 
 def _scan(edges: dict, k: int, bits: int):
-    """A block of approximations against a block of queries: (q, class, lower, upper) that the block can't exclude."""
+    """A block of approximations against a block of queries: (q, qc, class, lower, upper) that the block can't exclude."""
 
     def run(key, queries: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"q": [], "class": [], "lower": [], "upper": []}).astype({"q": "int64", "class": "int64"})
+        none = pd.DataFrame({"q": [], "qc": [], "class": [], "lower": [], "upper": []}).astype({"q": "int64", "qc": "int64", "class": "int64"})
         if queries.empty or files.empty:
             return none
         lo, hi = edges[int(key[0])]
@@ -95,7 +99,7 @@ def _scan(edges: dict, k: int, bits: int):
         kth = np.partition(kth, n - k, axis=1)[:, n - k] - slack if n >= k else np.full(len(q), -np.inf)
         i, j = np.nonzero(mid + slack[:, None] >= kth[:, None])
         return pd.DataFrame({
-            "q": queries["id"].to_numpy()[i], "class": files["class"].to_numpy()[j],
+            "q": queries["id"].to_numpy()[i], "qc": queries["class"].to_numpy()[i], "class": files["class"].to_numpy()[j],
             "lower": np.where(own[i, j], -np.inf, mid[i, j] - slack[i]), "upper": mid[i, j] + slack[i],
         })
 
@@ -111,39 +115,46 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     """query_id, rank, vec_id, score: for each row where is_query, the k other rows of greatest inner product of
     integer vectors; ties go to the smaller id. is_query is over the column named id_col."""
     wanted = rows.where(is_query).select(F.col(id_col).cast("long").alias("id")).distinct()
+    with scratch(rows.sparkSession):
+        return _search(rows, wanted, k, id_col, vec_col, scale, bits, vector_block, query_block)
+
+
+def _search(rows, wanted, k, id_col, vec_col, scale, bits, vector_block, query_block) -> DataFrame:
     vectors = materialize(integer_vectors(rows, id_col, vec_col, scale), "vectors")
-    classes = materialize(_classes(vectors, k), "classes")
+    classes = materialize(_classes(vectors, k), "classes", keep=True)
     edges = _edges(classes)
     files = materialize(approximate(classes, edges, bits), "approximation")
-    # a query: its id, vector and the class of its vector
+    # a query: its id, its vector and the class of that, which tell it from others
     queries = vectors.join(wanted, "id", "left_semi").distinct()
-    queries = materialize(queries.join(classes.select("v", "class"), "v").select("id", "class", "v", F.size("v").alias("d")), "queries")
+    queries = queries.join(classes.select("v", "class"), "v").select("id", "class", "v", F.size("v").alias("d"))
+    queries = materialize(queries, "queries", keep=True)
 
     n_blocks = max(1, -(-files.count() // vector_block))
     q_blocks = max(1, -(-queries.count() // query_block))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     right = files.withColumn("vb", F.pmod(F.xxhash64("class"), F.lit(n_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     key = ["d", "vb", "qb"]
-    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_scan(edges, k, bits), "q long, class long, lower double, upper double")
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_scan(edges, k, bits), "q long, qc long, class long, lower double, upper double")
     near = materialize(near, "bounds")
 
-    best = Window.partitionBy("q").orderBy(F.desc("lower"))
-    kth = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("q").agg(F.min("lower").alias("kth"), F.count("*").alias("n"))
-    near = near.join(kth, "q").where((F.col("n") < k) | (F.col("upper") >= F.col("kth"))).select("q", "class", "upper")
-    by_bound = Window.partitionBy("q").orderBy(F.desc("upper"), "class")
-    near = materialize(near.withColumn("r", F.row_number().over(by_bound)), "order")
+    query = ["q", "qc"]
+    best = Window.partitionBy(*query).orderBy(F.desc("lower"))
+    kth = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy(*query).agg(F.min("lower").alias("kth"), F.count("*").alias("n"))
+    near = near.join(kth, query).where((F.col("n") < k) | (F.col("upper") >= F.col("kth"))).select(*query, "class", "upper")
+    by_bound = Window.partitionBy(*query).orderBy(F.desc("upper"), "class")
+    near = materialize(near.withColumn("r", F.row_number().over(by_bound)), "order", keep=True)
 
     def exact(pairs: DataFrame) -> DataFrame:
         members = pairs.join(classes.select("class", F.col("v").alias("b"), "ids"), "class")
-        scored = members.join(queries.select(F.col("id").alias("q"), F.col("v").alias("a")), "q")
-        scored = scored.withColumn("score", _dot("a", "b")).select("q", "score", F.explode("ids").alias("vec_id"))
+        asked = queries.select(F.col("id").alias("q"), F.col("class").alias("qc"), F.col("v").alias("a"))
+        scored = members.join(asked, query).withColumn("score", _dot("a", "b")).select(*query, "score", F.explode("ids").alias("vec_id"))
         return scored.where("vec_id <> q")
 
-    first = materialize(exact(near.where(F.col("r") <= k + 1)), "read1")
-    rank = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    certain = first.withColumn("r", F.row_number().over(rank)).where(F.col("r") == k).select("q", F.col("score").alias("kth"))
-    rest = near.where(F.col("r") > k + 1).join(certain, "q", "left").where("kth is null or upper >= kth")
-    found = first.unionByName(exact(rest.select("q", "class", "upper", "r")))
+    first = materialize(exact(near.where(F.col("r") <= k + 1)), "read1", keep=True)
+    rank = Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id")
+    certain = first.withColumn("r", F.row_number().over(rank)).where(F.col("r") == k).select(*query, F.col("score").alias("kth"))
+    rest = near.where(F.col("r") > k + 1).join(certain, query, "left").where("kth is null or upper >= kth")
+    found = first.unionByName(exact(rest.select(*query, "class", "upper", "r")))
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(
         F.col("q").alias("query_id"), "rank", "vec_id", "score"
     )
