@@ -82,25 +82,34 @@ def evidence(with_it: np.ndarray, n: np.ndarray, sure: float, both_ways: bool) -
     return np.where(fit, np.clip(odds / FULL_ODDS, -1, 1), 0.0)
 
 
+#: Words whose pieces are looked at together.
+SOME_WORDS = 10_000
+
+
 class Vectors:
     """The trained tables: known words and pieces (sorted numbers), and their vectors."""
 
-    def __init__(self, texts: list[list[bytes]], y: np.ndarray, seed: int):
-        number = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
-        key, of = pieces(list(number))
-        all_pieces, key = np.unique(key, return_inverse=True)
-        starts = np.searchsorted(of, np.arange(len(number) + 1))
-        words_in, pieces_in = np.zeros((len(number), 2)), np.zeros((len(all_pieces), 2))
+    def __init__(self, words: list[bytes], texts: list[np.ndarray], y: np.ndarray, seed: int):
+        """texts: the numbers of their words."""
+        some = range(0, len(words), SOME_WORDS)
+        every = [np.unique(pieces(words[i : i + SOME_WORDS])[0]) for i in some]
+        all_pieces = np.unique(np.concatenate([*every, np.empty(0, np.uint64)]))
+        counts, at = np.zeros(len(words) + 1, np.int64), []
+        for i in some:
+            key, of = pieces(words[i : i + SOME_WORDS])
+            at.append(np.searchsorted(all_pieces, key).astype(np.int32))
+            counts[1 + i : 1 + i + SOME_WORDS] = np.bincount(of, minlength=len(words[i : i + SOME_WORDS]))
+        at, starts = np.concatenate([*at, np.empty(0, np.int32)]), np.cumsum(counts)
+        words_in, pieces_in = np.zeros((len(words), 2), np.int32), np.zeros((len(all_pieces), 2), np.int32)
         for t, c in zip(texts, y.astype(int), strict=True):
-            at = np.array(sorted({number[w] for w in t}), np.int64)
-            words_in[at, c] += 1
-            mine = [key[starts[i] : starts[i + 1]] for i in at]
-            if mine:
-                pieces_in[np.unique(np.concatenate(mine)), c] += 1
+            mine = np.unique(t)
+            words_in[mine, c] += 1
+            if len(mine):
+                pieces_in[np.unique(np.concatenate([at[starts[i] : starts[i + 1]] for i in mine])), c] += 1
         n = np.bincount(y.astype(int), minlength=2)
         r = np.random.default_rng(seed)
         kept = words_in.sum(1) >= WORD_TEXTS
-        self.words = {w: i + 1 for i, w in enumerate(w for w, k in zip(number, kept, strict=True) if k)}
+        self.words = {words[k]: i + 1 for i, k in enumerate(np.nonzero(kept)[0])}
         self.word_vectors = r.normal(0, 0.03, (len(self.words) + 1, VECTOR)).astype(np.float32)
         self.word_vectors[1:, 0] = evidence(words_in[kept], n, WORD_SURE, True)
         self.word_vectors[0] = 0
@@ -111,21 +120,26 @@ class Vectors:
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the words' vectors, rows of the vectors of their known pieces, and the word that each piece is from."""
-        rows = np.array([self.words.get(w, 0) for w in words], np.int64)
-        key, of = pieces(words)
-        at = np.searchsorted(self.pieces, key)
-        at[at == len(self.pieces)] = 0
-        known = self.pieces[at] == key if len(self.pieces) else np.zeros(len(key), bool)
-        return rows, at[known], of[known]
+        rows = np.array([self.words.get(w, 0) for w in words], np.int32)
+        found, whose = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+        for i in range(0, len(words) if len(self.pieces) else 0, SOME_WORDS):
+            key, of = pieces(words[i : i + SOME_WORDS])
+            at = np.minimum(np.searchsorted(self.pieces, key), len(self.pieces) - 1)
+            known = self.pieces[at] == key
+            found.append(at[known].astype(np.int32))
+            whose.append((of[known] + i).astype(np.int32))
+        return rows, np.concatenate(found), np.concatenate(whose)
 
     def inputs(self, found) -> np.ndarray:
         """(words, 2 VECTOR): the word's vector, and the greatest over its pieces."""
         rows, at, of = found
         out = np.zeros((len(rows), 2 * VECTOR), np.float32)
         out[:, :VECTOR] = self.word_vectors[rows]
-        if len(at):
-            first = np.nonzero(np.r_[True, of[1:] != of[:-1]])[0]
-            out[of[first], VECTOR:] = np.maximum.reduceat(self.piece_vectors[at], first, axis=0)
+        first = np.nonzero(np.r_[True, of[1:] != of[:-1]])[0] if len(at) else np.empty(0, np.int64)
+        for i in range(0, len(first), SOME_WORDS):
+            mine = first[i : i + SOME_WORDS]
+            last = first[i + SOME_WORDS] if i + SOME_WORDS < len(first) else len(at)
+            out[of[mine], VECTOR:] = np.maximum.reduceat(self.piece_vectors[at[mine[0] : last]], mine - mine[0], axis=0)
         return out
 
 
@@ -134,7 +148,7 @@ def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     short text is one padded window."""
     n = len(ids)
     if n <= WINDOW:
-        out = np.zeros((1, WINDOW), np.int64)
+        out = np.zeros((1, WINDOW), np.int32)
         out[0, :n] = ids
         return out, np.array([n])
     starts = np.minimum(np.arange(0, n - WINDOW + STRIDE, STRIDE), n - WINDOW)
@@ -159,8 +173,10 @@ class Network:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def project(self, inputs: np.ndarray) -> np.ndarray:
-        """(words, 2, 3 hidden): what each word adds to the gates of either direction."""
-        return np.stack([inputs @ self.p["wx"][k] + self.p["b"][k] for k in (0, 1)], axis=1)
+        """(2, words, 3 hidden): what each word adds to the gates of either direction."""
+        out = np.matmul(inputs, self.p["wx"])
+        out += self.p["b"][:, None, :]
+        return out
 
     def forward(self, projected: np.ndarray, ids: np.ndarray, lengths: np.ndarray, keep: bool = False):
         """Logits of windows (n, WINDOW) of rows of projected; with keep, also what the gradient needs."""
@@ -170,7 +186,7 @@ class Network:
         both = np.empty((WINDOW, 2 * h, n), np.float32)
         saved: list[list] = [[], []]
         for k in (0, 1):
-            u, s, mine = p["u"][k].T.copy(), np.zeros((h, n), np.float32), np.ascontiguousarray(projected[:, k])
+            u, s, mine = p["u"][k].T.copy(), np.zeros((h, n), np.float32), projected[k]
             for t in range(WINDOW)[:: 1 - 2 * k]:
                 xt = mine[ids[:, t]].T
                 hu = u @ s
@@ -256,33 +272,32 @@ class _Adaptive:
         self.table[rows] -= self.rate * d / np.sqrt(self.past[rows])
 
 
-def _all_windows(texts: list[list[bytes]], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = [windows(np.array([number[w] for w in t], np.int64)) for t in texts]
-    bag = np.repeat(np.arange(len(parts)), [len(n) for _, n in parts])
-    return np.concatenate([i for i, _ in parts]), np.concatenate([n for _, n in parts]), bag
-
-
 def train(texts: list[str], y: np.ndarray, share: float, seed: int = 8) -> dict:
     """The model, from texts and their classes; every fifth text of a class is kept for the curve."""
-    read = [tokens(t) for t in texts]
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         held[np.nonzero(y == c)[0][4::5]] = True
     fitted = np.nonzero(~held)[0]
-    vectors = Vectors([read[i] for i in fitted], y[fitted], seed)
     number: dict[bytes, int] = {}
-    for t in read:
-        for w in t:
-            number.setdefault(w, len(number))
-    found = vectors.look_up(list(number))
+    read = [np.array([number.setdefault(w, len(number)) for w in tokens(t)], np.int32) for t in texts]
+    words = list(number)
+    del number
+    vectors = Vectors(words, [read[i] for i in fitted], y[fitted], seed)
+    found = vectors.look_up(words)
     rows, piece_at, piece_of = found
-    starts = np.searchsorted(piece_of, np.arange(len(number) + 1))
-    ids, lengths, bag = _all_windows(read, number)
+    starts = np.searchsorted(piece_of, np.arange(len(words) + 1))
+    parts = [windows(t) for t in read]
+    bag = np.repeat(np.arange(len(parts)), [len(n) for _, n in parts])
+    ids, lengths = np.concatenate([i for i, _ in parts]), np.concatenate([n for _, n in parts])
+    del parts, read
     mine = ~held[bag]
 
     net, r = Network(seed), np.random.default_rng(seed)
-    inputs = vectors.inputs(found) if number else np.zeros((1, 2 * VECTOR), np.float32)
-    first = inputs[ids][:, :, [0, VECTOR]].sum((1, 2))
+    if not words:
+        found = rows, piece_at, piece_of = np.zeros(1, np.int32), piece_at, piece_of
+        starts = np.zeros(2, np.int64)
+    inputs = vectors.inputs(found)
+    first = (inputs[:, 0] + inputs[:, VECTOR])[ids].sum(1)
     chosen = _greatest(np.where(mine, first, -np.inf), bag)
     weight = np.where(y == 1, 0.5 / max(1, (y[fitted] == 1).sum()), 0.5 / max(1, (y[fitted] == 0).sum())) * len(fitted)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -318,7 +333,7 @@ def train(texts: list[str], y: np.ndarray, share: float, seed: int = 8) -> dict:
             if len(sub[1]):  # the greatest piece of a dimension takes its gradient
                 hit = vectors.piece_vectors[sub[1]] == x[sub[2], VECTOR:]
                 steps[1].step(sub[1], np.where(hit, d_x[sub[2], VECTOR:], 0))
-    logit = net.logits(net.project(vectors.inputs(found)), ids, lengths) if number else np.zeros(len(ids))
+    logit = net.logits(net.project(vectors.inputs(found)), ids, lengths)
     best = np.empty(len(y))
     chosen = _greatest(logit, bag)
     best[bag[chosen]] = logit[chosen]
@@ -331,10 +346,11 @@ def train(texts: list[str], y: np.ndarray, share: float, seed: int = 8) -> dict:
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     rows, share = labelled_sample(docs, labels, "toxic", FIT_DOCS, FIT_CHARS)
-    y = rows.y.to_numpy(int)
+    y, texts = rows.y.to_numpy(int), list(rows.text)
+    del rows
     if len(set(y)) < 2:
         return {"constant": share if len(y) else 0.0}
-    return train(list(rows.text), y, share)
+    return train(texts, y, share)
 
 
 class Scorer:
@@ -347,7 +363,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.projected = np.zeros((0, 2, 3 * HIDDEN), np.float32)
+        self.projected = np.zeros((2, 0, 3 * HIDDEN), np.float32)
 
     def __call__(self, texts) -> np.ndarray:
         read = [tokens(t) for t in texts]
@@ -357,10 +373,10 @@ class Scorer:
         if new:
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
             more = self.net.project(self.vectors.inputs(self.vectors.look_up(new)))
-            self.projected = np.concatenate([self.projected, more])
+            self.projected = np.concatenate([self.projected, more], axis=1)
         best = np.full(len(read), -np.inf)
         for i in range(0, len(read), 50):
-            parts = [windows(np.array(list(map(self.number.__getitem__, t)), np.int64)) for t in read[i : i + 50]]
+            parts = [windows(np.array(list(map(self.number.__getitem__, t)), np.int32)) for t in read[i : i + 50]]
             bag = np.repeat(np.arange(i, i + len(parts)), [len(n) for _, n in parts])
             ids, lengths = np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts])
             np.maximum.at(best, bag, self.net.logits(self.projected, ids, lengths))
