@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,19 +62,84 @@ def human_size(b: Column) -> Column:
     return out
 
 
-def skipped_dir(name: Column, custom=(), hidden: bool = False) -> Column:
+@dataclass(frozen=True)
+class Policy:
+    """Which directories a walk prunes: the default names, custom ones (a leading * stands for any start), hidden ones."""
+
+    default: bool = True
+    custom: tuple[str, ...] = ()
+    hidden: bool = False
+
+
+DEFAULT = Policy()
+EMPTY = Policy(default=False)
+
+
+def skipped_dir(name: Column, custom=(), hidden: bool = False, default: bool = True) -> Column:
     """Why a directory is pruned: DefaultDirName, CustomPattern or Hidden, else null."""
-    out = F.when(name.isin(SKIP_EXACT) | F.endswith(name, F.lit(SKIP_SUFFIX)), "DefaultDirName")
+    named = name.isin(SKIP_EXACT) | F.endswith(name, F.lit(SKIP_SUFFIX)) if default else F.lit(False)
+    out = F.when(named, "DefaultDirName")
     for c in custom:
         hit = F.endswith(name, F.lit(c[1:])) if c.startswith("*") else name == c
         out = out.when(hit, "CustomPattern")
     return out.when(F.startswith(name, F.lit(".")) & (F.length(name) > 1), "Hidden") if hidden else out
 
 
-def skipped(p: Column, kind: Column) -> Column:
+def skipped(p: Column, kind: Column, policy: Policy = DEFAULT) -> Column:
     """Whether an entry lies in (or, as a directory, is) a pruned directory. Files are never skipped by their own name."""
     dirs = F.when(kind == "dir", p).otherwise(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))))
-    return F.exists(dirs, lambda c: c.isin(SKIP_EXACT) | F.endswith(c, F.lit(SKIP_SUFFIX)))
+    if policy == DEFAULT:
+        return F.exists(dirs, lambda c: c.isin(SKIP_EXACT) | F.endswith(c, F.lit(SKIP_SUFFIX)))
+    return F.exists(dirs, lambda c: skipped_dir(c, policy.custom, policy.hidden, policy.default).isNotNull())
+
+
+def check_depth(depth: int) -> int:
+    if depth < 1:
+        raise ValueError(f"the depth must be 1 or more, not {depth}")
+    return depth
+
+
+def utc_stamp(at: Column) -> Column:
+    """A time as yyyyMMddTHHmmssZ, in UTC whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'")
+
+
+def short_id(of: Column) -> Column:
+    """Eight hexadecimal digits that stand for a value."""
+    return F.substring(F.sha2(of, 256), 1, 8)
+
+
+def mib_label(b: Column) -> Column:
+    return F.format_string("%.1f MiB", b / F.lit(1048576.0))
+
+
+def hash_preview(h: Column) -> Column:
+    """The first four characters of a hash that is longer than five."""
+    return F.when(F.length(h) > 5, F.concat(F.left(h, F.lit(4)), F.lit("…"))).otherwise(h)
+
+
+def primary_label(labels: Column) -> Column:
+    return F.coalesce(F.try_element_at(labels, F.lit(1)), F.lit("-"))
+
+
+def store_relative(path: Column, store: str) -> Column:
+    """A path below the store's folder relative to it, any other as it is."""
+    return F.when(F.startswith(path, F.lit(store + "/")), F.substr(path, F.lit(len(store) + 2))).otherwise(path)
+
+
+def pack_path(slug: Column, ts: Column, name: Column | None = None) -> Column:
+    """packs/yyyy/mm/ and the given name, or slug__ts.tar.zst."""
+    made = F.concat(slug, F.lit("__"), ts, F.lit(".tar.zst"))
+    return dated("packs", made if name is None else F.coalesce(name, made), ts)
+
+
+def stash_path(slug: Column, ts: Column, token: Column) -> Column:
+    """secrets/yyyy/mm/slug__token__secrets.age; a token tells runs of the same second apart."""
+    return dated("secrets", F.concat(slug, F.lit("__"), token, F.lit("__secrets.age")), ts)
+
+
+def manifest_path(slug: Column, ts: Column, id_: Column) -> Column:
+    return dated("manifests", F.concat(slug, F.lit("__"), ts, F.lit("__"), id_, F.lit(".json")), ts)
 
 
 def glob_match(name: Column, pattern: Column) -> Column:

@@ -11,16 +11,16 @@ from treeledger.functions.rules import markers
 MAX_DEPTH = 6
 
 
-def _walked(entries: DataFrame, max_depth: int) -> DataFrame:
+def _walked(entries: DataFrame, max_depth: int, policy: P.Policy) -> DataFrame:
     """Entries whose directory the walk inspects: it is reached (not pruned) and at most max_depth deep."""
     above = F.slice("parts", F.lit(1), F.greatest(F.size("parts") - 1, F.lit(0)))
-    return entries.where((F.size("parts") >= 1) & (F.size("parts") - 1 <= max_depth) & ~P.skipped(above, F.lit("dir"))).withColumn("parent", P.join_parts(above)).withColumn("name", F.element_at("parts", -1))
+    return entries.where((F.size("parts") >= 1) & (F.size("parts") - 1 <= P.check_depth(max_depth)) & ~P.skipped(above, F.lit("dir"), policy)).withColumn("parent", P.join_parts(above)).withColumn("name", F.element_at("parts", -1))
 
 
-def candidates(entries: DataFrame, extra=(), accept_git_only: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
+def candidates(entries: DataFrame, extra=(), accept_git_only: bool = True, max_depth: int = MAX_DEPTH, policy: P.Policy = P.DEFAULT) -> DataFrame:
     """root, path, name, hits (marker structs in table order), is_git_repo."""
     dim = F.broadcast(markers(entries.sparkSession, extra))
-    hits = _walked(entries, max_depth).join(dim, ["name", "kind"])
+    hits = _walked(entries, max_depth, policy).join(dim, ["name", "kind"])
     g = hits.groupBy("root", F.col("parent").alias("path")).agg(
         F.array_sort(F.collect_list(F.struct("ord", "name", "kind", "hint", "level"))).alias("hits"),
         F.bool_or(F.col("name") == ".git").alias("is_git_repo"),
@@ -62,22 +62,38 @@ def _shows(listing: Column, shown: str) -> Column:
     return F.array_contains(listing, shown)
 
 
-def with_stack(found: DataFrame, entries: DataFrame) -> DataFrame:
-    """candidates with language, markers, frameworks. Only entries that a rule names are joined."""
+def _wanted(name: Column, rules) -> Column:
+    """Whether a file's name is one that a rule shows a framework by."""
+    out = F.lit(False)
+    for shown in {s for _, _, names in rules for s in names if "/" not in s}:
+        out = out | (F.startswith(name, F.lit(shown[:-1])) if shown.endswith("*") else name == shown)
+    return out
+
+
+def with_stack(found: DataFrame, entries: DataFrame | None, rules=FRAMEWORKS) -> DataFrame:
+    """candidates with language, markers, frameworks. Only entries that a rule names are joined; without a listing no rule
+    shows. rules (framework, markers that gate it, names that show it; dir/name for a file one level down) may be the
+    user's own. A candidate without hits is not gated: every rule looks at its listing."""
     parent = P.join_parts(F.slice("parts", F.lit(1), F.size("parts") - 1))
     name = F.element_at("parts", -1)
-    # config/application.rb is listed for the directory above config
-    deep = (F.size("parts") >= 2) & (name == "application.rb") & (F.element_at("parts", -2) == "config")
-    files = entries.where("kind = 'file' and size(parts) > 0")
-    wanted = name.isin("next.config.js", "next.config.mjs", "next.config.ts", "angular.json", "deno.json", "build.sbt", "manage.py") | F.startswith(name, F.lit("nuxt.config.")) | F.startswith(name, F.lit("vite.config."))
-    near = files.where(wanted).select("root", parent.alias("path"), name.alias("n"))
-    rails = files.where(deep).select("root", P.join_parts(F.slice("parts", F.lit(1), F.size("parts") - 2)).alias("path"), F.lit("config/application.rb").alias("n"))
-    listing = near.unionByName(rails).groupBy("root", "path").agg(F.collect_set("n").alias("listing"))
-    rows = found.join(listing, ["root", "path"], "left").withColumn("listing", F.coalesce("listing", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    if entries is None:
+        rows = found.withColumn("listing", none)
+    else:
+        # a file that a rule names as dir/name is listed for the directory above dir
+        below = F.concat_ws("/", F.element_at("parts", -2), name)
+        deep = [s for _, _, names in rules for s in names if "/" in s]
+        files = entries.where("kind = 'file' and size(parts) > 0")
+        near = files.where(_wanted(name, rules)).select("root", parent.alias("path"), name.alias("n"))
+        if deep:
+            up = P.join_parts(F.slice("parts", F.lit(1), F.size("parts") - 2))
+            near = near.unionByName(files.where("size(parts) >= 2").where(below.isin(deep)).select("root", up.alias("path"), below.alias("n")))
+        listing = near.groupBy("root", "path").agg(F.collect_set("n").alias("listing"))
+        rows = found.join(listing, ["root", "path"], "left").withColumn("listing", F.coalesce("listing", none))
     names = F.transform("hits", lambda h: h["name"])
     each = []
-    for label, gates, shown in FRAMEWORKS:
-        gate = F.arrays_overlap(names, F.array(*map(F.lit, gates)))
+    for label, gates, shown in rules:
+        gate = F.arrays_overlap(names, F.array(*map(F.lit, gates))) | (F.size(names) == 0)
         seen = _shows(F.col("listing"), shown[0])
         for s in shown[1:]:
             seen = seen | _shows(F.col("listing"), s)
@@ -86,19 +102,20 @@ def with_stack(found: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.select("root", "path", "name", language().alias("language"), frameworks.alias("frameworks"), marker_names().alias("markers"), "is_git_repo")
 
 
-def project_sizes(found: DataFrame, entries: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def project_sizes(found: DataFrame, entries: DataFrame, max_depth: int = MAX_DEPTH, policy: P.Policy = P.DEFAULT) -> DataFrame:
     """root, path, size_bytes: regular files below each project, skip policy and depth counted from the project. Files
     meet their projects by an equi join on their ancestors."""
     files = entries.where("kind = 'file'").select("root", "parts", "size_bytes", F.posexplode(P.ancestors(F.col("parts"))).alias("depth", "path"))
     own = F.slice("parts", F.col("depth") + 1, F.greatest(F.size("parts") - F.col("depth"), F.lit(1)))
-    files = files.where((F.size("parts") - F.col("depth") <= max_depth) & ~P.skipped(own, F.lit("file")))
+    files = files.where((F.size("parts") - F.col("depth") <= P.check_depth(max_depth)) & ~P.skipped(own, F.lit("file"), policy))
     sums = files.join(found.select("root", "path"), ["root", "path"]).groupBy("root", "path").agg(F.sum("size_bytes").alias("size_bytes"))
     return found.select("root", "path").join(sums, ["root", "path"], "left").select("root", "path", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"))
 
 
-def projects(entries: DataFrame, **options) -> DataFrame:
+def projects(entries: DataFrame, rules=FRAMEWORKS, **options) -> DataFrame:
     found = candidates(entries, **options)
-    return with_stack(found, entries).join(project_sizes(found, entries), ["root", "path"])
+    walk = {k: v for k, v in options.items() if k in ("max_depth", "policy")}
+    return with_stack(found, entries, rules).join(project_sizes(found, entries, **walk), ["root", "path"])
 
 
 def scan_report(found: DataFrame) -> DataFrame:

@@ -33,16 +33,19 @@ def stash_only(requests: DataFrame, entries: DataFrame, contents: DataFrame, min
     return rows.select("root", "path", state.alias("state"), "risk", F.when(F.col("kind") == "file", F.col("size_bytes")).alias("size_bytes"))
 
 
-def routes(contents: DataFrame, stash: bool = True, content_min: str = "Critical", pack_depth: int = PACK_DEPTH) -> DataFrame:
+def routes(
+    contents: DataFrame, stash: bool = True, content_min: str = "Critical", pack_depth: int = PACK_DEPTH,
+    policy: P.Policy = P.DEFAULT, patterns=None, markers=None,
+) -> DataFrame:
     """root, project, path, size_bytes, route: the first that applies of pruned, stash, too_deep, deny_name,
     deny_content, pack. A project is a first-level directory; depths and pruning count from it, except that the stash
     scan counts from the root. All from one row: no shuffle."""
     rows = contents.withColumn("parts", P.parts("path")).withColumn("name", F.element_at("parts", -1))
     own = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(1)))
-    empty = F.array().cast(secrets._SOURCE)
-    names = secrets.name_sources(F.col("name")).cast(secrets._SOURCE)
-    inside = F.when(secrets.eligible(F.col("text")), secrets.content_sources(F.col("text")).cast(secrets._SOURCE)).otherwise(empty)
-    rows = rows.select("root", "path", "parts", F.octet_length("text").cast("long").alias("size_bytes"), P.skipped(own, F.lit("file")).alias("pruned"), secrets.once(F.struct(names.alias("names"), inside.alias("inside"))).alias("s"))
+    secrets.check_rules(patterns, markers)
+    names = secrets.name_sources(F.col("name"), patterns).cast(secrets._SOURCE)
+    inside = secrets.content_sources_of(F.col("text"), markers)
+    rows = rows.select("root", "path", "parts", F.octet_length("text").cast("long").alias("size_bytes"), P.skipped(own, F.lit("file"), policy).alias("pruned"), secrets.once(F.struct(names.alias("names"), inside.alias("inside"))).alias("s"))
     rows = rows.select("*", "s.names", "s.inside")
     top = lambda c: F.coalesce(F.array_max(F.transform(c, lambda s: s.risk)), F.lit(-1))
     high = risk_rank("High")
@@ -58,6 +61,41 @@ def pack_stats(routed: DataFrame) -> DataFrame:
     return routed.groupBy("root", "project").agg(n("pack").alias("file_count"), n("deny_name", "deny_content").alias("skipped_secret_files"), n("stash").alias("stashed"), n("pruned").alias("pruned"), F.coalesce(F.sum(F.when(F.col("route") == "pack", F.col("size_bytes"))), F.lit(0)).alias("pack_bytes"))
 
 
+def skipped_dirs(entries: DataFrame, policy: P.Policy = P.DEFAULT) -> DataFrame:
+    """root, project, path: the outermost directories that a pack leaves out, counted from the project."""
+    above = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 2, F.lit(0)))
+    own = P.skipped(F.slice("parts", F.size("parts"), F.lit(1)), F.lit("dir"), policy)
+    dirs = entries.where("kind = 'dir' and size(parts) >= 2").where(own & ~P.skipped(above, F.lit("dir"), policy))
+    return dirs.select("root", F.element_at("parts", 1).alias("project"), "path")
+
+
+def with_in_trash(routed: DataFrame, trash: DataFrame) -> DataFrame:
+    """routed with in_trash: whether a trash directory lies above the file, by an equi join on its ancestors."""
+    up = routed.select("root", "path", F.explode(P.ancestors(P.parts("path"))).alias("dir"))
+    held = up.join(trash.select("root", F.col("path").alias("dir")), ["root", "dir"], "left_semi").select("root", "path").distinct()
+    out = routed.join(held.withColumn("in_trash", F.lit(True)), ["root", "path"], "left")
+    return out.select(*routed.columns, F.coalesce("in_trash", F.lit(False)).alias("in_trash"))
+
+
+def plan_success(stages: DataFrame) -> DataFrame:
+    """root, success: all enabled stages are ok; an empty stash is ok."""
+    return stages.groupBy("root").agg(F.bool_and("ok").alias("success"))
+
+
+def lifecycle_plan(routed: DataFrame, trash: DataFrame, stash: bool = True, rinse: bool = True, pack: bool = True, errors: DataFrame | None = None) -> DataFrame:
+    """lifecycle_stages with ok. A stage that is switched off counts nothing, is ok and says "disabled"; errors (root,
+    stage, message) of the others make theirs fail and are told in the message."""
+    on = F.element_at(F.create_map(*[F.lit(x) for p in (("stash", stash), ("trash", rinse), ("pack", pack)) for x in p]), F.col("stage"))
+    rows = lifecycle_stages(routed, trash).withColumn("on", on)
+    if errors is None:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(errors.groupBy("root", "stage").agg(F.min("message").alias("error")), ["root", "stage"], "left")
+    zero = lambda c: F.when(F.col("on"), F.col(c)).otherwise(0).alias(c)
+    message = F.when(~F.col("on"), "disabled").otherwise(F.coalesce("error", "message"))
+    return rows.select("root", "ord", "stage", zero("files"), zero("bytes"), message.alias("message"), (~F.col("on") | F.col("error").isNull()).alias("ok"))
+
+
 def lifecycle_stages(routed: DataFrame, trash: DataFrame) -> DataFrame:
     """root, ord, stage, files, bytes, message: stash, trash, pack."""
     s = routed.where("route = 'stash'").groupBy("root").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))

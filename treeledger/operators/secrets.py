@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeledger.functions import paths as P
@@ -38,9 +40,40 @@ def _java(kind: str, pattern: str) -> tuple[str, int]:
     may overlap; a folded pattern folds in Unicode."""
     if kind == "prefix":
         return rf"\Q{pattern}\E(?=([A-Za-z0-9_-]*))", 1
+    if kind == "contains":
+        return rf"\Q{pattern}\E", 0
     return pattern.replace("(?i)", "(?iU)"), 0
 
 
+def check_rules(patterns=None, markers=None) -> None:
+    """Refuse rules of the user's own that can't work: unknown kinds or risks, empty literals, broken expressions."""
+    for kind, pattern, risk, rule, _ in patterns or ():
+        if kind not in ("exact", "prefix", "suffix", "contains") or not pattern:
+            raise ValueError(f"filename rule {rule}: kind {kind!r}, pattern {pattern!r}")
+        risk_rank(risk)
+    for rule, kind, pattern, risk, _ in markers or ():
+        if kind not in ("prefix", "contains", "regex") or not pattern:
+            raise ValueError(f"content rule {rule}: kind {kind!r}, pattern {pattern!r}")
+        risk_rank(risk)
+        if kind == "regex":
+            try:
+                re.compile(pattern)
+            except re.error as e:
+                raise ValueError(f"content rule {rule}: {e}") from e
+
+
+def may_hold(text: Column, markers=None) -> Column:
+    """Whether any marker fits somewhere in a text. A hit in a line is one in the text, so what this denies has none; few
+    texts pass, and only theirs are cut into lines."""
+    some, folded = F.lit(False), []
+    for _, kind, pattern, _, _ in markers or CONTENT_MARKERS:
+        if kind == "regex":
+            folded.append(f"(?:{pattern})" if "(?i)" not in pattern else f"(?iU:{pattern.replace('(?i)', '')})")
+        else:
+            some = some | F.contains(text, F.lit(pattern))
+    return some | text.rlike("|".join(folded)) if folded else some
+
+
 def content_sources(text: Column, markers=None) -> Column:
     """One struct for every hit of every content marker: line from 1, marker order, occurrence in the line."""
     markers = markers or CONTENT_MARKERS
@@ -73,16 +106,40 @@ def masked(value: Column) -> Column:
     )
 
 
-def scanned_files(contents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def scanned_files(contents: DataFrame, max_depth: int = MAX_DEPTH, policy: P.Policy = P.DEFAULT) -> DataFrame:
     """Regular files that the scan reaches: not pruned, not too deep."""
     rows = contents.withColumn("parts", P.parts("path"))
-    return rows.where((F.size("parts") <= max_depth) & ~P.skipped(F.col("parts"), F.lit("file"))).withColumn("name", F.element_at("parts", -1))
+    fits = (F.size("parts") <= P.check_depth(max_depth)) & ~P.skipped(F.col("parts"), F.lit("file"), policy)
+    return rows.where(fits).withColumn("name", F.element_at("parts", -1))
+
+
+def eligible(content: Column) -> Column:
+    """1 byte to 1 MiB, and no NUL among the first 8 KiB; content is text or binary."""
+    raw = content.cast("binary")
+    return F.octet_length(raw).between(1, MAX_BYTES) & (F.instr(F.substring(raw, 1, SNIFF_BYTES).cast("string"), "\0") == 0)
+
+
+def from_bytes(contents: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Contents (root, path, content binary, others) with text in place of content: what is no UTF-8 is replaced, and what
+    the size or the NUL test excludes is null, so that no scan decodes it."""
+    fits = eligible(F.col("content")) & (F.octet_length("content") <= max_bytes)
+    text = F.when(fits, F.make_valid_utf8(F.col("content").cast("string")))
+    return contents.select(*[c for c in contents.columns if c != "content"], text.alias("text"))
+
+
+def read_eligible(contents: DataFrame, entries: DataFrame, max_depth: int = MAX_DEPTH, policy: P.Policy = P.DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The contents of the files that a scan looks into, by the listing's kinds, sizes and places: contents of other files
+    are dropped by a join on narrow rows before anything is read of them."""
+    rows = entries.where((F.col("kind") == "file") & F.col("size_bytes").between(1, max_bytes))
+    return contents.join(scanned_files(rows.select("root", "path"), max_depth, policy).select("root", "path"), ["root", "path"], "left_semi")
 
 
-def eligible(text: Column) -> Column:
-    """1 byte to 1 MiB, and no NUL among the first 8 KiB."""
-    size = F.octet_length(text)
-    return size.between(1, MAX_BYTES) & (F.instr(F.substring(text, 1, SNIFF_BYTES), "\0") == 0)
+def scope(contents: DataFrame, project: str) -> DataFrame:
+    """Only what lies below a directory, with that as the root: root/project, and paths relative to it."""
+    at = F.array(*[F.lit(x) for x in project.split("/") if x])
+    parts = P.parts("path")
+    rows = contents.where(P.is_under(parts, at) & (F.size(parts) > F.size(at)))
+    return rows.withColumn("root", F.concat_ws("/", "root", F.lit(project.strip("/")))).withColumn("path", P.relative(parts, at))
 
 
 def once(value: Column) -> Column:
@@ -90,14 +147,22 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def scan_secrets(contents: DataFrame, min_risk: str = "Low", scan_content: bool = True, max_depth: int = MAX_DEPTH, walk: bool = True) -> DataFrame:
+def content_sources_of(text: Column, markers=None) -> Column:
+    """content_sources of the texts that are eligible and may hold a marker, else none."""
+    return F.when(eligible(text) & may_hold(text, markers), content_sources(text, markers).cast(_SOURCE)).otherwise(F.array().cast(_SOURCE))
+
+
+def scan_secrets(
+    contents: DataFrame, min_risk: str = "Low", scan_content: bool = True, max_depth: int = MAX_DEPTH, walk: bool = True,
+    policy: P.Policy = P.DEFAULT, patterns=None, markers=None,
+) -> DataFrame:
     """root, path, parts, risk_rank, sources (by kind, line, marker, occurrence) of the files with findings; without walk,
-    of pruned and deep files as well."""
-    rows = scanned_files(contents, max_depth) if walk else contents.withColumn("parts", P.parts("path")).withColumn("name", F.element_at("parts", -1))
-    found = name_sources(F.col("name"))
+    of pruned and deep files as well. patterns and markers are the user's own rules in place of the default ones."""
+    check_rules(patterns, markers)
+    rows = scanned_files(contents, max_depth, policy) if walk else contents.withColumn("parts", P.parts("path")).withColumn("name", F.element_at("parts", -1))
+    found = name_sources(F.col("name"), patterns)
     if scan_content:
-        inside = F.when(eligible(F.col("text")), content_sources(F.col("text"))).otherwise(F.array().cast(_SOURCE))
-        found = F.concat(found.cast(_SOURCE), inside.cast(_SOURCE))
+        found = F.concat(found.cast(_SOURCE), content_sources_of(F.col("text"), markers))
     rows = rows.select("root", "path", "parts", once(found).alias("sources"))
     rows = rows.select("root", "path", "parts", F.filter("sources", lambda s: s.risk >= risk_rank(min_risk)).alias("sources")).where(F.size("sources") > 0)
     return rows.select("root", "path", "parts", F.array_max(F.transform("sources", lambda s: s.risk)).alias("risk_rank"), F.array_sort("sources").alias("sources"))
@@ -124,13 +189,53 @@ def findings(contents: DataFrame, **options) -> DataFrame:
 
 def content_hits(contents: DataFrame) -> DataFrame:
     """root, path, line, rule, risk, masked, value_hash for every hit."""
-    rows = scanned_files(contents).where(eligible(F.col("text"))).select("root", "path", F.explode(content_sources(F.col("text"))).alias("s"))
+    rows = scanned_files(contents).select("root", "path", F.explode(content_sources_of(F.col("text"))).alias("s"))
     m = masked(F.col("s.value"))
     return rows.select("root", "path", "s.line", "s.rule", risk_name(F.col("s.risk")).alias("risk"), m["masked"].alias("masked"), m["value_hash"].alias("value_hash"))
 
 
+def filename_scan(contents: DataFrame, min_risk: str = "Low", max_depth: int = MAX_DEPTH, policy: P.Policy = P.DEFAULT, patterns=None) -> DataFrame:
+    """root, path, risk, rule, label: the best filename match of each file, the highest risk and of equal ones the first in
+    the table. Contents are not looked at."""
+    check_rules(patterns)
+    rows = scanned_files(contents, max_depth, policy).select("root", "path", once(name_sources(F.col("name"), patterns)).alias("s"))
+    best = F.aggregate("s", F.lit(None).cast(_SOURCE[6:-1]), lambda a, s: F.when(a.isNull() | (s.risk > a.risk), s).otherwise(a))
+    rows = rows.where(F.size("s") > 0).select("root", "path", once(best).alias("b")).where(F.col("b.risk") >= risk_rank(min_risk))
+    return rows.select("root", "path", risk_name(F.col("b.risk")).alias("risk"), "b.rule", "b.label")
+
+
+def in_order(df: DataFrame, first: Column | None = None, position: str = "position") -> DataFrame:
+    """Rows (root, path, ...) with their place in a root's presentation order, from 1: by first (descending) if given, then
+    by path in component order. Rows are numbered within the first two components of their path, and the counts of these
+    groups summed up, so that no task sorts a whole root."""
+    keyed = df.select("*", (F.lit(0) if first is None else -first).alias("_first"), P.parts("path").alias("_parts"))
+    keyed = keyed.withColumn("_group", F.slice("_parts", F.lit(1), F.lit(2)))
+    group = ["root", "_first", "_group"]
+    counts = keyed.groupBy(*group).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("root").orderBy("_first", "_group").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*group).orderBy("_parts", "path"))
+    return keyed.withColumn("_own", own).join(counts, group).select(*[df[c] for c in df.columns], (F.col("_before") + F.col("_own")).cast("long").alias(position))
+
+
+def repeated_counts(found: DataFrame) -> DataFrame:
+    """Secrets that are the best hit of two files or more: root, value_hash, masked (of the first path), risk, count. Plain
+    aggregates: a secret in millions of files is one row."""
+    rank = F.array_position(F.array(*map(F.lit, RISKS)), F.col("risk")).cast("int") - 1
+    rows = found.where("value_hash is not null")
+    g = rows.groupBy("root", "value_hash").agg(F.max(rank).alias("r"), F.min_by("masked", P.parts("path")).alias("masked"), F.count("*").alias("count"))
+    return g.where("count >= 2").select("root", "value_hash", "masked", risk_name(F.col("r")).alias("risk"), "count")
+
+
+def repeated_paths(found: DataFrame) -> DataFrame:
+    """root, value_hash, path: the files of the repeated secrets, a row each."""
+    rows = found.where("value_hash is not null").select("root", "value_hash", "path")
+    return rows.join(repeated_counts(found).select("root", "value_hash"), ["root", "value_hash"], "left_semi")
+
+
 def repeated_secrets(found: DataFrame) -> DataFrame:
-    """Secrets that are the best hit of two files or more: root, value_hash, masked, risk, paths in path order, count."""
+    """repeated_counts with all paths in one array, in path order: for a report of few files; repeated_paths has them as
+    rows."""
     rank = F.array_position(F.array(*map(F.lit, RISKS)), F.col("risk")).cast("int") - 1
     rows = found.where("value_hash is not null").withColumn("o", F.struct(P.parts("path").alias("parts"), "path", "masked"))
     g = rows.groupBy("root", "value_hash").agg(F.max(rank).alias("r"), F.array_sort(F.collect_list("o")).alias("o")).where(F.size("o") >= 2)
@@ -144,12 +249,38 @@ def risk_gate(found: DataFrame, policy: str = "critical") -> DataFrame:
     return found.agg(F.when(hit, 2).otherwise(0).alias("exit_code"))
 
 
-def with_git_status(found: DataFrame, status: DataFrame, repo: bool = True) -> DataFrame:
-    """findings with git_status: as listed, else tracked; null where there is no repository."""
+def with_git_status(found: DataFrame, status: DataFrame, repo: bool = True, nearest: DataFrame | None = None) -> DataFrame:
+    """findings with git_status: as listed, else tracked; null if there is no repository (repo false). With nearest (root,
+    path, repo), files that lie in no repository are unknown."""
     s = status.select("root", "path", "status").dropDuplicates(["root", "path"])
     out = found.join(s, ["root", "path"], "left")
     value = F.coalesce("status", F.lit("tracked")) if repo else F.lit(None).cast("string")
-    return out.withColumn("git_status", value).drop("status")
+    if repo and nearest is not None:
+        out = out.join(nearest.select("root", "path", F.col("repo").isNotNull().alias("_held")), ["root", "path"], "left")
+        value = F.when(F.coalesce("_held", F.lit(False)), value).otherwise("unknown")
+    return out.withColumn("git_status", value).select(*found.columns, "git_status")
+
+
+def scan_job(contents: DataFrame, entries: DataFrame, status: DataFrame | None = None, gate: str = "critical", **options) -> dict[str, DataFrame]:
+    """The whole scan: findings with git status and order, repeats, and per root a summary (files_scanned, findings,
+    repeated, exit_code)."""
+    walk = {k: v for k, v in options.items() if k in ("max_depth", "policy")}
+    found = findings(contents, **options)
+    repeats = repeated_counts(found)
+    from treeledger.operators import repositories  # which itself needs git_status_of
+
+    near = repositories.nearest_repository(found.select("root", "path"), entries)
+    flagged = with_git_status(found, status, nearest=near) if status is not None else found.withColumn("git_status", F.lit(None).cast("string"))
+    rank = F.array_position(F.array(*map(F.lit, RISKS)), F.col("risk")).cast("int") - 1
+    least = {"ignore": 99, "critical": risk_rank("Critical"), "high": risk_rank("High")}[gate]
+    summary = scanned_files(contents, **walk).groupBy("root").agg(F.count("*").alias("files_scanned"))
+    summary = summary.join(found.groupBy("root").agg(F.count("*").alias("findings"), F.max(rank).alias("most")), "root", "left")
+    summary = summary.join(repeats.groupBy("root").agg(F.count("*").alias("repeated")), "root", "left")
+    summary = summary.select(
+        "root", "files_scanned", F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("repeated", F.lit(0)).alias("repeated"),
+        F.when(F.col("most") >= least, 2).otherwise(0).alias("exit_code"),
+    )
+    return {"findings": in_order(flagged), "repeated": repeats, "summary": summary}
 
 
 def git_status_of(xy: Column) -> Column:

@@ -59,13 +59,19 @@ def _dated(df: DataFrame, slug: Column, ts: str) -> DataFrame:
 
 
 def write_packs(routed: DataFrame, contents: DataFrame, store: str, ts: str) -> None:
-    """The files that are routed to pack, with their contents, below packs/yyyy/mm/slug, in component order. The ranges
-    are over project and path, so that a large project spreads over many tasks."""
+    """The files that are routed to pack, with their contents, below packs/yyyy/mm/slug__ts, in component order. The ranges
+    are over project and path, so that a large project spreads over many tasks. Projects of one slug are told apart by a
+    short id of root and project. A run that is repeated replaces its own folders and no others."""
     allowed = routed.where("route = 'pack'").select("root", "project", "path")
     rows = allowed.join(contents.select("root", "path", "text"), ["root", "path"]).withColumn("parts", P.parts("path"))
-    rows = _dated(rows, P.slug(F.col("project")), ts)
+    slug = P.slug(F.col("project"))
+    same = allowed.select("root", "project", slug.alias("s")).distinct().groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.withColumn("s", slug).join(same, "s", "left")
+    unique = F.when(F.col("n") > 1, F.concat_ws("__", "s", P.short_id(F.concat_ws("/", "root", "project")))).otherwise(F.col("s"))
+    rows = _dated(rows, F.concat_ws("__", unique, F.lit(ts)), ts).drop("s", "n")
     rows = rows.repartitionByRange("root", "project", "parts").sortWithinPartitions("slug", "root", "project", "parts")
-    rows.write.mode("append").option("compression", "zstd").partitionBy("yyyy", "mm", "slug").parquet(f"{store}/packs")
+    out = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    out.partitionBy("yyyy", "mm", "slug").parquet(f"{store}/packs")
 
 
 def write_stash(plan: DataFrame, contents: DataFrame, key: DataFrame, store: str, slug: str, ts: str) -> DataFrame:
@@ -93,9 +99,10 @@ def write_manifest(stages: DataFrame, artifacts: dict[str, str | None], stash: D
     if not any(artifacts.values()):
         return
     names = sorted(artifacts)
-    one = stages.groupBy().agg(F.array_sort(F.collect_list(F.struct("ord", "stage", "files", "bytes", "message"))).alias("stages"))
+    ok = F.col("ok") if "ok" in stages.columns else F.lit(True)
+    one = stages.groupBy().agg(F.array_sort(F.collect_list(F.struct("ord", "stage", "files", "bytes", "message"))).alias("stages"), F.bool_and(ok).alias("success"))
     one = one.select(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(ts).alias("created_at"), F.lit(True).alias("success"), "stages",
+        F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(ts).alias("created_at"), "success", "stages",
         F.struct(*[F.lit(artifacts[n]).cast("string").alias(n) for n in names]).alias("artifacts"),
         F.lit(ts[:4]).alias("yyyy"), F.lit(ts[4:6]).alias("mm"),
     )

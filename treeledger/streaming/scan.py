@@ -24,13 +24,15 @@ def scan_stream(contents: DataFrame, out: str, checkpoint: str, **options) -> Da
 
 
 def repeats_stream(contents: DataFrame, log: str, checkpoint: str) -> DataStreamWriter:
-    """Keep the hashes of every batch in log, one folder a batch: a batch that is tried again replaces its own folder."""
+    """Keep every path of every batch in log, with its hash or null if it is clean, one folder a batch: a batch that is
+    tried again replaces its own folder."""
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        seen = batch.where("value_hash is not null").select("root", "path", "value_hash", "masked", "risk")
-        seen.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+        seen = secrets.findings(batch).select("root", "path", "value_hash", "masked", "risk")
+        all_ = batch.select("root", "path").distinct().join(seen, ["root", "path"], "left")
+        all_.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
 
-    return secrets.findings(contents).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return contents.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
 
 
 def running_repeats(spark: SparkSession, log: str) -> DataFrame:
