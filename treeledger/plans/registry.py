@@ -11,6 +11,7 @@ from treeledger.functions import paths as P
 from treeledger.functions.rules import CONTENT_MARKERS, FILENAME_PATTERNS, LANGUAGE_LEVELS, MARKERS, SKIP_EXACT, TRASH, risk_rank
 from treeledger.operators import projects, repositories, routing, secrets, trash
 from treeledger.sources.corpus import CORPUS_SQL, corpus, entries, entries_of
+from treeledger.sources.store import written
 
 TS = "20260102T030405Z"
 
@@ -103,6 +104,15 @@ def git_status_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.with_git_status(found, status).select("path", "risk", "git_status")
 
 
+def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing as a table: jobs that look at it several times read narrow rows instead of the texts."""
+    return written(entries(spark, sf_dir), "entries")
+
+
+def stored_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(routing.routes(corpus(spark, sf_dir)), "routes")
+
+
 def _stack(found: DataFrame) -> DataFrame:
     return found.select("path", "name", F.array_join(F.transform("hits", lambda h: h["name"]), "|").alias("hits"), "is_git_repo")
 
@@ -120,12 +130,12 @@ def candidates_extra_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = projects.projects(entries(spark, sf_dir))
+    p = projects.projects(stored_entries(spark, sf_dir))
     return p.select("path", "name", "language", F.array_join("frameworks", "|").alias("frameworks"), F.array_join("markers", "|").alias("markers"), projects.stack_label().alias("stack"), "is_git_repo", "size_bytes")
 
 
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entries(spark, sf_dir)
+    e = stored_entries(spark, sf_dir)
     return projects.scan_report(projects.project_sizes(projects.candidates(e), e)).drop("root")
 
 
@@ -133,11 +143,11 @@ ALL = tuple(s for s, _ in TRASH)
 
 
 def trash_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trash.trash_dirs(entries(spark, sf_dir), ALL).drop("root")
+    return trash.trash_dirs(stored_entries(spark, sf_dir), ALL).drop("root")
 
 
 def trash_by_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trash.by_strategy(trash.trash_dirs(entries(spark, sf_dir))).drop("root")
+    return trash.by_strategy(trash.trash_dirs(stored_entries(spark, sf_dir))).drop("root")
 
 
 def stash_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +167,7 @@ def pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lifecycle_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
-    return routing.lifecycle_stages(routing.routes(c), trash.trash_dirs(entries_of(c))).drop("root", "ord")
+    return routing.lifecycle_stages(stored_routes(spark, sf_dir), trash.trash_dirs(stored_entries(spark, sf_dir))).drop("root", "ord")
 
 
 def depth_kind_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
