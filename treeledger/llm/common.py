@@ -17,9 +17,9 @@ from pyspark.sql.types import StructType
 #: Rows of narrow ids that may be broadcast; beyond it the same join shuffles.
 BROADCAST_IDS = 500_000
 #: Rows and bytes that a Python task looks at together; a longer text is looked at by itself.
-SLICE_ROWS, SLICE_BYTES = 500, 2_000_000
+SLICE_ROWS, SLICE_BYTES = 500, 1_000_000
 #: Bytes of a batch between the JVM and Python, set where the session has Spark's own default.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

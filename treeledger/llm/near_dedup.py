@@ -59,7 +59,7 @@ class Hashes(dict):
     def __missing__(self, w: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(w)
         if len(w) <= 32:
-            if len(self) >= 50_000:
+            if len(self) >= 20_000:
                 self.clear()
             self[w] = h
         return h

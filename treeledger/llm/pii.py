@@ -170,7 +170,7 @@ class Words(dict):
     def __missing__(self, w: str) -> int:
         h = xxhash.xxh3_64_intdigest("0" if _DIGIT.search(w) else w.lower().encode("utf-8", "surrogatepass"))
         if len(w) <= LONG:
-            if len(self) > 50_000:
+            if len(self) > 20_000:
                 self.clear()
             self[w] = h
         return h

@@ -356,7 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 class Scorer:
     """Greatest window logit of texts. Keeps what the words it has met add to the gates, up to a number of words."""
 
-    def __init__(self, model: dict, most: int = 30_000):
+    def __init__(self, model: dict, most: int = 20_000):
         self.net, self.vectors, self.most = Network(), model["vectors"], most
         self.net.p = model["net"]
         self.clear()
