@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeledger.llm.common import materialize, scratch
+from treeledger.llm.common import few, materialize, scratch
 
 SCALE = 256
 BITS = 6
@@ -138,11 +138,12 @@ def _search(rows, wanted, k, id_col, vec_col, scale, bits, vector_block, query_b
     near = materialize(near, "bounds")
 
     query = ["q", "qc"]
+    by_query = lambda table: F.broadcast(table) if few(table) else table  # noqa: E731, a row a query
     best = Window.partitionBy(*query).orderBy(F.desc("lower"))
     kth = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy(*query).agg(F.min("lower").alias("kth"), F.count("*").alias("n"))
-    near = near.join(kth, query).where((F.col("n") < k) | (F.col("upper") >= F.col("kth"))).select(*query, "class", "upper")
-    by_bound = Window.partitionBy(*query).orderBy(F.desc("upper"), "class")
-    near = materialize(near.withColumn("r", F.row_number().over(by_bound)), "order", keep=True)
+    kth = materialize(kth, "lower-bounds")
+    near = near.join(by_query(kth), query).where((F.col("n") < k) | (F.col("upper") >= F.col("kth"))).select(*query, "class", "upper")
+    near = materialize(near, "candidates", keep=True)
 
     def exact(pairs: DataFrame) -> DataFrame:
         members = pairs.join(classes.select("class", F.col("v").alias("b"), "ids"), "class")
@@ -150,11 +151,18 @@ def _search(rows, wanted, k, id_col, vec_col, scale, bits, vector_block, query_b
         scored = members.join(asked, query).withColumn("score", _dot("a", "b")).select(*query, "score", F.explode("ids").alias("vec_id"))
         return scored.where("vec_id <> q")
 
-    first = materialize(exact(near.where(F.col("r") <= k + 1)), "read1", keep=True)
+    # only the heads of the orders are ranked: partitions cut theirs before rows of a query meet
+    by_bound = Window.partitionBy(*query).orderBy(F.desc("upper"), "class")
+    head = near.withColumn("r", F.row_number().over(by_bound)).where(F.col("r") <= k + 1)
+    head = materialize(head.select(*query, "class", "upper"), "head")
+    first = materialize(exact(head), "read1", keep=True)
     rank = Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id")
     certain = first.withColumn("r", F.row_number().over(rank)).where(F.col("r") == k).select(*query, F.col("score").alias("kth"))
-    rest = near.where(F.col("r") > k + 1).join(certain, query, "left").where("kth is null or upper >= kth")
-    found = first.unionByName(exact(rest.select(*query, "class", "upper", "r")))
+    read = head.groupBy(*query).agg(F.max(F.struct(-F.col("upper"), "class")).alias("read"))
+    state = materialize(read.join(certain, query, "left"), "certain", keep=True)
+    rest = near.join(by_query(state), query).where(F.struct(-F.col("upper"), F.col("class")) > F.col("read"))
+    rest = rest.where("kth is null or upper >= kth").select(*query, "class", "upper")
+    found = first.unionByName(exact(rest))
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(
         F.col("q").alias("query_id"), "rank", "vec_id", "score"
     )
