@@ -181,8 +181,10 @@ def _place(n, share: float):
 def _prefixes(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, n, s, pos: the first shingles of each set, from rare to common among the sets of ids."""
     ex = materialize(_sets(docs, ids).select("id", F.explode("set").alias("s")).distinct(), "shingles")
-    counted = ex.groupBy("s").agg(F.count("*").alias("f"))
-    rows = ex.join(counted, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("l"))
+    # shingles of several sets; a list too long for one task is split by the skew join where the counts aren't few
+    counted = materialize(ex.groupBy("s").agg(F.count("*").alias("f")).where("f > 1"), "counted")
+    rows = ex.join(F.broadcast(counted) if few(counted) else counted, "s", "left").select("id", "s", F.coalesce("f", F.lit(1)).alias("f"))
+    rows = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("l"))
     rows = rows.select("id", F.size("l").alias("n"), F.posexplode(F.slice("l", F.lit(1), _place(F.size("l"), PERCENT) + 1)).alias("pos", "x"))
     return rows.where("x.f > 1").select("id", "n", F.col("x.s").alias("s"), "pos")
 
