@@ -46,8 +46,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         picked = part if picked is None else picked.unionByName(part)
     picked = materialize(picked.select("doc_id", "y", "h"), "sample")
     texts = docs.select("doc_id", as_text(F.col("text")).alias("text")).where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy("h", "doc_id", "text").select("doc_id", "text", "y").toPandas()
-    return rows.drop_duplicates("doc_id"), 0.5 if share is None else float(share)
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "h", "y").agg(F.min("text").alias("text"))  # one text an id
+    rows = rows.orderBy("h", "doc_id").select("doc_id", "text", "y").toPandas()
+    return rows, 0.5 if share is None else float(share)
 
 
 def chunks(raw: bytes, n: int = CHUNK) -> list[bytes]:
