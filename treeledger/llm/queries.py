@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeledger.llm import chat_format, decontaminate, html_extract, language_id, mixing, near_dedup, pii, quality, toxicity, va_search
+from treeledger.llm import (
+    chat_format, chat_repair, decontaminate, html_extract, language_id, mixing, near_dedup, periodic_runs, pii, quality,
+    token_records, toxicity, va_search,
+)
 from treeledger.llm.common import crc_fold, read
 
 
@@ -119,6 +122,87 @@ from g
 """
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.detect(read(spark, sf_dir, "documents"))
+
+
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(chat_repair.damage(read(spark, sf_dir, "conversations")))
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda z: cast(ascii(z) as bigint))), lambda c, b: {bits}), 4294967295)"
+
+
+def _repair_sql() -> str:
+    """States z0 to z3 hold the cheapest edits (c), their letters (a) and what they write (r) up to a row; a step closes
+    them under inserts and takes the next row."""
+
+    def best(*of: str) -> str:
+        return f"list_sort(list_filter([{', '.join(of)}], lambda x: x.c is not null))[1]"
+
+    def more(z: str, cost: str, edit: str, row: str) -> str:
+        return f"{{'c': {z}.c + {cost}, 'a': {z}.a || {edit}, 'r': {z}.r || {row}}}"
+
+    said = lambda role: f"chr(10) || {role} || ':' || text"
+    z2 = best("s2", *[more(s, "3", "'I'", "chr(10) || 'user:'") for s in ("s0", "s1", "s3")])
+    keep = lambda z, own, name: (
+        f"case when not gone then case when i = '{own}' then {more(z, 't', chr(39) + 'K' + chr(39), said('role'))} "
+        + (f"else {more(z, '(t + 3)', chr(39) + 'R' + chr(39), said(chr(39) + name + chr(39)))} " if name else "")
+        + "end end"
+    )
+    drop = lambda z: more(z, "4", "'D'", "''")
+    z3 = best("s3", more("z2", "3", "'I'", "chr(10) || 'assistant:'"))
+    closed = lambda of: f"select *, {z3} as z3 from (select *, s0 as z0, s1 as z1, {z2} as z2 from ({of}))"
+    next_row = "select p.*, m.role, m.text, m.i, m.gone, m.t from steps p join marked m on p.conv_id is not distinct from m.conv_id and m.n = p.n + 1"
+    last = "select s.* from steps s join counts c on s.conv_id is not distinct from c.conv_id and s.n = c.rows"
+    return f"""
+with recursive src as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         {_crc32_sql("(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))")} % 20 as code
+  from conversations),
+hurt as (
+  select conv_id, turn, case when code = 4 then 'user' else role end as role,
+         case code when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from src, unnest(range(case when code = 3 then 2 else 1 end)) as t(k) where code <> 0),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n from hurt),
+judged as (
+  select *, left(role, 1) as i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') as solid,
+         row_number() over (partition by conv_id, role, text order by n) > 1 as again,
+         lag(left(role, 1)) over (partition by conv_id order by n) || left(role, 1) as pair
+  from numbered),
+marked as (
+  select *, solid = '' as blank, solid <> '' and again as dup, solid <> '' and not again and right(solid, 1) not in ('.', '!', '?') as cut,
+         solid = '' or again as gone, case when right(solid, 1) in ('.', '!', '?') then 0 else 3 end as t
+  from judged),
+counts as (
+  select conv_id, count(*) as rows, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank,
+         count(*) filter (where dup) as duplicate, count(*) filter (where cut) as truncated,
+         count(*) filter (where pair is not null and pair not in ('su', 'ua', 'au')) as illegal
+  from marked group by conv_id),
+steps as (
+  select conv_id, cast(0 as bigint) as n, {{'c': 0, 'a': '', 'r': ''}} as s0, cast(null as struct(c integer, a varchar, r varchar)) as s1,
+         cast(null as struct(c integer, a varchar, r varchar)) as s2, cast(null as struct(c integer, a varchar, r varchar)) as s3 from counts
+  union all
+  select conv_id, n + 1, {drop('z0')}, {best(drop('z1'), keep('z0', 's', ''))},
+         {best(drop('z2'), *[keep(z, 'u', 'user') for z in ('z0', 'z1', 'z3')])}, {best(drop('z3'), keep('z2', 'a', 'assistant'))}
+  from ({closed(next_row)})),
+ends as (select conv_id, {best('z0', 'z3')} as e from ({closed(last)}))
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, cast(coalesce(e.c, 0) as bigint) as cost, coalesce(e.a, '') as audit, sha256(coalesce(substr(e.r, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on o.conv_id is not distinct from c.conv_id
+left join ends x on o.conv_id is not distinct from x.conv_id
+"""
+
+
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_records.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     return {
         "op1_va_search": op1_va_search,
@@ -131,8 +215,11 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
         "op10_quality": op10_quality,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_chat_repair": op12_chat_repair,
+        "op13_token_records": op13_token_records,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_va_search": OP1_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_va_search": OP1_SQL, "op9_chat_format": OP9_SQL, "op12_chat_repair": _repair_sql()}
