@@ -47,7 +47,9 @@ END_ID = 0
 #: A file is closed once it holds so many bytes.
 FILE_BYTES = 64 << 20
 #: Pieces that a task remembers, and the longest that it does.
-PIECES, PIECE_CHARS = 100_000, 40
+PIECES, PIECE_CHARS = 400_000, 40
+#: Words that are encoded as one text.
+WORDS = 2000
 _NULL = 0xFFFFFFFF
 _MASK = 0xA282EAD8
 INDEX = "file string, part int, roll int, position long, key string, offset long, length long, n_tokens long, before long"
@@ -55,6 +57,9 @@ READ = "file string, position long, start long, key string, n_tokens long, ids_c
 
 #: Signs that are no white space by any version of Unicode.
 _SOLID = "!-~À-ɏͰ-ԯぁ-鿿"
+_STOPS = ",.;:!?)"
+_TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([,.;:!?)]{1,3})")
+_ENDS_SOLID = re.compile(rf"[{_SOLID}]\Z")
 _PIECE = re.compile(rf"(?s).(?:[^ \n]|(?<![{_SOLID}])[ \n])*")
 
 
@@ -92,7 +97,7 @@ def deserialize(payload: bytes) -> tuple[str | None, np.ndarray]:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer's file, as little-endian unsigned 32-bit integers."""
+    """Ids of whole texts by a tokenizer's file, as little-endian integers of width bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are what runs side by side
@@ -102,34 +107,110 @@ class Encoder:
         pre = getattr(self.tok.pre_tokenizer, "__class__", type(None)).__name__
         self.cut = pre == "ByteLevel" and self.tok.normalizer is None and not self.tok.pre_tokenizer.add_prefix_space
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        size = self.tok.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        # a byte-level token has a sign for every byte
+        self.bytes = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.known: dict[str, bytes] = {}  # ids of a blank and the word
+        self.tails: dict[str, bytes] = {}
+        self.long: list[str] = []  # not to be remembered after a batch
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that end in a solid sign. Stops after a word of letters are cut off first, as the model does."""
+        tailed, cores = [], set()
+        for w in words:
+            m = _TAILED.fullmatch(w) if w[-1] in _STOPS else None
+            if m:
+                tailed.append((w, *m.groups()))
+            cores.add(m[1] if m else w)
+        self._encode_words(list(cores.difference(self.known)))
+        tails = {t for _, _, t in tailed}.difference(self.tails)
+        self.tails |= dict(zip(tails, self._raw(list(tails)), strict=True))
+        self.known.update((w, self.known[core] + self.tails[tail]) for w, core, tail in tailed)
+        self.long += [w for w, _, _ in tailed if len(w) > PIECE_CHARS]
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Many words in one text; where one ends among the ids, their bytes tell."""
+        for at in range(0, len(words), WORDS):
+            some = [" " + w for w in words[at : at + WORDS]]
+            (ids,) = self._raw(["".join(some)])
+            sizes = np.cumsum([len(w.encode()) for w in some])
+            ends = np.cumsum(self.bytes[np.frombuffer(ids, f"<u{self.width}")])
+            cuts = ((np.searchsorted(ends, sizes) + 1) * self.width).tolist()
+            self.known.update(zip(words[at : at + WORDS], map(ids.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+        self.long += [w for w in words if len(w) > PIECE_CHARS]
+
+    def _forget(self) -> None:
+        for w in self.long:
+            self.known.pop(w, None)
+        self.long = []
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        cut = [_PIECE.findall(t) if self.cut and not any(a in t for a in self.added) else [t] for t in texts]
-        new = list({p for ps in cut for p in ps if p not in self.known})
-        found = self.known
-        if new:
-            made = dict(zip(new, self._encode(new), strict=True))
-            if len(self.known) + len(new) > PIECES:
-                self.known = {}
-            self.known |= {p: b for p, b in made.items() if len(p) <= PIECE_CHARS} if len(new) <= PIECES else {}
-            found = _Both(made, found)
-        return [b"".join(map(found.__getitem__, ps)) for ps in cut]
-
-
-class _Both(dict):
-    """One dictionary over another."""
-
-    def __init__(self, over: dict, under: dict):
-        super().__init__(over)
-        self.under = under
-
-    def __missing__(self, key):
-        return self.under[key]
+        whole, cut = [], []  # (place, text) and (place, first piece, words, last piece)
+        for k, t in enumerate(texts):
+            words = t.split(" ") if self.cut and not any(a in t for a in self.added) else []
+            if len(words) < 3:
+                whole.append((k, t))
+            else:
+                cut.append((k, words[0], words[1:-1], " " + words[-1]))
+        words = set().union(*[ws for _, _, ws, _ in cut])
+        if len(self.known) > PIECES:
+            self.known = {w: self.known[w] for w in words.intersection(self.known)}
+            self.tails = {}
+        new = words.difference(self.known)
+        solid = [w for w in new if _ENDS_SOLID.search(w)]
+        self._learn(solid)
+        # a word without a solid end goes on with the words after it
+        known, rest = self.known, []
+        out: list = [None] * len(texts)
+        for k, first, words, last in cut:
+            try:
+                if not _ENDS_SOLID.search(first):
+                    raise KeyError(first)
+                out[k] = [None, b"".join(map(known.__getitem__, words)), None]
+                rest.append((k, first, last))
+            except KeyError:
+                whole.append((k, texts[k]))
+        self._forget()
+        for (k, _, _), a, b in zip(rest, self._raw([f for _, f, _ in rest]), self._raw([x for _, _, x in rest]), strict=True):
+            out[k] = a + out[k][1] + b
+        for k, x in zip([k for k, _ in whole], self._loose([t for _, t in whole]), strict=True):
+            out[k] = x
+        return out
+
+    def _loose(self, texts: list[str]) -> list[bytes]:
+        """As batch, for texts with runs of white space: cut into pieces by a pattern; or whole."""
+        cut = [_PIECE.findall(t) if self.cut and not any(a in t for a in self.added) else None for t in texts]
+        # pieces but for the first and last are a blank or line feed and more, up to a solid sign
+        inner = {p[1:] for ps in cut if ps for p in ps[1:-1] if p[0] == " "}.difference(self.known)
+        self._learn(list(inner))
+        known, ends, at = self.known, [], []
+        for i, (t, ps) in enumerate(zip(texts, cut, strict=True)):
+            for j, p in enumerate(ps if ps is not None else [t]):
+                if ps is None or j in (0, len(ps) - 1) or p[0] != " ":
+                    at.append((i, j))
+                    ends.append(p)
+        coded = dict(zip(at, self._raw(ends), strict=True))
+        out = []
+        for i, ps in enumerate(cut):
+            n = 1 if ps is None else len(ps)
+            out.append(b"".join(coded[i, j] if (i, j) in coded else known[ps[j][1:]] for j in range(n)))
+        self._forget()
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder a process: Spark's workers live on from task to task, and with them the words they have learned."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -177,8 +258,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
     rows = rows.select("key", "text", *tie).repartitionByRange("key", "h", "from").sortWithinPartitions("key", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = Encoder(tokenizer), None
-        end = np.array([end_id], "<u4").tobytes()
+        encoder, writer = encoder_of(tokenizer), None
         names = [c.split()[0] for c in INDEX.split(", ")]
         types = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]] for c in INDEX.split(", ")]
         try:
@@ -189,8 +269,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
                 for at in range(0, b.num_rows, step):
                     part = b.slice(at, step)
                     coded = encoder.batch(part.column(1).to_pylist())
+                    end = np.array([end_id], f"<u{encoder.width}")
                     for key, x in zip(part.column(0).to_pylist(), coded, strict=True):
-                        found.append(writer.add(key, np.frombuffer(x + end, "<u4"), encoder.width))
+                        found.append(writer.add(key, np.frombuffer(x + end.tobytes(), end.dtype), encoder.width))
                 if found:
                     columns = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
