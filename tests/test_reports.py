@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeledger.functions import paths as P
-from treeledger.operators import projects, routing, secrets
+from treeledger.operators import ordering, projects, routing, secrets
 from treeledger.plans import reports
 from treeledger.sources import sinks
 from treeledger.streaming import scan
@@ -48,10 +48,10 @@ def test_gate_loses_no_hit(spark):
 def test_order_numbers_rows_by_components(spark):
     paths = ["a-b/x", "a/b", "a", "a/b/c/d", "z/y/x", "a/b/c", "z", "a b/q"]
     rows = spark.createDataFrame([("r", p, i % 3) for i, p in enumerate(paths)] + [("s", "only", 1)], "root string, path string, w int")
-    got = {(x.root, x.path): x.position for x in secrets.in_order(rows).collect()}
+    got = {(x.root, x.path): x.position for x in ordering.in_order(rows).collect()}
     want = {("r", p): n for n, p in enumerate(sorted(paths, key=lambda p: p.split("/")), 1)} | {("s", "only"): 1}
     assert got == want
-    heavy = {x.path: x.position for x in secrets.in_order(rows.where("root = 'r'"), first=F.col("w")).collect()}
+    heavy = {x.path: x.position for x in ordering.in_order(rows.where("root = 'r'"), first=F.col("w")).collect()}
     assert heavy == {p: n for n, p in enumerate(sorted(paths, key=lambda p: (-(paths.index(p) % 3), p.split("/"))), 1)}
 
 

@@ -37,6 +37,34 @@ def relative(p: Column, root: Column) -> Column:
     return F.when(fits, join_parts(F.slice(clean, F.size(root) + 1, F.greatest(F.size(clean) - F.size(root), F.lit(0)))))
 
 
+def resolved(path: Column) -> Column:
+    """A path as a user wrote it, as components without '.', empty ones and 'x/..'. Null if it is absolute or climbs above
+    its root at any point. Links are not followed."""
+    up = lambda at: F.size(at.parts) > 0
+    none = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(False).alias("outside"))
+
+    def step(at: Column, c: Column) -> Column:
+        back = F.slice(at.parts, F.lit(1), F.greatest(F.size(at.parts) - 1, F.lit(0)))
+        parts = F.when(c == "..", back).when(c.isin("", "."), at.parts).otherwise(F.concat(at.parts, F.array(c)))
+        return F.struct(parts.alias("parts"), (at.outside | ((c == "..") & ~up(at))).alias("outside"))
+
+    fold = F.array(F.aggregate(F.split(path, "/"), none, step))  # in an array, so that it is worked out once
+    inside = lambda at: F.when(~(F.startswith(path, F.lit("/")) | at.outside), at.parts)
+    return F.element_at(F.transform(fold, inside), 1)
+
+
+def relative_name(path: Column, root: Column) -> Column:
+    """The name of a path below root (components); null where it is absolute, climbs out, or isn't below root. Unlike
+    relative, it takes the path as written, so that a leading / isn't lost."""
+
+
+    def below(p: Column) -> Column:
+        n = F.size(p) - F.size(root)
+        return F.when(is_under(p, root) & (n > 0), join_parts(F.slice(p, F.size(root) + 1, F.greatest(n, F.lit(1)))))
+
+    return F.element_at(F.transform(F.array(resolved(path)), below), 1)
+
+
 def slug(s: Column) -> Column:
     """Last component, blanks to -, other characters than letters, digits, . _ - dropped, 80 at most, else project."""
     last = F.element_at(F.concat(F.array(F.lit("")), F.filter(F.split(s, r"[/\\]"), lambda x: x != "")), -1)

@@ -20,13 +20,18 @@ def stash_plan(contents: DataFrame, min_risk: str = "High") -> DataFrame:
 
 def stash_only(requests: DataFrame, entries: DataFrame, contents: DataFrame, min_risk: str = "High", strict: bool = False) -> DataFrame:
     """root, path, state, risk, size_bytes of an explicit list (root, path) of files to put away, each once: selected,
-    below_risk, missing, not_a_file or outside (it climbs above the root). Neither the skip policy nor the depth applies.
-    With strict, the last three are errors."""
-    asked = requests.select("root", "path").distinct()
-    found = secrets.scan_secrets(contents.join(asked, ["root", "path"], "left_semi"), min_risk=min_risk, walk=False)
-    rows = asked.join(entries.select("root", "path", "kind", "size_bytes"), ["root", "path"], "left")
-    rows = rows.join(found.select("root", "path", secrets.risk_name(F.col("risk_rank")).alias("risk")), ["root", "path"], "left")
-    state = F.when(F.array_contains(F.split("path", "/"), ".."), "outside").when(F.col("kind").isNull(), "missing").when(F.col("kind") != "file", "not_a_file")
+    below_risk, missing, not_a_file or outside (it is absolute or climbs above the root; named as it was written). Paths are
+    resolved before they are compared, so that ./a, a/./ and b/../a are the one file a. Neither the skip policy nor the
+    depth applies. With strict, the last three are errors."""
+    asked = requests.select("root", "path", secrets.once(P.resolved(F.col("path"))).alias("own"))
+    asked = asked.select("root", F.coalesce(P.join_parts(F.col("own")), F.col("path")).alias("path"), F.col("own").isNull().alias("outside")).distinct()
+    inside = asked.where(~F.col("outside")).select("root", "path")
+    found = secrets.scan_secrets(contents.join(inside, ["root", "path"], "left_semi"), min_risk=min_risk, walk=False)
+    listed = entries.select("root", "path", "kind", "size_bytes").withColumn("outside", F.lit(False))
+    rows = asked.join(listed, ["root", "path", "outside"], "left")
+    risks = found.select("root", "path", secrets.risk_name(F.col("risk_rank")).alias("risk"), F.lit(False).alias("outside"))
+    rows = rows.join(risks, ["root", "path", "outside"], "left")
+    state = F.when(F.col("outside"), "outside").when(F.col("kind").isNull(), "missing").when(F.col("kind") != "file", "not_a_file")
     if strict:
         state = F.when(state.isNotNull(), F.raise_error(F.concat_ws(": ", state, "path")))
     state = F.coalesce(state, F.when(F.col("risk").isNull(), "below_risk").otherwise("selected"))

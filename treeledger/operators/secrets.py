@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeledger.functions import paths as P
 from treeledger.functions.rules import CONTENT_MARKERS, FILENAME_PATTERNS, RISKS, risk_rank
+from treeledger.operators.ordering import in_order
 
 MAX_DEPTH = 6
 MAX_BYTES = 1 << 20
@@ -152,22 +153,39 @@ def content_sources_of(text: Column, markers=None) -> Column:
     return F.when(eligible(text) & may_hold(text, markers), content_sources(text, markers).cast(_SOURCE)).otherwise(F.array().cast(_SOURCE))
 
 
+def sources_of(contents: DataFrame, scan_content: bool = True, patterns=None, markers=None) -> DataFrame:
+    """Every row of contents (with parts and name) with sources: all that fits its name and, if asked for, its content, in
+    no order. patterns and markers are the user's own rules in place of the default ones."""
+    check_rules(patterns, markers)
+    found = name_sources(F.col("name"), patterns)
+    if scan_content:
+        found = F.concat(found.cast(_SOURCE), content_sources_of(F.col("text"), markers))
+    return contents.select("*", once(found).alias("sources"))
+
+
 def scan_secrets(
     contents: DataFrame, min_risk: str = "Low", scan_content: bool = True, max_depth: int = MAX_DEPTH, walk: bool = True,
     policy: P.Policy = P.DEFAULT, patterns=None, markers=None,
 ) -> DataFrame:
     """root, path, parts, risk_rank, sources (by kind, line, marker, occurrence) of the files with findings; without walk,
-    of pruned and deep files as well. patterns and markers are the user's own rules in place of the default ones."""
-    check_rules(patterns, markers)
+    of pruned and deep files as well."""
     rows = scanned_files(contents, max_depth, policy) if walk else contents.withColumn("parts", P.parts("path")).withColumn("name", F.element_at("parts", -1))
-    found = name_sources(F.col("name"), patterns)
-    if scan_content:
-        found = F.concat(found.cast(_SOURCE), content_sources_of(F.col("text"), markers))
-    rows = rows.select("root", "path", "parts", once(found).alias("sources"))
+    rows = sources_of(rows, scan_content, patterns, markers).select("root", "path", "parts", "sources")
     rows = rows.select("root", "path", "parts", F.filter("sources", lambda s: s.risk >= risk_rank(min_risk)).alias("sources")).where(F.size("sources") > 0)
     return rows.select("root", "path", "parts", F.array_max(F.transform("sources", lambda s: s.risk)).alias("risk_rank"), F.array_sort("sources").alias("sources"))
 
 
+def file_secrets(contents: DataFrame, keep: tuple[str, ...] = (), max_depth: int = MAX_DEPTH, policy: P.Policy = P.DEFAULT, patterns=None, markers=None) -> DataFrame:
+    """root, path, the columns of keep, value_hash, masked, risk_rank of every row of contents: its best hit, as findings has
+    it, or nulls for a file that is clean, pruned or too deep. One row in, one row out, no shuffle: fit for a stream."""
+    rows = contents.withColumn("parts", P.parts("path")).withColumn("name", F.element_at("parts", -1))
+    reached = (F.size("parts") <= P.check_depth(max_depth)) & ~P.skipped(F.col("parts"), F.lit("file"), policy)
+    rows = sources_of(rows.withColumn("text", F.when(reached, F.col("text"))), True, patterns, markers)
+    rows = rows.select("root", "path", *keep, F.array_max(F.transform("sources", lambda s: s.risk)).alias("top"), once(best_content(F.array_sort("sources"))).alias("best"))
+    rows = rows.select("root", "path", *keep, "top", once(F.when(F.col("best").isNotNull(), masked(F.col("best.value")))).alias("m"))
+    return rows.select("root", "path", *keep, "m.value_hash", "m.masked", F.when(F.col("m").isNotNull(), F.col("top")).alias("risk_rank"))
+
+
 def best_content(sources: str = "sources") -> Column:
     """The content hit of the highest risk, ties to the first in scan order; null without one."""
     hits = F.filter(sources, lambda s: s.kind == 1)
@@ -204,20 +222,6 @@ def filename_scan(contents: DataFrame, min_risk: str = "Low", max_depth: int = M
     return rows.select("root", "path", risk_name(F.col("b.risk")).alias("risk"), "b.rule", "b.label")
 
 
-def in_order(df: DataFrame, first: Column | None = None, position: str = "position") -> DataFrame:
-    """Rows (root, path, ...) with their place in a root's presentation order, from 1: by first (descending) if given, then
-    by path in component order. Rows are numbered within the first two components of their path, and the counts of these
-    groups summed up, so that no task sorts a whole root."""
-    keyed = df.select("*", (F.lit(0) if first is None else -first).alias("_first"), P.parts("path").alias("_parts"))
-    keyed = keyed.withColumn("_group", F.slice("_parts", F.lit(1), F.lit(2)))
-    group = ["root", "_first", "_group"]
-    counts = keyed.groupBy(*group).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("root").orderBy("_first", "_group").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(*group).orderBy("_parts", "path"))
-    return keyed.withColumn("_own", own).join(counts, group).select(*[df[c] for c in df.columns], (F.col("_before") + F.col("_own")).cast("long").alias(position))
-
-
 def repeated_counts(found: DataFrame) -> DataFrame:
     """Secrets that are the best hit of two files or more: root, value_hash, masked (of the first path), risk, count. Plain
     aggregates: a secret in millions of files is one row."""

@@ -30,3 +30,15 @@ def trash_dirs(entries: DataFrame, strategies=DEFAULT_STRATEGIES, max_depth: int
 
 def by_strategy(trash: DataFrame) -> DataFrame:
     return trash.groupBy("root", "strategy").agg(F.count("*").alias("dirs"), F.sum("size_bytes").alias("bytes"))
+
+
+def rollup(trash: DataFrame) -> DataFrame:
+    """root, project, strategy, level, dirs, bytes: totals of every strategy of a project (level 0), of a project (1) and of
+    a root (3). level tells subtotals from rows whose own project or strategy is null."""
+    rows = trash.select("root", "project", "strategy", "size_bytes")
+    # a root is in every grouping set: totals of different roots are never added up
+    cube = rows.groupingSets(
+        [[F.col("root"), F.col("project"), F.col("strategy")], [F.col("root"), F.col("project")], [F.col("root")]],
+        "root", "project", "strategy",
+    )
+    return cube.agg(F.grouping_id("root", "project", "strategy").cast("int").alias("level"), F.count("*").alias("dirs"), F.sum("size_bytes").alias("bytes")).select("root", "project", "strategy", "level", "dirs", "bytes")

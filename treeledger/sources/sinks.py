@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeledger.functions import paths as P
 
 STORE_VERSION = "1.0"
 SCHEMA_VERSION = 1
+MANIFEST = (
+    "schema_version int, created_at string, success boolean, "
+    "stages array<struct<ord: int, stage: string, files: long, bytes: long, message: string>>, artifacts map<string, string>, "
+    "yyyy string, mm string, run string"
+)
 
 
 def check_roots(entries: DataFrame, requested: DataFrame) -> DataFrame:
@@ -74,41 +80,91 @@ def write_packs(routed: DataFrame, contents: DataFrame, store: str, ts: str) ->
     out.partitionBy("yyyy", "mm", "slug").parquet(f"{store}/packs")
 
 
+def read_packs(spark: SparkSession, store: str) -> DataFrame:
+    """slug, position, root, project, path, text of the packed files, position from 1 in the order of their archive: that of
+    its Parquet files, and in a file that of its rows. Only files are put in sequence, not rows; the texts aren't moved."""
+    rows = spark.read.parquet(f"{store}/packs").select("slug", "root", "project", "path", "text", "_metadata.file_path", "_metadata.row_index")
+    files = spark.read.parquet(f"{store}/packs").select("slug", "_metadata.file_path").groupBy("slug", "file_path").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("slug").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file_path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = rows.join(files, "file_path")
+    return rows.select("slug", (F.col("before") + F.col("row_index") + 1).alias("position"), "root", "project", "path", "text")
+
+
+def _one_key(rows: DataFrame, key: DataFrame) -> DataFrame:
+    """rows with the one key of a table that is checked to hold one."""
+    if key.where(F.octet_length("key").isin(16, 24, 32)).count() != 1 or key.count() != 1:
+        raise ValueError("the key table must hold one key of 16, 24 or 32 bytes")
+    return rows.join(F.broadcast(key.select(F.col("key").alias("_key"))), how="cross")  # one row, counted above
+
+
+def _sealed_for() -> Column:
+    """What a sealed text is bound to: its root and path, each with its length, so that no two pairs give the same."""
+    named = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c))
+    return F.concat(named("root"), named("path")).cast("binary")
+
+
 def write_stash(plan: DataFrame, contents: DataFrame, key: DataFrame, store: str, slug: str, ts: str) -> DataFrame:
-    """The planned files, encrypted (AES-GCM), below secrets/yyyy/mm/slug; returns root, path, size_bytes of what was
-    written. key: one row, column key (16, 24 or 32 bytes), so that it stays out of the plan's text."""
+    """The planned files, encrypted, below secrets/yyyy/mm/slug; returns root, path, size_bytes of what was written. AES-GCM
+    with root and path as associated data: a sealed text opens only beside its own path. key: one row, column key (16, 24
+    or 32 bytes), so that it stays out of the plan's text."""
     if plan.isEmpty():
         raise ValueError("nothing to stash")
-    if key.where(F.octet_length("key").isin(16, 24, 32)).count() != 1 or key.count() != 1:
-        raise ValueError("the key table must hold one key of 16, 24 or 32 bytes")
     rows = plan.select("root", "path").join(contents.select("root", "path", "text"), ["root", "path"])
-    sealed = F.aes_encrypt(F.col("text").cast("binary"), F.col("key"), F.lit("GCM"))
-    rows = rows.join(F.broadcast(key.select("key")), how="cross")  # one row, counted above
-    rows = rows.select("root", "path", F.octet_length("text").cast("long").alias("size_bytes"), sealed.alias("sealed"))
+    sealed = F.aes_encrypt(F.col("text").cast("binary"), F.col("_key"), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), _sealed_for())
+    rows = _one_key(rows, key).select("root", "path", F.octet_length("text").cast("long").alias("size_bytes"), sealed.alias("sealed"))
     out = f"{store}/secrets/yyyy={ts[:4]}/mm={ts[4:6]}/slug={slug}__{ts}"
     rows.write.option("compression", "none").parquet(out)
     return plan.sparkSession.read.parquet(out).select("root", "path", "size_bytes")
 
 
-def write_manifest(stages: DataFrame, artifacts: dict[str, str | None], stash: DataFrame, store: str, ts: str) -> None:
-    """One JSON row a run below manifests/yyyy/mm: stages and artifacts (paths relative to the store, no absolute ones);
-    the stashed files are rows of a table beside it, as their number grows with the input."""
+def open_stash(sealed: DataFrame, key: DataFrame, strict: bool = True) -> DataFrame:
+    """root, path, text of sealed rows (root, path, sealed). A row that was changed, moved to another path or sealed with
+    another key is an error, or without strict a null text."""
+    args = (F.col("sealed"), F.col("_key"), F.lit("GCM"), F.lit("DEFAULT"), _sealed_for())
+    text = (F.aes_decrypt if strict else F.try_aes_decrypt)(*args)
+    return _one_key(sealed.select("root", "path", "sealed"), key).select("root", "path", text.cast("string").alias("text"))
+
+
+def read_stash(spark: SparkSession, store: str) -> DataFrame:
+    """The sealed rows of all stashes of a store."""
+    return spark.read.parquet(f"{store}/secrets")
+
+
+def write_manifest(stages: DataFrame, artifacts: dict[str, str | None], stash: DataFrame, store: str, ts: str, run: str | None = None) -> None:
+    """One JSON row a run below manifests/yyyy/mm/run: stages and artifacts (paths relative to the store, no absolute ones);
+    the stashed files are rows of a table beside it, as their number grows with the input. run (the stamp, if not given)
+    names the run: done again, it replaces its own rows and no others. The manifest comes last: a run that fails before has
+    none, and read_manifests doesn't see its files."""
     bad = [a for a in artifacts.values() if a and (a.startswith("/") or ".." in a.split("/"))]
     if bad:
         raise ValueError(f"artifact paths must be relative to the store: {bad}")
     if not any(artifacts.values()):
         return
+    run = run or ts
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", run):
+        raise ValueError(f"a run can't be named {run!r}")
     names = sorted(artifacts)
     ok = F.col("ok") if "ok" in stages.columns else F.lit(True)
     one = stages.groupBy().agg(F.array_sort(F.collect_list(F.struct("ord", "stage", "files", "bytes", "message"))).alias("stages"), F.bool_and(ok).alias("success"))
     one = one.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(ts).alias("created_at"), "success", "stages",
         F.struct(*[F.lit(artifacts[n]).cast("string").alias(n) for n in names]).alias("artifacts"),
-        F.lit(ts[:4]).alias("yyyy"), F.lit(ts[4:6]).alias("mm"),
     )
-    one.coalesce(1).write.mode("append").partitionBy("yyyy", "mm").json(f"{store}/manifests")
-    files = stash.select("root", "path", "size_bytes", F.lit(ts).alias("created_at"), F.lit(ts[:4]).alias("yyyy"), F.lit(ts[4:6]).alias("mm"))
-    files.write.mode("append").partitionBy("yyyy", "mm").json(f"{store}/manifest_files")
+
+    folder = lambda table: f"{store}/{table}/yyyy={ts[:4]}/mm={ts[4:6]}/run={run}"
+    spark = stages.sparkSession
+    old = spark._jvm.org.apache.hadoop.fs.Path(folder("manifests"))
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)  # from here on the run isn't done
+    stash.select("root", "path", "size_bytes", F.lit(ts).alias("created_at")).write.mode("overwrite").json(folder("manifest_files"))
+    one.coalesce(1).write.mode("overwrite").json(folder("manifests"))
+
+
+def read_manifests(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
+    """The manifests of the runs that came to their end, and the stashed files of these runs."""
+    runs = spark.read.schema(MANIFEST).json(f"{store}/manifests")
+    files = spark.read.schema("root string, path string, size_bytes long, created_at string, yyyy string, mm string, run string").json(f"{store}/manifest_files")
+    return runs, files.join(runs.select("yyyy", "mm", "run"), ["yyyy", "mm", "run"], "left_semi")
 
 
 def result_key(root: Column, max_depth: Column, policy: Column) -> Column:

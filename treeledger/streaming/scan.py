@@ -1,4 +1,4 @@
-"""The secret scan over landing contents, and the running table of repeated secrets."""
+"""The secret scan over landing contents."""
 
 from __future__ import annotations
 
@@ -21,22 +21,3 @@ def scan_stream(contents: DataFrame, out: str, checkpoint: str, **options) -> Da
     state, and a restart goes on after the last batch that was committed."""
     found = secrets.findings(contents, **options)
     return found.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
-
-
-def repeats_stream(contents: DataFrame, log: str, checkpoint: str) -> DataStreamWriter:
-    """Keep every path of every batch in log, with its hash or null if it is clean, one folder a batch: a batch that is
-    tried again replaces its own folder."""
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        seen = secrets.findings(batch).select("root", "path", "value_hash", "masked", "risk")
-        all_ = batch.select("root", "path").distinct().join(seen, ["root", "path"], "left")
-        all_.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
-
-    return contents.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
-
-
-def running_repeats(spark: SparkSession, log: str) -> DataFrame:
-    """Repeated secrets over all batches so far. A path that came again counts as its latest batch has it."""
-    rows = spark.read.schema("root string, path string, value_hash string, masked string, risk string, batch_id long").parquet(log)
-    last = rows.groupBy("root", "path").agg(F.max_by(F.struct("value_hash", "masked", "risk"), "batch_id").alias("x"))
-    return secrets.repeated_secrets(last.select("root", "path", "x.*"))
