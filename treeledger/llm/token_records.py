@@ -46,8 +46,8 @@ from treeledger.llm.common import as_text, few, map_rows, materialize, shared_di
 END_ID = 0
 #: A file is closed once it holds so many bytes.
 FILE_BYTES = 64 << 20
-#: Pieces that a task remembers, and the longest that it does.
-PIECES, PIECE_CHARS = 400_000, 40
+#: Words, and words without stops, that a process remembers, and the longest that it does.
+PIECES, CORES, PIECE_CHARS = 250_000, 600_000, 40
 #: Words that are encoded as one text.
 WORDS = 2000
 _NULL = 0xFFFFFFFF
@@ -111,7 +111,9 @@ class Encoder:
         self.width = 2 if size <= 1 << 16 else 4
         # a byte-level token has a sign for every byte
         self.bytes = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.known: dict[str, bytes] = {}  # ids of a blank and the word
+        # ids of a blank and the word: of words as they stand in texts, and of what is left of them without stops
+        self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.long: list[str] = []  # not to be remembered after a batch
 
@@ -120,17 +122,15 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode words that end in a solid sign. Stops after a word of letters are cut off first, as the model does."""
-        tailed, cores = [], set()
-        for w in words:
-            m = _TAILED.fullmatch(w) if w[-1] in _STOPS else None
-            if m:
-                tailed.append((w, *m.groups()))
-            cores.add(m[1] if m else w)
-        self._encode_words(list(cores.difference(self.known)))
-        tails = {t for _, _, t in tailed}.difference(self.tails)
+        split = [(w, *(m.groups() if w[-1] in _STOPS and (m := _TAILED.fullmatch(w)) else (w, ""))) for w in words]
+        if len(self.cores) > CORES:
+            self.cores = {}
+        self._encode_words(list({core for _, core, _ in split}.difference(self.cores)))
+        tails = {t for _, _, t in split}.difference(self.tails)
         self.tails |= dict(zip(tails, self._raw(list(tails)), strict=True))
-        self.known.update((w, self.known[core] + self.tails[tail]) for w, core, tail in tailed)
-        self.long += [w for w, _, _ in tailed if len(w) > PIECE_CHARS]
+        cores, tails = self.cores, self.tails
+        self.known.update((w, cores[core] + tails[tail]) for w, core, tail in split)
+        self.long += [w for w in words if len(w) > PIECE_CHARS]
 
     def _encode_words(self, words: list[str]) -> None:
         """Many words in one text; where one ends among the ids, their bytes tell."""
@@ -140,12 +140,12 @@ class Encoder:
             sizes = np.cumsum([len(w.encode()) for w in some])
             ends = np.cumsum(self.bytes[np.frombuffer(ids, f"<u{self.width}")])
             cuts = ((np.searchsorted(ends, sizes) + 1) * self.width).tolist()
-            self.known.update(zip(words[at : at + WORDS], map(ids.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
-        self.long += [w for w in words if len(w) > PIECE_CHARS]
+            self.cores.update(zip(words[at : at + WORDS], map(ids.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
 
     def _forget(self) -> None:
         for w in self.long:
             self.known.pop(w, None)
+            self.cores.pop(w, None)
         self.long = []
 
     def batch(self, texts: list[str]) -> list[bytes]:
@@ -159,9 +159,8 @@ class Encoder:
         words = set().union(*[ws for _, _, ws, _ in cut])
         if len(self.known) > PIECES:
             self.known = {w: self.known[w] for w in words.intersection(self.known)}
-            self.tails = {}
         new = words.difference(self.known)
-        solid = [w for w in new if _ENDS_SOLID.search(w)]
+        solid = [w for w in new if w and ("!" <= w[-1] <= "~" or _ENDS_SOLID.search(w))]
         self._learn(solid)
         # a word without a solid end goes on with the words after it
         known, rest = self.known, []
