@@ -84,15 +84,18 @@ def reader(top, measured=()):
 def test_filters_reach_the_walk(spark, tmp_path, monkeypatch):
     make_tree(tmp_path)
     everything = listing.list_trees(spark, [str(tmp_path)])
-    rows = everything.where("depth <= 3 and not pruned and kind <> 'other'")
+    rows = listing.list_trees(spark, [str(tmp_path)], where="depth <= 3 and not pruned and kind <> 'other'")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     left = " ".join(x for x in plan.split("\n") if "Filter" in x)  # what is filtered after the scan
     assert "<=" not in left and "NOT pruned" not in left and "other" in left
     want = everything.collect()
     keep = {(x.path, x.kind) for x in want if x.depth <= 3 and not x.pruned}
     assert {(x.path, x.kind) for x in rows.collect()} == keep and ("a/b/c", "dir") in keep
-    assert {x.path for x in want if x.pruned} == {"node_modules", "node_modules/deep", "node_modules/deep/er", "node_modules/deep/er/x.js"}
-    assert everything.where(F.col("root") == "elsewhere").count() == 0
+    assert {x.path for x in want if x.pruned} == {".git", "node_modules", "node_modules/deep", "node_modules/deep/er", "node_modules/deep/er/x.js"}
+    assert listing.list_trees(spark, [str(tmp_path)], where=F.col("root") == "elsewhere").count() == 0
+    # one listing serves queries of several filters
+    assert everything.where("depth <= 1").count() == sum("/" not in x.path for x in want) < everything.count() == len(want)
+    assert rows.where("depth <= 1").count() < rows.where("kind = 'dir'").count() < rows.count() == len(keep)
     # the same through the reader: what is excluded isn't opened
     from pyspark.sql.datasource import EqualTo, GreaterThan, LessThan
 

@@ -93,7 +93,7 @@ def store_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = P.Policy(default=True, custom=("d=src", "*=5"))
     sizes = listing.directory_sizes(spark, [root], policy, max_depth=4)
     heavy = listing.heavy_directories(sizes, spark.sparkContext.defaultParallelism)
-    rows = listing.list_trees(spark, [root], policy, heavy).where("depth <= 3 and pruned = false and kind = 'dir'")
+    rows = listing.list_trees(spark, [root], policy, heavy, where="depth <= 3 and pruned = false and kind = 'dir'")
     return rows.select("path", "depth")
 
 

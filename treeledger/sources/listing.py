@@ -1,6 +1,6 @@
 """A listing of directory trees as a data source: one row an entry, links named but never followed.
 
-A filter on depth, pruned or root reaches the walk itself: directories that it excludes are not opened. The walk is dealt
+What is asked of depth, pruned or root reaches the walk itself: directories that it excludes are not opened. The walk is dealt
 among tasks by hash of name inside a directory. ``directory_sizes`` measures directories level by level, each level dealt
 anew; with its figures a listing gives every large directory as many tasks as it needs.
 """
@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import math
 import os
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, LessThan, LessThanOrEqual, Not
 
@@ -207,13 +208,18 @@ def heavy_directories(sizes: DataFrame, tasks: int) -> list[tuple[str, str, int]
     return out
 
 
-def list_trees(spark: SparkSession, roots: list[str], policy: P.Policy = P.DEFAULT, measured: list | None = None) -> DataFrame:
+def list_trees(spark: SparkSession, roots: list[str], policy: P.Policy = P.DEFAULT, measured: list | None = None, where: Column | str | None = None) -> DataFrame:
     """root, path, kind (file, dir, symlink, other, error), size_bytes, error, depth, pruned (in, or as a directory itself,
-    a skipped directory of policy) of everything below the roots, which every executor must see at the same path. Names
-    that start with a dot are listed like any other. Filters on depth, pruned and root keep the walk out of what they
-    exclude. measured: heavy_directories, for trees that are lopsided."""
+    a skipped directory of policy) of everything below the roots that where fits. Every executor must see the roots at the
+    same path. Names that start with a dot are listed like any other. What where says of depth, pruned and root keeps the
+    walk out of what it excludes. measured: heavy_directories, for trees that are lopsided.
+
+    Spark keeps a reader, with what was pushed into it, for all queries on one loaded source. So where goes into a source of
+    its own, and the counter above it keeps filters of later queries from reaching that."""
     spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(TreeSource)
     own = json.dumps({"default": policy.default, "custom": list(policy.custom), "hidden": policy.hidden})
     out = spark.read.format("treelisting").option("roots", json.dumps(list(roots))).option("policy", own)
-    return out.option("measured", json.dumps(measured or [])).load()
+    out = out.option("measured", json.dumps(measured or [])).load()
+    out = out if where is None else out.where(where)
+    return out.observe(f"listed-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("entries"))
