@@ -1,6 +1,7 @@
 """Language identification and quality scores against plain Python over the same rows."""
 
 import math
+import re
 import random
 from collections import Counter, defaultdict
 
@@ -32,7 +33,7 @@ def plain_languages(pages, docs):
         weight = min(1.0, language_id.TEXT_TRIGRAMS / max(1, len(t)))
         text = [weight * sum(math.log((counts[x][b] + language_id.SMOOTH) / whole[x]) for b in t) for x in langs]
         soft = [math.exp(v - max(text)) for v in text]
-        found = language_id._LANG.search(html or "")
+        found = re.search(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", html or "")
         host, domain, suffix = language_id.address(url)
         keys = {"declared": found[1].lower() if found else "", "suffix": suffix, "domain": domain, "host": host}
         rows.append((page_id, text, [v / sum(soft) for v in soft], keys))

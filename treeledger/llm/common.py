@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,19 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Folders of the tables that each open scratch block has written.
-_open: list[list[str]] = []
+#: Folders of the tables that each open scratch block of this thread (or task of an event loop) has written.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables materialized inside the block are removed when it ends, but for those written with keep: these go with
-    the block around it, if there is one."""
-    _open.append([])
+    the block around it, if there is one. Blocks that run side by side in other threads know nothing of each other."""
+    mine: list[str] = []
+    token = _open.set((*_open.get(), mine))
     try:
         yield
     finally:
-        for path in _open.pop():
+        _open.reset(token)
+        for path in mine:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -61,7 +64,7 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    at = _open[:-1] if keep else _open
+    at = _open.get()[:-1] if keep else _open.get()
     if at:
         at[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -33,14 +34,51 @@ BUCKETS = 1 << 15
 TEXT_TRIGRAMS = 60
 KAPPA = 5.0
 SMOOTH = 0.5
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
+_OPENS = re.compile(r"<(?:(?i:(script|style|noscript|template)\b)|!--)")
+_CLOSES = {n: re.compile(rf"(?is)</{n}\s*>") for n in ("script", "style", "noscript", "template")}
 _TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""")
+_ROOT = re.compile(r"(?i)<html\b")
+_LANG = re.compile(r"""(?i)\blang\s*=\s*["']?([A-Za-z]{2,3})""")
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)")
 
 
 def visible(page: str) -> str:
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    """The text without comments, scripts and the like, and tags, in time linear in the page: what closes an element is
+    looked for once, and what is left open is left alone."""
+    closes: dict[str, list[tuple[int, int]]] = {}
+    parts, at = [], 0
+    comments = True
+    for m in _OPENS.finditer(page):
+        if m.start() < at:
+            continue
+        if m[1] is None:
+            end = page.find("-->", m.end()) if comments else -1
+            comments = end >= 0
+            end = end + 3 if comments else None
+        else:
+            name = m[1].lower()
+            if name not in closes:
+                closes[name] = [x.span() for x in _CLOSES[name].finditer(page)]
+            k = bisect_left(closes[name], (m.end(), 0))
+            end = closes[name][k][1] if k < len(closes[name]) else None
+        if end is not None:
+            parts += [page[at : m.start()], " "]
+            at = end
+    text = "".join(parts) + page[at:]
+    last = text.rfind(">") + 1
+    return html.unescape(_TAG.sub(" ", text[:last]) + text[last:])
+
+
+def declared(page: str) -> str:
+    """The language that the first root element with one declares, or ''. A root that is never closed ends with the page."""
+    at = 0
+    while m := _ROOT.search(page, at):
+        end = page.find(">", m.end())
+        end = len(page) if end < 0 else end
+        if found := _LANG.search(page, m.end(), end):
+            return found[1].lower()
+        at = end
+    return ""
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -94,11 +132,10 @@ def text_evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> Data
         for p in batches:
             out = []
             for i, url, page in zip(p["page_id"], p["url"], p["html"], strict=True):
-                m = _LANG.search(page)
                 t = trigrams(visible(page))
                 ll = table[:, t].sum(1, dtype=float) * min(1.0, TEXT_TRIGRAMS / max(1, len(t))) if len(t) else np.zeros(len(table))
                 soft = np.exp(ll - ll.max())
-                out.append((i, *address(url), m[1].lower() if m else "", ll, soft / soft.sum()))
+                out.append((i, *address(url), declared(page), ll, soft / soft.sum()))
             yield pd.DataFrame(out, columns=["page_id", "host", "domain", "suffix", "declared", "loglik", "soft"]).astype({"page_id": "Int64"})
 
     schema = "page_id long, host string, domain string, suffix string, declared string, loglik array<double>, soft array<double>"

@@ -5,7 +5,8 @@
 2. Blocks: each source is dealt by hash into about sqrt(documents) blocks in all, so both the number of blocks and the
    documents in a block grow as the square root of the corpus. A source's draws are its whole blocks, repeated
    floor(target / size) times in a permuted order, and then blocks of one more pass up to the remaining quota. The
-   block that crosses the quota is dealt document by document, to the nearest document.
+   block that crosses the quota is dealt document by document, to the nearest document; of equal documents at the cut
+   (one id and text) so many copies are taken as fit.
 3. Tree: the draws of all sources are split between two halves of the output shards, and again, down to single shards.
    A node hands its left half exactly half of its draws, and the sources' numbers in it follow the multivariate
    hypergeometric distribution: one hypergeometric draw after the other, by inversion at a hashed uniform number.
@@ -163,7 +164,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, levels: int = SHARD_
     out = out.withColumn("b", F.pmod("h", "blocks")).join(_few(plan), on & (F.col("b") == F.col("b2")))
     # in the crossing block, the last pass holds only the documents up to the cut
     key = F.struct(F.xxhash64(F.lit(seed + 2), "h").alias("k"), F.col("h"))
-    under = F.coalesce(key <= F.col("last"), F.lit(False))
+    out = out.withColumn("under", F.coalesce(key <= F.col("last"), F.lit(False)))
+    if not plan.where("tie is not null").isEmpty():
+        tied = F.coalesce(key == F.col("tie"), F.lit(False))
+        out = out.where(~tied).unionByName(_tied(out.where(tied)))
+    under = F.col("under")
     kept = F.filter("draws", lambda d: ~F.col("crosses") | (d["copy"] < F.col("passes")) | under)
     return out.withColumn("draws", kept).select(
         *unpacked(docs.columns), "size", "source_size", "target",
@@ -172,9 +177,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, levels: int = SHARD_
     )
 
 
+def _tied(rows: DataFrame) -> DataFrame:
+    """Rows of the documents, equal in id and text, of which the mix takes some in its last pass: as many as the plan says are
+    under the cut. They are numbered by the part of the table they come from, so that no task holds all of them."""
+    with scratch(rows.sparkSession):
+        rows = materialize(rows.withColumn("part", F.spark_partition_id()).withColumn("row_id", F.monotonically_increasing_id()), "tied", keep=True)
+        parts = rows.groupBy("source", "h", "part").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("source", "h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select(F.col("source").alias("s4"), F.col("h").alias("h4"), F.col("part").alias("p4"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        parts = materialize(parts, "tied-parts", keep=True)
+    own = F.row_number().over(Window.partitionBy("source", "h", "part").orderBy("row_id"))
+    on = F.col("source").eqNullSafe(F.col("s4")) & (F.col("h") == F.col("h4")) & (F.col("part") == F.col("p4"))
+    out = rows.withColumn("own", own).join(_few(parts), on)
+    return out.withColumn("under", F.col("before") + F.col("own") <= F.col("copies")).drop("part", "row_id", "own", "s4", "h4", "p4", "before")
+
+
 def _plan(sized: DataFrame, weights, cap: float, levels: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Of documents (source, size, h): the sources (s2, source_size, target, blocks, passes, extra), and the blocks (s2, b2,
-    draws, crosses, last) with the draws that the shards make from them."""
+    draws, crosses, last, tie, copies) with the draws that the shards make from them."""
     # which block: from the share of the documents, about sqrt(documents) in all, at least one for each source
     narrow = materialize(sized, "sizes")
     per = materialize(source_targets(narrow).join(narrow.groupBy("source").agg(F.count("*").alias("docs")).withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "targets")
@@ -202,13 +222,20 @@ def _plan(sized: DataFrame, weights, cap: float, levels: int, seed: int) -> tupl
     )
     blocks = materialize(blocks, "blocks")
 
-    # inside a crossing block: documents in hashed order while their middle is under the quota
+    # inside a crossing block: documents in hashed order while their middle is under the quota; equal ones are one row of
+    # the order, of which a number of copies is taken
     b = blocks.where("crosses").select(F.col("source").alias("s2"), F.col("block").alias("b2"), "rest")
-    inner = in_block.join(b, on & (F.col("block") == F.col("b2")))
-    run = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 2), "h"), "h")
-    upto = F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0))
-    partial = inner.withColumn("upto", upto).where("upto - size / 2 <= rest and size > 0")
-    cut = materialize(partial.groupBy("source", "block").agg(F.max(F.struct(F.xxhash64(F.lit(seed + 2), "h").alias("k"), "h")).alias("last")), "cut")
+    inner = in_block.where("size > 0").join(b, on & (F.col("block") == F.col("b2")))
+    inner = inner.groupBy("source", "block", "h").agg(F.sum("size").alias("words"), F.count("*").alias("copies"), F.first("rest").alias("rest"))
+    inner = inner.withColumn("key", F.struct(F.xxhash64(F.lit(seed + 2), "h").alias("k"), F.col("h")))
+    run = Window.partitionBy("source", "block").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.coalesce(F.sum("words").over(run), F.lit(0))
+    taken = F.least(F.col("copies"), F.floor(left * F.col("copies") / F.col("words") + 0.5))
+    partial = inner.withColumn("taken", taken).where("taken > 0")
+    whole = F.col("taken") == F.col("copies")
+    cut = materialize(partial.groupBy("source", "block").agg(
+        F.max(F.when(whole, F.col("key"))).alias("last"), F.max(F.when(~whole, F.col("key"))).alias("tie"), F.max(F.when(~whole, F.col("taken"))).alias("copies")
+    ), "cut")
 
     counts = blocks.groupBy("source").agg(F.count("*").alias("nb"), F.sum((F.col("whole") | F.col("crosses")).cast("long")).alias("more"))
     counts = counts.join(per.select("s2", "passes"), on).select("source", "nb", (F.col("nb") * F.col("passes") + F.col("more")).alias("n"))
@@ -221,10 +248,10 @@ def _plan(sized: DataFrame, weights, cap: float, levels: int, seed: int) -> tupl
     plan = blocks.join(held, on & (F.col("rank") == F.col("r2")), "left").groupBy("source", "block").agg(
         F.array_sort(F.collect_list(F.when(F.col("shard").isNotNull(), F.struct("copy", "shard")))).alias("draws"), F.first("crosses").alias("crosses")
     )
-    c2 = cut.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "last")
-    plan = plan.join(c2, on & (F.col("block") == F.col("b2")), "left").select("source", "block", "draws", "crosses", "last")
+    c2 = cut.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "last", "tie", "copies")
+    plan = plan.join(c2, on & (F.col("block") == F.col("b2")), "left").select("source", "block", "draws", "crosses", "last", "tie", "copies")
     plan = materialize(plan, "plan", keep=True)
-    return per, plan.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "draws", "crosses", "last")
+    return per, plan.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "draws", "crosses", "last", "tie", "copies")
 
 
 def _few(df: DataFrame, bound: int = 200_000) -> DataFrame:
