@@ -292,3 +292,28 @@ def test_paths_as_written(spark):
     asked = spark.createDataFrame([("r", p) for p in ("./a", "a", "b/../a", "/etc/passwd", "etc/passwd", "b/../../a")], "root string, path string")
     got = sorted((x.path, x.state) for x in routing.stash_only(asked, entries_of(c), c).collect())
     assert got == [("/etc/passwd", "outside"), ("a", "selected"), ("b/../../a", "outside"), ("etc/passwd", "below_risk")]
+
+
+def test_sizes_of_projects_and_trash_equal_a_plain_walk(spark):
+    rng = random.Random(11)
+    names = ["src", "target", "node_modules", "a", "b", "x.egg-info", "dist", ".hid"]
+    files = {"/".join([*(rng.choice(names) for _ in range(rng.randrange(9))), f"f{i}"]): rng.randrange(100) for i in range(400)}
+    dirs = {"/".join(f.split("/")[:i]) for f in files for i in range(f.count("/") + 1)}
+    rows = [("r", d, "dir", 0) for d in dirs] + [("r", f, "file", n) for f, n in files.items()]
+    e = spark.createDataFrame(rows, "root string, path string, kind string, size_bytes long").withColumn("parts", P.parts("path"))
+    found = e.where("kind = 'dir'").select("root", "path")
+    for policy, depth in ((P.DEFAULT, 6), (P.EMPTY, 3), (P.Policy(custom=("*b",), hidden=True), 2)):
+        got = {x.path: x.size_bytes for x in projects.project_sizes(found, e, depth, policy).collect()}
+        want = dict.fromkeys(dirs, 0)
+        for f, n in files.items():
+            parts = f.split("/")
+            for k in range(len(parts)):
+                own = parts[k:-1]
+                if len(parts) - k <= depth and not any(listing.prunes(policy, c) for c in own):
+                    want["/".join(parts[:k])] += n
+        assert got == want
+    for strategies, depth in ((trash.DEFAULT_STRATEGIES, 6), (("node",), 2)):
+        fits = lambda c: any(c.endswith(p[1:]) if p.startswith("*") else c == p for s, p in trash.trash_patterns(strategies))  # noqa: B023, E731
+        outer = {d for d in dirs if 2 <= d.count("/") + 1 <= depth + 1 and fits(d.split("/")[-1]) and not any(fits(c) for c in d.split("/")[1:-1])}
+        got = {x.path: x.size_bytes for x in trash.trash_dirs(e, strategies, depth).collect()}
+        assert got == {d: sum(n for f, n in files.items() if f.startswith(d + "/")) for d in outer} and outer

@@ -113,12 +113,22 @@ def skipped_dir(name: Column, custom=(), hidden: bool = False, default: bool = T
     return out.when(F.startswith(name, F.lit(".")) & (F.length(name) > 1), "Hidden") if hidden else out
 
 
+def skips(name: Column, policy: Policy = DEFAULT) -> Column:
+    """Whether a policy prunes a directory of that name."""
+    if policy == DEFAULT:
+        return name.isin(SKIP_EXACT) | F.endswith(name, F.lit(SKIP_SUFFIX))
+    return skipped_dir(name, policy.custom, policy.hidden, policy.default).isNotNull()
+
+
+def last_where(p: Column, fits) -> Column:
+    """The place, from 1, of the last component that fits; 0 if none does."""
+    return F.coalesce(F.array_max(F.transform(p, lambda c, i: F.when(fits(c), i + 1).otherwise(0))), F.lit(0))
+
+
 def skipped(p: Column, kind: Column, policy: Policy = DEFAULT) -> Column:
     """Whether an entry lies in (or, as a directory, is) a pruned directory. Files are never skipped by their own name."""
     dirs = F.when(kind == "dir", p).otherwise(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))))
-    if policy == DEFAULT:
-        return F.exists(dirs, lambda c: c.isin(SKIP_EXACT) | F.endswith(c, F.lit(SKIP_SUFFIX)))
-    return F.exists(dirs, lambda c: skipped_dir(c, policy.custom, policy.hidden, policy.default).isNotNull())
+    return F.exists(dirs, lambda c: skips(c, policy))
 
 
 def check_depth(depth: int) -> int:

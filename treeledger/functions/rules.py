@@ -91,11 +91,10 @@ def markers(spark: SparkSession, extra=()) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, kind string, name string, hint string, level int")
 
 
-def trash_patterns(spark: SparkSession, strategies) -> DataFrame:
-    """strategy, strategy_ord, pattern, pattern_ord of the requested strategies, in their order."""
+def trash_patterns(strategies) -> list[tuple[str, str]]:
+    """strategy and pattern of the requested strategies, in their order."""
     known = dict(TRASH)
     unknown = [s for s in strategies if s.lower() not in known]
     if unknown:
         raise ValueError(f"unknown strategies: {unknown}")
-    rows = [(s.lower(), i, p, j) for i, s in enumerate(strategies) for j, p in enumerate(known[s.lower()])]
-    return spark.createDataFrame(rows, "strategy string, strategy_ord int, pattern string, pattern_ord int")
+    return [(s.lower(), p) for s in strategies for p in known[s.lower()]]

@@ -103,13 +103,19 @@ def with_stack(found: DataFrame, entries: DataFrame | None, rules=FRAMEWORKS) ->
 
 
 def project_sizes(found: DataFrame, entries: DataFrame, max_depth: int = MAX_DEPTH, policy: P.Policy = P.DEFAULT) -> DataFrame:
-    """root, path, size_bytes: regular files below each project, skip policy and depth counted from the project. Files
-    meet their projects by an equi join on their ancestors."""
-    files = entries.where("kind = 'file'").select("root", "parts", "size_bytes", F.posexplode(P.ancestors(F.col("parts"))).alias("depth", "path"))
-    own = F.slice("parts", F.col("depth") + 1, F.greatest(F.size("parts") - F.col("depth"), F.lit(1)))
-    files = files.where((F.size("parts") - F.col("depth") <= P.check_depth(max_depth)) & ~P.skipped(own, F.lit("file"), policy))
-    sums = files.join(found.select("root", "path"), ["root", "path"]).groupBy("root", "path").agg(F.sum("size_bytes").alias("size_bytes"))
-    return found.select("root", "path").join(sums, ["root", "path"], "left").select("root", "path", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"))
+    """root, path, size_bytes: regular files below each project, skip policy and depth counted from the project. Files are
+    summed up by directory first; each directory's sum goes to the directories above it that see it (no deeper than the
+    depth, below the last pruned name), so that what is shuffled grows with directories, not files, and a root's own sum is
+    put together from those of its tasks."""
+    files = entries.where("kind = 'file' and size(parts) > 0")
+    above = F.slice("parts", F.lit(1), F.size("parts") - 1)
+    sums = files.groupBy("root", P.join_parts(above).alias("dir")).agg(F.sum("size_bytes").alias("size_bytes"))
+    sums = sums.withColumn("d", P.parts("dir"))
+    least = F.greatest(F.size("d") + 1 - P.check_depth(max_depth), P.last_where(F.col("d"), lambda c: P.skips(c, policy)))
+    seen = F.when(least <= F.size("d"), F.transform(F.sequence(F.greatest(least, F.lit(0)), F.size("d")), lambda k: P.join_parts(F.slice("d", F.lit(1), k))))
+    up = sums.select("root", F.explode(seen).alias("path"), "size_bytes").groupBy("root", "path").agg(F.sum("size_bytes").alias("size_bytes"))
+    out = found.select("root", "path").join(up, ["root", "path"], "left")
+    return out.select("root", "path", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"))
 
 
 def projects(entries: DataFrame, rules=FRAMEWORKS, **options) -> DataFrame:

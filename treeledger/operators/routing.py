@@ -82,23 +82,34 @@ def with_in_trash(routed: DataFrame, trash: DataFrame) -> DataFrame:
     return out.select(*routed.columns, F.coalesce("in_trash", F.lit(False)).alias("in_trash"))
 
 
-def plan_success(stages: DataFrame) -> DataFrame:
-    """root, success: all enabled stages are ok; an empty stash is ok."""
-    return stages.groupBy("root").agg(F.bool_and("ok").alias("success"))
+def plan_success(stages: DataFrame, *by: str) -> DataFrame:
+    """root (and the columns of by), success: all enabled stages are ok; an empty stash is ok."""
+    return stages.groupBy("root", *by).agg(F.bool_and("ok").alias("success"))
 
 
-def lifecycle_plan(routed: DataFrame, trash: DataFrame, stash: bool = True, rinse: bool = True, pack: bool = True, errors: DataFrame | None = None) -> DataFrame:
-    """lifecycle_stages with ok. A stage that is switched off counts nothing, is ok and says "disabled"; errors (root,
-    stage, message) of the others make theirs fail and are told in the message."""
-    on = F.element_at(F.create_map(*[F.lit(x) for p in (("stash", stash), ("trash", rinse), ("pack", pack)) for x in p]), F.col("stage"))
-    rows = lifecycle_stages(routed, trash).withColumn("on", on)
+def lifecycle_plans(routed: DataFrame, trash: DataFrame, choices: list[tuple[bool, bool, bool]], errors: DataFrame | None = None) -> DataFrame:
+    """lifecycle_stages with ok for every choice (its number as choice) of the phases stash, trash and pack, from one look at
+    the files. A stage that is switched off counts nothing, is ok and says "disabled"; errors (root, stage, message) of the
+    others make theirs fail and are told in the message."""
+    rows = lifecycle_stages(routed, trash)
     if errors is None:
         rows = rows.withColumn("error", F.lit(None).cast("string"))
     else:
         rows = rows.join(errors.groupBy("root", "stage").agg(F.min("message").alias("error")), ["root", "stage"], "left")
+    names = ("stash", "trash", "pack")
+    each = [F.struct(F.lit(i).alias("choice"), F.struct(*[F.lit(bool(on)).alias(n) for n, on in zip(names, c, strict=True)]).alias("on")) for i, c in enumerate(choices)]
+    rows = rows.withColumn("c", F.explode(F.array(*each)))
+    on = F.coalesce(*[F.when(F.col("stage") == n, F.col("c.on")[n]) for n in names])
+    rows = rows.withColumn("on", on)
     zero = lambda c: F.when(F.col("on"), F.col(c)).otherwise(0).alias(c)
     message = F.when(~F.col("on"), "disabled").otherwise(F.coalesce("error", "message"))
-    return rows.select("root", "ord", "stage", zero("files"), zero("bytes"), message.alias("message"), (~F.col("on") | F.col("error").isNull()).alias("ok"))
+    ok = ~F.col("on") | F.col("error").isNull()
+    return rows.select("root", F.col("c.choice").alias("choice"), "ord", "stage", zero("files"), zero("bytes"), message.alias("message"), ok.alias("ok"))
+
+
+def lifecycle_plan(routed: DataFrame, trash: DataFrame, stash: bool = True, rinse: bool = True, pack: bool = True, errors: DataFrame | None = None) -> DataFrame:
+    """lifecycle_plans of one choice."""
+    return lifecycle_plans(routed, trash, [(stash, rinse, pack)], errors).drop("choice")
 
 
 def lifecycle_stages(routed: DataFrame, trash: DataFrame) -> DataFrame:

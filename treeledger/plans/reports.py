@@ -139,13 +139,10 @@ def lifecycle_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = R.stored_entries(spark, sf_dir)
     found = trash.trash_dirs(e)
     errors = found.where("pattern_name = 'dist'").select("root", F.lit("trash").alias("stage"), F.lit("in use").alias("message"))
-    routed, out = R.stored_routes(spark, sf_dir), None
-    for on in range(8):
-        s, t, p = bool(on & 1), bool(on & 2), bool(on & 4)
-        plan = routing.lifecycle_plan(routed, found, s, t, p, errors)
-        rows = plan.join(routing.plan_success(plan), "root").select(F.lit(on).alias("switches"), "stage", "files", "bytes", "message", "ok", "success")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    choices = [(bool(on & 1), bool(on & 2), bool(on & 4)) for on in range(8)]
+    plans = routing.lifecycle_plans(R.stored_routes(spark, sf_dir), found, choices, errors)
+    rows = plans.join(routing.plan_success(plans, "choice"), ["root", "choice"])
+    return rows.select(F.col("choice").alias("switches"), "stage", "files", "bytes", "message", "ok", "success")
 
 
 def stash_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
