@@ -6,8 +6,9 @@ only a class or id that does (0.5), an element that stands for the article, a he
 all its words do, but for words of layout ("comment-list" does, "has-sidebar" and "comments-open" don't); the header of an
 article is no boilerplate, and neither is a named element that holds a page's first h1 and most of its words. The names
 around an article's element do not count in it, unless the page holds another one that stands apart from such names
-(teasers, comments). A decision tree, grown by Gini impurity on the small labelled table below, says which blocks are main
-text.
+(teasers, comments). A short page without an article's element is judged as if its text stood in one, and links in a row
+under an article's heading as if they were text. A decision tree, grown by Gini impurity on the small labelled table and
+the labelled pages below, says which blocks are main text.
 
 Decoded character references, white space inside a block as one space, trimmed, blocks joined by a blank line; blocks
 that the tree keeps are returned whole, whatever their length.
@@ -24,6 +25,7 @@ Repeated rows give a row each, null ids stay null, an empty table gives no rows,
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 
@@ -44,7 +46,7 @@ BOILER_ROLES = set("navigation banner contentinfo complementary search dialog al
 BOILER_NAMES = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget related recommended recommendations footer header masthead topbar toolbar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login search share sharing social comment comments commentlist reply replies respond discussion disqus pagination pager tags copyright legal disclaimer hidden".split())
 
 #: Words of a name that tell of layout, and may stand beside words that name boilerplate.
-NEUTRAL_WORDS = set("area bar block bottom box button buttons center col column container content fixed group holder inline inner item items left link links list main menu module outer page panel post posts primary right row secondary section site small sticky text title top unit wrap wrapper zone".split())
+NEUTRAL_WORDS = set("area articles bar block bottom box button buttons center col column container content fixed group holder inline inner item items left link links list main menu module outer page panel post posts primary right row secondary section site small sticky stories story text title top unit wrap wrapper zone".split())
 ARTICLE_WORDS = set("article entry post story content".split())
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
@@ -115,6 +117,44 @@ LABELLED = np.concatenate([
 ])
 
 
+# Whole pages, labelled by block: +n stands for n words of main text, -n for n words of others.
+_NAV = "<nav><ul><li><a>-1</a></li><li><a>-1</a></li><li><a>-2</a></li></ul></nav>"
+_FOOT = "<footer>-4 <a>-1</a></footer>"
+LABELLED_PAGES = [
+    # articles of few and short blocks, after a menu or none
+    f"{_NAV}<article><h1>+1</h1><p>+40</p></article>{_FOOT}", f"{_NAV}<article><h1>+2</h1><p>+3</p></article>{_FOOT}",
+    f"{_NAV}<main><h1>+3</h1><p>+12</p><p>+1</p></main>{_FOOT}", f"{_NAV}<article><p>+2</p><p>+2</p></article>",
+    "<article><h1>+1</h1><p>+1</p></article>", f"{_NAV}<article><h1>+3</h1><h2>+1</h2><p>+90</p></article>{_FOOT}",
+    f"{_NAV}<article><p>+1</p></article>{_FOOT}", f"<main>{_NAV}<h1>+2</h1><p>+25</p></main>{_FOOT}",
+    # links within text, lists of links under a heading, links alone
+    f"{_NAV}<article><h1>+2</h1><p>+50</p><h2>+1</h2><ul><li><a>+3</a></li><li><a>+1</a></li></ul></article>{_FOOT}",
+    f"{_NAV}<article><h1>+4</h1><p>+20 <a>+9</a></p><p><a>+3</a> +8</p></article>{_FOOT}",
+    f"{_NAV}<article><h1>+4</h1><p>+70</p><ul><li><a>-4</a></li><li><a>-5</a></li></ul></article>{_FOOT}",
+    f"{_NAV}<article><h1>+4</h1><p>+70</p><a>-2</a></article>{_FOOT}",
+    # lists and quotes of an article, boilerplate inside it
+    f"{_NAV}<article><h1>+1</h1><ul><li>+1</li><li>+2</li></ul><p>+30</p><aside>-25</aside><p>+2</p></article>{_FOOT}",
+    f"{_NAV}<article><h1>+2</h1><p>+45</p><form>-3</form><div class=share><a>-1</a></div></article>{_FOOT}",
+    # no element of an article's
+    f"{_NAV}<div><h1>+1</h1><p>+3</p></div>{_FOOT}", f"{_NAV}<div><p>+7</p></div>{_FOOT}", f"{_NAV}<p>+1</p><p>+2</p>{_FOOT}",
+    f"{_NAV}<div><h1>+2</h1><p>+60</p><h2>+1</h2><p>+80</p></div>{_FOOT}",
+    f"{_NAV}<div class=ad>-9</div><div><h1>+1</h1><p>+15</p></div><div class=related-stories><p>-30</p></div>{_FOOT}",
+]
+_COUNT = re.compile(r"([+-])(\d+)")
+_MARK = "\u2060"
+#: A page without an element of an article's is short if it has fewer words outside of links and boilerplate.
+SHORT_WORDS = 60
+
+
+def labelled() -> np.ndarray:
+    """The labelled table and the blocks of the labelled pages: features, then 1 for main text."""
+    rows = []
+    for page in LABELLED_PAGES:
+        said = lambda m: (_MARK if m[1] == "+" else "") + "word " * int(m[2])
+        found = blocks(_COUNT.sub(said, page))
+        rows += [(*f, _MARK in b[0]) for f, b in zip(features(found), found, strict=True)]
+    return np.concatenate([LABELLED, np.array(rows, float)])
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
     """A binary decision tree: a label, or (feature, threshold, tree up to it, tree above it)."""
     if depth == 0 or len(y) <= least or y.min() == y.max():
@@ -321,23 +361,46 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, int]]:
     return [(t, max(boiler, 0.5) if below and apart else boiler, *rest) for t, boiler, *rest, below, _ in out]
 
 
+def features(found: list) -> list[tuple]:
+    """FEATURES of each block. Of a short page without an element of an article's, what stands between its first h1 (else its
+    first text) and its last text counts as an article's. Links in a row under a heading of an article count as text: a
+    list of sources, not a menu."""
+    shape = [(len(t.split()), min(1.0, k / len(t))) for t, _, _, _, k in found]
+    plain = [i for i, (b, (_, links)) in enumerate(zip(found, shape, strict=True)) if b[1] == 0 and links < 0.5]
+    article = [b[2] for b in found]
+    if not any(b[2] and b[1] == 0 for b in found) and plain and sum(shape[i][0] for i in plain) < SHORT_WORDS:
+        first = next((i for i in plain if found[i][3]), plain[0])
+        article = [b[1] == 0 and first <= i <= plain[-1] for i, b in enumerate(found)]
+    listed = False
+    for i, (text, boiler, _, heading, _) in enumerate(found):
+        if heading:
+            listed = bool(article[i]) and boiler == 0 and not {w.lower() for w in _NAME_WORD.findall(text)} & BOILER_NAMES
+        elif boiler or shape[i][1] < 0.95:
+            listed = False
+        elif listed:
+            shape[i] = (shape[i][0], 0.0)
+    none = (0, 0.0)
+    ahead, behind = [none, *shape][: len(shape)], [*shape[1:], none][: len(shape)]
+    return [(b[1], art, b[3], *own, *x, *y) for b, art, own, x, y in zip(found, article, shape, ahead, behind, strict=True)]
+
+
+@functools.cache
+def tree_of_pages():
+    """The tree of all labelled blocks, grown once a process."""
+    table = labelled()
+    return grow(table[:, :-1], table[:, -1], depth=12)
+
+
 def extract(page: str, tree) -> str:
     found = blocks(page)
-    shape = [(len(t.split()), min(1.0, k / len(t))) for t, _, _, _, k in found]
-    kept = []
-    for i, (text, boiler, article, heading, _) in enumerate(found):
-        before = shape[i - 1] if i else (0, 0.0)
-        after = shape[i + 1] if i + 1 < len(found) else (0, 0.0)
-        if decide(tree, (boiler, article, heading, *shape[i], *before, *after)):
-            kept.append(text)
-    return "\n\n".join(kept)
+    return "\n\n".join(b[0] for f, b in zip(features(found), found, strict=True) if decide(tree, f))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
 
     def make():
-        tree = grow(LABELLED[:, :-1], LABELLED[:, -1])
+        tree = tree_of_pages()
         return lambda rows: [(i, url, t, len(t)) for i, url, h in rows for t in (extract(h, tree),)]
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), as_text(F.col("html")).alias("html"))
