@@ -58,7 +58,7 @@ READ = "file string, position long, start long, key string, n_tokens long, ids_c
 #: Signs that are no white space by any version of Unicode.
 _SOLID = "!-~À-ɏͰ-ԯぁ-鿿"
 _STOPS = ",.;:!?)"
-_TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([,.;:!?)]{1,3})")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _ENDS_SOLID = re.compile(rf"[{_SOLID}]\Z")
 _PIECE = re.compile(rf"(?s).(?:[^ \n]|(?<![{_SOLID}])[ \n])*")
 
@@ -96,6 +96,10 @@ def deserialize(payload: bytes) -> tuple[str | None, np.ndarray]:
     return key, np.frombuffer(payload, f"<u{payload[at]}", offset=at + 1)
 
 
+def _ends_solid(word: str) -> bool:
+    return word != "" and ("!" <= word[-1] <= "~" or _ENDS_SOLID.search(word) is not None)
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer's file, as little-endian integers of width bytes."""
 
@@ -122,7 +126,11 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode words that end in a solid sign. Stops after a word of letters are cut off first, as the model does."""
-        split = [(w, *(m.groups() if w[-1] in _STOPS and (m := _TAILED.fullmatch(w)) else (w, ""))) for w in words]
+        split = []
+        for w in words:
+            core = w.rstrip(_STOPS)
+            fits = 0 < len(w) - len(core) < 4 and (core.isascii() and core.isalpha() or _LETTERS.fullmatch(core))
+            split.append((w, core, w[len(core) :]) if fits else (w, w, ""))
         if len(self.cores) > CORES:
             self.cores = {}
         self._encode_words(list({core for _, core, _ in split}.difference(self.cores)))
@@ -149,34 +157,37 @@ class Encoder:
         self.long = []
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        whole, cut = [], []  # (place, text) and (place, first piece, words, last piece)
+        if len(self.known) > PIECES:
+            self.known = {}
+        out: list = [None] * len(texts)
+        whole, ends, open_, new = [], [], [], set()
+        known = self.known
         for k, t in enumerate(texts):
             words = t.split(" ") if self.cut and not any(a in t for a in self.added) else []
-            if len(words) < 3:
-                whole.append((k, t))
+            if len(words) < 3 or not _ends_solid(words[0]):
+                whole.append(k)
+                continue
+            ends += [words[0], " " + words[-1]]
+            words = words[1:-1]
+            found = list(map(known.get, words))
+            if None in found:
+                new.update(w for w, x in zip(words, found, strict=True) if x is None)
+                open_.append((k, words))
             else:
-                cut.append((k, words[0], words[1:-1], " " + words[-1]))
-        words = set().union(*[ws for _, _, ws, _ in cut])
-        if len(self.known) > PIECES:
-            self.known = {w: self.known[w] for w in words.intersection(self.known)}
-        new = words.difference(self.known)
-        solid = [w for w in new if w and ("!" <= w[-1] <= "~" or _ENDS_SOLID.search(w))]
-        self._learn(solid)
-        # a word without a solid end goes on with the words after it
-        known, rest = self.known, []
-        out: list = [None] * len(texts)
-        for k, first, words, last in cut:
+                out[k] = b"".join(found)
+        self._learn([w for w in new if _ends_solid(w)])
+        loose = set()
+        for k, words in open_:
             try:
-                if not _ENDS_SOLID.search(first):
-                    raise KeyError(first)
-                out[k] = [None, b"".join(map(known.__getitem__, words)), None]
-                rest.append((k, first, last))
-            except KeyError:
-                whole.append((k, texts[k]))
+                out[k] = b"".join(map(known.__getitem__, words))
+            except KeyError:  # a word without a solid end goes on with the words after it
+                loose.add(k)
         self._forget()
-        for (k, _, _), a, b in zip(rest, self._raw([f for _, f, _ in rest]), self._raw([x for _, _, x in rest]), strict=True):
-            out[k] = a + out[k][1] + b
-        for k, x in zip([k for k, _ in whole], self._loose([t for _, t in whole]), strict=True):
+        coded, cut = iter(self._raw(ends)), sorted(set(range(len(texts))).difference(whole))
+        for k, a, b in zip(cut, coded, coded, strict=True):
+            out[k] = a + out[k] + b if k not in loose else None
+        rest = sorted({*whole, *loose})
+        for k, x in zip(rest, self._loose([texts[k] for k in rest]), strict=True):
             out[k] = x
         return out
 
