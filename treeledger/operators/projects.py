@@ -14,7 +14,8 @@ MAX_DEPTH = 6
 def _walked(entries: DataFrame, max_depth: int, policy: P.Policy) -> DataFrame:
     """Entries whose directory the walk inspects: it is reached (not pruned) and at most max_depth deep."""
     above = F.slice("parts", F.lit(1), F.greatest(F.size("parts") - 1, F.lit(0)))
-    return entries.where((F.size("parts") >= 1) & (F.size("parts") - 1 <= P.check_depth(max_depth)) & ~P.skipped(above, F.lit("dir"), policy)).withColumn("parent", P.join_parts(above)).withColumn("name", F.element_at("parts", -1))
+    reached = (F.size("parts") >= 1) & (F.size("parts") - 1 <= P.check_depth(max_depth)) & ~P.skipped(above, F.lit("dir"), policy)
+    return entries.where(reached).withColumn("parent", P.join_parts(above)).withColumn("name", F.element_at("parts", -1))
 
 
 def candidates(entries: DataFrame, extra=(), accept_git_only: bool = True, max_depth: int = MAX_DEPTH, policy: P.Policy = P.DEFAULT) -> DataFrame:

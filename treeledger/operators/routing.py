@@ -50,7 +50,11 @@ def routes(
     secrets.check_rules(patterns, markers)
     names = secrets.name_sources(F.col("name"), patterns).cast(secrets._SOURCE)
     inside = secrets.content_sources_of(F.col("text"), markers)
-    rows = rows.select("root", "path", "parts", F.octet_length("text").cast("long").alias("size_bytes"), P.skipped(own, F.lit("file"), policy).alias("pruned"), secrets.once(F.struct(names.alias("names"), inside.alias("inside"))).alias("s"))
+    rows = rows.select(
+        "root", "path", "parts", F.octet_length("text").cast("long").alias("size_bytes"),
+        P.skipped(own, F.lit("file"), policy).alias("pruned"),
+        secrets.once(F.struct(names.alias("names"), inside.alias("inside"))).alias("s"),
+    )
     rows = rows.select("*", "s.names", "s.inside")
     top = lambda c: F.coalesce(F.array_max(F.transform(c, lambda s: s.risk)), F.lit(-1))
     high = risk_rank("High")
@@ -63,7 +67,11 @@ def routes(
 
 def pack_stats(routed: DataFrame) -> DataFrame:
     n = lambda *r: F.count_if(F.col("route").isin(*r))
-    return routed.groupBy("root", "project").agg(n("pack").alias("file_count"), n("deny_name", "deny_content").alias("skipped_secret_files"), n("stash").alias("stashed"), n("pruned").alias("pruned"), F.coalesce(F.sum(F.when(F.col("route") == "pack", F.col("size_bytes"))), F.lit(0)).alias("pack_bytes"))
+    packed = F.coalesce(F.sum(F.when(F.col("route") == "pack", F.col("size_bytes"))), F.lit(0))
+    return routed.groupBy("root", "project").agg(
+        n("pack").alias("file_count"), n("deny_name", "deny_content").alias("skipped_secret_files"),
+        n("stash").alias("stashed"), n("pruned").alias("pruned"), packed.alias("pack_bytes"),
+    )
 
 
 def skipped_dirs(entries: DataFrame, policy: P.Policy = P.DEFAULT) -> DataFrame:
@@ -117,7 +125,11 @@ def lifecycle_stages(routed: DataFrame, trash: DataFrame) -> DataFrame:
     s = routed.where("route = 'stash'").groupBy("root").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
     t = trash.groupBy("root").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
     p = routed.where("route = 'pack'").groupBy("root").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
-    text = {"stash": F.when(F.col("files") == 0, "nothing to stash").otherwise(F.format_string("would stash %d files", "files")), "trash": F.format_string("found %d directories", "files"), "pack": F.lit("would pack project")}
+    text = {
+        "stash": F.when(F.col("files") == 0, "nothing to stash").otherwise(F.format_string("would stash %d files", "files")),
+        "trash": F.format_string("found %d directories", "files"),
+        "pack": F.lit("would pack project"),
+    }
     roots = routed.select("root").distinct()
     out = None
     for i, (stage, rows) in enumerate((("stash", s), ("trash", t), ("pack", p))):

@@ -22,11 +22,16 @@ def risk_name(rank: Column) -> Column:
 
 
 def name_matches(name: Column, kind: str, pattern: str) -> Column:
-    return {"exact": lambda: name == pattern, "prefix": lambda: F.startswith(name, F.lit(pattern)), "suffix": lambda: F.endswith(name, F.lit(pattern)), "contains": lambda: F.contains(name, F.lit(pattern))}[kind]()
+    if kind == "exact":
+        return name == pattern
+    return {"prefix": F.startswith, "suffix": F.endswith, "contains": F.contains}[kind](name, F.lit(pattern))
 
 
 def _source(kind: int, line, ord_: int, occ, risk: int, rule: str, label: str, value: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), line.cast("int").alias("line"), F.lit(ord_).alias("ord"), occ.cast("int").alias("occ"), F.lit(risk).alias("risk"), F.lit(rule).alias("rule"), F.lit(label).alias("label"), value.cast("string").alias("value"))
+    return F.struct(
+        F.lit(kind).alias("kind"), line.cast("int").alias("line"), F.lit(ord_).alias("ord"), occ.cast("int").alias("occ"),
+        F.lit(risk).alias("risk"), F.lit(rule).alias("rule"), F.lit(label).alias("label"), value.cast("string").alias("value"),
+    )
 
 
 def name_sources(name: Column, patterns=None) -> Column:
