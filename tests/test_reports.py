@@ -8,7 +8,7 @@ from treeledger.functions import paths as P
 from treeledger.operators import ordering, projects, routing, secrets
 from treeledger.plans import reports
 from treeledger.sources import sinks
-from treeledger.streaming import scan
+from treeledger.streaming import repeats
 
 SF = "/root/testdata/sf0.001"
 TOKEN = "ghp_zyxwvutsrqponmlk"
@@ -75,17 +75,13 @@ def test_manifest_tells_of_failed_stages(spark, tmp_path):
 
 
 def test_cleaned_files_leave_the_running_repeats(spark, tmp_path):
-    land, log = str(tmp_path / "land"), str(tmp_path / "log")
-
-    def run():
-        scan.repeats_stream(scan.contents_stream(spark, land), log, f"{log}-c").trigger(availableNow=True).start().awaitTermination()
-
+    land, store = str(tmp_path / "land"), str(tmp_path / "store")
     contents(spark, ("a.txt", TOKEN), ("b.txt", TOKEN)).write.mode("append").parquet(land)
-    run()
-    assert [x.paths for x in scan.running_repeats(spark, log).collect()] == [["a.txt", "b.txt"]]
+    repeats.advance(spark, land, store)
+    assert [x["count"] for x in repeats.running_repeats(spark, f"{store}/counts").collect()] == [2]
     contents(spark, ("b.txt", "clean now")).write.mode("append").parquet(land)
-    run()
-    assert scan.running_repeats(spark, log).count() == 0
+    repeats.advance(spark, land, store)
+    assert repeats.running_repeats(spark, f"{store}/counts").count() == 0
 
 
 def test_policies_and_scope(spark):

@@ -30,8 +30,10 @@ _COUNTS = "root string, value_hash string, masked string, " + ", ".join(f"n{i} l
 
 
 def versions_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Parquet files of (root, path, version, text) as they land below folder. A removed file lands with a null text."""
-    return spark.readStream.schema(VERSIONS).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).parquet(folder)
+    """Parquet files of (root, path, version, text) as they land below folder. A removed file lands with a null text. Where
+    no version is given, the time at which the Parquet file was written stands for it: what lands later is newer."""
+    rows = spark.readStream.schema(VERSIONS).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).parquet(folder)
+    return rows.withColumn("version", F.coalesce("version", F.unix_micros("_metadata.file_modification_time")))
 
 
 def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
