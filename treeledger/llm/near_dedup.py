@@ -189,10 +189,10 @@ def _prefixes(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.where("x.f > 1").select("id", "n", F.col("x.s").alias("s"), "pos")
 
 
-def _mixed(rows: DataFrame, key: str, label: str) -> DataFrame:
+def _mixed(rows: DataFrame, key: str, label: str, keep: bool = False) -> DataFrame:
     """The rows of the keys that hold more than one component."""
     keys = rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(key)
-    return materialize(only(rows, materialize(keys, f"{label}-keys"), key), label)
+    return materialize(only(rows, materialize(keys, f"{label}-keys"), key), label, keep)
 
 
 def _prefix_pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
@@ -207,12 +207,15 @@ def _prefix_pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
 
 
 def _class_links(docs: DataFrame, classes: DataFrame, given: DataFrame) -> DataFrame:
-    """id, comp of the classes that are linked, by their sets or by the given links."""
+    """id, comp of the classes that are linked, by their sets or by the given links. Sets and shingles, the largest tables,
+    go as soon as what is worked out from them has been written."""
+    spark = docs.sparkSession
     members = classes.select("class", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket", "lo")
     held = materialize(members.join(shared, "bucket"), "buckets")
     pairs = held.where("class <> lo").select(F.col("lo").alias("a"), F.col("class").alias("b")).distinct()
-    links = materialize(_confirm(docs, materialize(pairs, "pairs0"), classes, "0").unionByName(given), "links0")
+    with scratch(spark):
+        links = materialize(_confirm(docs, materialize(pairs, "pairs0"), classes, "0").unionByName(given), "links0", keep=True)
     comps = connect(links, "0")
 
     def marked(rows: DataFrame, column: str, comps: DataFrame) -> DataFrame:
@@ -222,16 +225,18 @@ def _class_links(docs: DataFrame, classes: DataFrame, given: DataFrame) -> DataF
     ids = materialize(left.select(F.col("class").alias("id")).distinct(), "left")
     if ids.isEmpty():
         return comps
-    rows = _mixed(marked(_prefixes(docs, ids), "id", comps), "s", "prefixes")
+    with scratch(spark):
+        rows = _mixed(marked(_prefixes(docs, ids), "id", comps), "s", "prefixes", keep=True)
     smaller = F.col("pos") <= _place(F.col("n"), 100 * 2 * PERCENT / (100.0 + PERCENT))
     for turn in ("1", "2"):
-        if turn == "1":  # one class of each list: the one with the least id that can be the smaller, against the others
-            centre = rows.where(smaller).groupBy("s").agg(F.min(F.struct("id", "n", "pos", "comp")).alias("c")).select("s", "c.*")
-            centre = materialize(centre, "centres")
-            pairs = _prefix_pairs(F.broadcast(centre) if few(centre) else centre, rows)
-        else:
-            pairs = _prefix_pairs(rows.where(smaller), rows)
-        new = materialize(_confirm(docs, materialize(pairs, f"pairs{turn}"), classes, turn), f"links{turn}")
+        with scratch(spark):
+            if turn == "1":  # one class of each list: the one with the least id that can be the smaller, against the others
+                centre = rows.where(smaller).groupBy("s").agg(F.min(F.struct("id", "n", "pos", "comp")).alias("c")).select("s", "c.*")
+                centre = materialize(centre, "centres")
+                pairs = _prefix_pairs(F.broadcast(centre) if few(centre) else centre, rows)
+            else:
+                pairs = _prefix_pairs(rows.where(smaller), rows)
+            new = materialize(_confirm(docs, materialize(pairs, f"pairs{turn}"), classes, turn), f"links{turn}", keep=True)
         if new.isEmpty():
             continue
         links = materialize(links.unionByName(new).distinct(), f"all{turn}")
