@@ -219,7 +219,7 @@ files as ("""
         named as (select *, case form when 0 then own when 1 then './' || own when 2 then '/' || own when 3 then 'x/../' || own when 4 then '../' || own when 5 then own || '/' else replace(own, '/', '//') || '/.' end as path from asked)"""
     return {
         "running_repeats": f"{base.replace(R.CORPUS_SQL, three)}, {rep} select cast(root[6:] as integer) as after, value_hash, masked, {R._RISK}[r + 1] as risk, count from rep",
-        "incremental_findings": f"{base} select path, {R._RISK}[r + 1] as risk, value_hash, 1 as times from f",
+        "incremental_findings": f"{base} select path, {R._RISK}[r + 1] as risk, value_hash, cast(1 as bigint) as times from f",
         "reused_projects": f"""{R._ENTRIES}, {by_project}, {on_e1(cand)}, {on_e1(R._SIZES)}, {on_e1(R._FW)}
             select root, path, name, language, frameworks, case when language is null then '-' when frameworks = '' then language else language || ' + ' || replace(frameworks, '|', ' + ') end as stack,
                    size_bytes, cast(root[2:] as integer) % 5 <> 0 as reused from fw join sizes using (root, path)""",
