@@ -29,6 +29,13 @@ def test_query_equals_its_sql(spark, name):
     assert got == sorted(map(repr, want.fetchall()))
 
 
+def test_sizes_round_exact_halves_to_even(spark):
+    sizes = [0, 1023, 1024, 1280, 1792, 1331, 1332, 1048575, 1048576, 1310720, 1835008, 1048576 * 9 + 1048576 // 20 * 19, 2147483647, 1024**3 + 2**28, 5 * 10**18]
+    rows = spark.createDataFrame([(b,) for b in sizes], "b long").select("b", P.human_size(F.col("b")).alias("size")).collect()
+    units = [("TiB", 1 << 40), ("GiB", 1 << 30), ("MiB", 1 << 20), ("KiB", 1 << 10)]
+    assert [x["size"] for x in rows] == [next((f"{b / u:.1f} {n}" for n, u in units if b >= u), f"{b} B") for b in sizes]
+
+
 def test_rules_are_checked_before_a_job_starts(spark):
     c = contents(spark, ("a", "x"))
     for bad in ({"markers": [("m", "regex", "(", "High", "x")]}, {"markers": [("m", "glob", "a", "High", "x")]}, {"patterns": [("exact", "", "High", "p", "x")]}, {"patterns": [("exact", "a", "Dire", "p", "x")]}, {"max_depth": 0}):

@@ -83,10 +83,22 @@ def valid_fragment(s: Column) -> Column:
     return ~(s.isin("", ".", "..") | s.contains("/") | s.contains("\\") | s.contains("\0"))
 
 
+def one_decimal(b: Column, unit: int) -> Column:
+    """b / unit with one decimal, in whole numbers: an exact half goes to the even digit, as C's %.1f has it, while
+    format_string takes it up."""
+    n, tenth = F.abs(b.cast("long")), F.lit(10)
+    over = F.pmod(n, F.lit(unit)) * tenth  # what lies above whole units, in tenths of one
+    down, left = F.floor(over / F.lit(unit)).cast("long"), F.pmod(over, F.lit(unit)) * 2
+    up = (left > unit) | ((left == unit) & (down % 2 == 1))
+    digit = down + up.cast("long")
+    whole = F.shiftright(n, unit.bit_length() - 1) + F.when(digit == tenth, 1).otherwise(0)
+    return F.concat(F.when(b < 0, "-").otherwise(""), whole.cast("string"), F.lit("."), (digit % tenth).cast("string"))
+
+
 def human_size(b: Column) -> Column:
     out = F.concat(b.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(b >= 1024**k, F.format_string(f"%.1f {unit}", b / F.lit(float(1024**k)))).otherwise(out)
+        out = F.when(b >= 1024**k, F.concat(one_decimal(b, 1024**k), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
