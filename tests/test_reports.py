@@ -36,6 +36,12 @@ def test_sizes_round_exact_halves_to_even(spark):
     assert [x["size"] for x in rows] == [next((f"{b / u:.1f} {n}" for n, u in units if b >= u), f"{b} B") for b in sizes]
 
 
+def test_mib_labels_round_exact_halves_to_even(spark):
+    sizes = [0, 1, 32768000, 98304000, 32768000 * 7, 52428, 52429, 1048575, -32768000, -1, 10**15]
+    rows = spark.createDataFrame([(b,) for b in sizes], "b long").select(P.mib_label(F.col("b")).alias("size")).collect()
+    assert [x["size"] for x in rows] == [f"{b / 1048576:.1f} MiB" for b in sizes]
+
+
 def test_rules_are_checked_before_a_job_starts(spark):
     c = contents(spark, ("a", "x"))
     for bad in ({"markers": [("m", "regex", "(", "High", "x")]}, {"markers": [("m", "glob", "a", "High", "x")]}, {"patterns": [("exact", "", "High", "p", "x")]}, {"patterns": [("exact", "a", "Dire", "p", "x")]}, {"max_depth": 0}):

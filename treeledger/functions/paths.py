@@ -160,7 +160,7 @@ def short_id(of: Column) -> Column:
 
 
 def mib_label(b: Column) -> Column:
-    return F.format_string("%.1f MiB", b / F.lit(1048576.0))
+    return F.concat(one_decimal(b, 1 << 20), F.lit(" MiB"))
 
 
 def hash_preview(h: Column) -> Column:
