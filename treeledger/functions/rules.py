@@ -69,6 +69,11 @@ CONTENT_MARKERS = [
     ("jwt_like", "regex", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "Medium", "JWT-like token"),
 ]
 
+#: What every hit of the table above holds somewhere: a sign that is rare in prose, with what stands around it. Begins with one
+#: class of signs, so that it runs through a text in a small part of the markers' time. \s is Unicode's, as in them; of the
+#: letters here none has a folded form beyond ASCII.
+CONTENT_GATE = r"[:=K_.\-](?:(?<=[tdnyTDNY][:=])|(?<=(?U:\s)[:=])|(?<=:)//|(?<=_)|(?<=AK)IA|(?<=b-)|(?<=--)---|(?<=\.)eyJ)"
+
 #: strategy and its patterns, in order
 TRASH = [
     ("rust", ["target"]),

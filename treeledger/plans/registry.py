@@ -82,12 +82,7 @@ def files_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.findings(corpus(spark, sf_dir))
-    out = None
-    for p in ("ignore", "critical", "high"):
-        one = secrets.risk_gate(found, p).withColumn("policy", F.lit(p))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return secrets.risk_gates(secrets.findings(corpus(spark, sf_dir)))
 
 
 def repeated_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
