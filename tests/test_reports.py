@@ -85,6 +85,15 @@ def test_policies_are_told_from_one_look_at_the_texts(spark):
     assert _plan(reports.R.risk_gate(spark, SF)).count("Relation [") == 1
 
 
+def test_whole_scan_reads_the_texts_once(spark):
+    """What is left to do after the findings are written looks for no marker."""
+    c = contents(spark, ("a.txt", TOKEN), ("b/c.txt", TOKEN), ("d.txt", "x"))
+    entries = c.selectExpr("root", "path", "'file' as kind", "1L as size_bytes", "split(path, '/') as parts")
+    job = secrets.scan_job(c, entries, c.selectExpr("root", "path", "'modified' as status"))
+    assert not [k for k, df in job.items() if "regexp_extract_all" in _plan(df)]
+    assert job["summary"].select("files_scanned", "findings", "repeated", "exit_code").collect() == [(3, 2, 1, 2)]
+
+
 def test_order_numbers_rows_by_components(spark):
     paths = ["a-b/x", "a/b", "a", "a/b/c/d", "z/y/x", "a/b/c", "z", "a b/q"]
     rows = spark.createDataFrame([("r", p, i % 3) for i, p in enumerate(paths)] + [("s", "only", 1)], "root string, path string, w int")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from treeledger.functions import paths as P
 from treeledger.functions.rules import CONTENT_GATE, CONTENT_MARKERS, FILENAME_PATTERNS, RISKS, risk_rank
 from treeledger.operators.ordering import in_order
+from treeledger.sources.store import written
 
 MAX_DEPTH = 6
 MAX_BYTES = 1 << 20
@@ -287,7 +288,8 @@ def scan_job(contents: DataFrame, entries: DataFrame, status: DataFrame | None =
     """The whole scan: findings with git status and order, repeats, and per root a summary (files_scanned, findings,
     repeated, exit_code)."""
     walk = {k: v for k, v in options.items() if k in ("max_depth", "policy")}
-    found = findings(contents, **options)
+    # four steps look at the findings; the texts are read once for them all
+    found = written(findings(contents, **options), "findings")
     repeats = repeated_counts(found)
     from treeledger.operators import repositories  # which itself needs git_status_of
 
