@@ -94,6 +94,10 @@ def test_whole_scan_reads_the_texts_once(spark):
     assert job["summary"].select("files_scanned", "findings", "repeated", "exit_code").collect() == [(3, 2, 1, 2)]
 
 
+def test_status_outside_reads_the_texts_once(spark):
+    assert "regexp_extract_all" not in _plan(reports.git_status_outside(spark, SF))
+
+
 def test_order_numbers_rows_by_components(spark):
     paths = ["a-b/x", "a/b", "a", "a/b/c/d", "z/y/x", "a/b/c", "z", "a b/q"]
     rows = spark.createDataFrame([("r", p, i % 3) for i, p in enumerate(paths)] + [("s", "only", 1)], "root string, path string, w int")

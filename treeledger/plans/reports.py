@@ -12,6 +12,7 @@ from treeledger.operators import projects, repositories, routing, secrets, trash
 from treeledger.plans import registry as R
 from treeledger.sources import sinks
 from treeledger.sources.corpus import corpus, entries, entries_of
+from treeledger.sources.store import written
 
 TS = R.TS
 CUSTOM = P.Policy(default=True, custom=("src", "*ui"), hidden=True)
@@ -108,7 +109,7 @@ def scoped_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def git_status_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
-    found = secrets.findings(c)
+    found = written(secrets.findings(c).select("root", "path"), "findings")  # two steps look at them
     status = c.where("substring(md5(path), 1, 1) between '0' and '7'").select("root", "path", F.lit("modified").alias("status"))
     near = repositories.nearest_repository(found.select("root", "path"), entries_of(c))
     return secrets.with_git_status(found, status, nearest=near).select("path", "git_status")
