@@ -98,6 +98,11 @@ def test_status_outside_reads_the_texts_once(spark):
     assert "regexp_extract_all" not in _plan(reports.git_status_outside(spark, SF))
 
 
+def test_plan_of_a_stash_needs_no_join(spark):
+    plan = routing.stash_plan(contents(spark, ("a.txt", "é " + TOKEN), ("b.txt", "x")))
+    assert "Join" not in _plan(plan) and plan.collect() == [("r", "a.txt", "Critical", 23)]
+
+
 def test_order_numbers_rows_by_components(spark):
     paths = ["a-b/x", "a/b", "a", "a/b/c/d", "z/y/x", "a/b/c", "z", "a b/q"]
     rows = spark.createDataFrame([("r", p, i % 3) for i, p in enumerate(paths)] + [("s", "only", 1)], "root string, path string, w int")

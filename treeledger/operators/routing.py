@@ -13,9 +13,10 @@ PACK_DEPTH = 64
 
 
 def stash_plan(contents: DataFrame, min_risk: str = "High") -> DataFrame:
-    """root, path, risk, size_bytes of the files to put away."""
-    found = secrets.scan_secrets(contents, min_risk=min_risk).select("root", "path", secrets.risk_name(F.col("risk_rank")).alias("risk"))
-    return found.join(contents.select("root", "path", F.octet_length("text").cast("long").alias("size_bytes")), ["root", "path"])
+    """root, path, risk, size_bytes of the files to put away. All from one row: no shuffle."""
+    rows = contents.withColumn("size_bytes", F.octet_length("text").cast("long"))
+    found = secrets.scan_secrets(rows, min_risk=min_risk, keep=("size_bytes",))
+    return found.select("root", "path", secrets.risk_name(F.col("risk_rank")).alias("risk"), "size_bytes")
 
 
 def stash_only(requests: DataFrame, entries: DataFrame, contents: DataFrame, min_risk: str = "High", strict: bool = False) -> DataFrame:

@@ -172,14 +172,15 @@ def sources_of(contents: DataFrame, scan_content: bool = True, patterns=None, ma
 
 def scan_secrets(
     contents: DataFrame, min_risk: str = "Low", scan_content: bool = True, max_depth: int = MAX_DEPTH, walk: bool = True,
-    policy: P.Policy = P.DEFAULT, patterns=None, markers=None,
+    policy: P.Policy = P.DEFAULT, patterns=None, markers=None, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """root, path, parts, risk_rank, sources (by kind, line, marker, occurrence) of the files with findings; without walk,
-    of pruned and deep files as well."""
+    """root, path, parts, the columns of keep, risk_rank, sources (by kind, line, marker, occurrence) of the files with
+    findings; without walk, of pruned and deep files as well."""
     rows = scanned_files(contents, max_depth, policy) if walk else contents.withColumn("parts", P.parts("path")).withColumn("name", F.element_at("parts", -1))
-    rows = sources_of(rows, scan_content, patterns, markers).select("root", "path", "parts", "sources")
-    rows = rows.select("root", "path", "parts", F.filter("sources", lambda s: s.risk >= risk_rank(min_risk)).alias("sources")).where(F.size("sources") > 0)
-    return rows.select("root", "path", "parts", F.array_max(F.transform("sources", lambda s: s.risk)).alias("risk_rank"), F.array_sort("sources").alias("sources"))
+    own = ("root", "path", "parts", *keep)
+    rows = sources_of(rows, scan_content, patterns, markers).select(*own, "sources")
+    rows = rows.select(*own, F.filter("sources", lambda s: s.risk >= risk_rank(min_risk)).alias("sources")).where(F.size("sources") > 0)
+    return rows.select(*own, F.array_max(F.transform("sources", lambda s: s.risk)).alias("risk_rank"), F.array_sort("sources").alias("sources"))
 
 
 def file_secrets(contents: DataFrame, keep: tuple[str, ...] = (), max_depth: int = MAX_DEPTH, policy: P.Policy = P.DEFAULT, patterns=None, markers=None) -> DataFrame:

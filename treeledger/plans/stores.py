@@ -115,8 +115,7 @@ def run_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stages and stashed files of three runs: one is done twice, the second time with all files; one breaks off before its
     manifest."""
     store = own_folder(spark, "manifests")
-    c = written(corpus(spark, sf_dir), "contents")
-    plan = written(routing.stash_plan(c), "plan")
+    plan = written(routing.stash_plan(corpus(spark, sf_dir)), "plan")
     stages = routing.lifecycle_stages(R.stored_routes(spark, sf_dir), trash.trash_dirs(R.stored_entries(spark, sf_dir)))
     stages = written(stages, "stages")
     critical = plan.where("risk = 'Critical'")
