@@ -49,6 +49,18 @@ def test_running_repeats_equal_a_recomputation_after_every_batch(spark, tmp_path
     assert sorted(n.split("=")[0] for n in held) == ["base", "batch_id", "batch_id"]
 
 
+def test_paths_that_never_held_a_secret_end_at_the_first_stream(spark, tmp_path):
+    land, store, token = str(tmp_path / "land"), str(tmp_path / "store"), "ghp_zyxwvutsrqponmlk"
+    parts = [[("r", f"a{i}", 1, "clean") for i in range(50)] + [("r", f"s{i}", 1, token) for i in range(3)], [("r", "s0", 2, "clean"), ("r", "s1", 0, "late"), ("r", "a0", 0, token)]]
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, repeats.VERSIONS).write.parquet(f"{land}/part={n}")
+        repeats.advance(spark, land, store)
+    through = spark.read.schema(repeats.NEWEST).parquet(f"{store}/newest").select("path", "version", F.col("value_hash").isNotNull().alias("s"))
+    # a0 is told once it has held one, though the clean version is newer
+    assert sorted(map(tuple, through.collect())) == [("a0", 1, False), ("s0", 1, True), ("s0", 2, False), ("s1", 1, True), ("s1", 1, True), ("s2", 1, True)]
+    assert [x["count"] for x in repeats.running_repeats(spark, f"{store}/counts").collect()] == [2]
+
+
 def test_batches_write_only_what_they_touch(spark, tmp_path):
     land, store = str(tmp_path / "land"), str(tmp_path / "store")
     spark.createDataFrame([("r", f"a{i}", 0, "ghp_" + f"{i % 20:020d}") for i in range(60)], repeats.VERSIONS).write.parquet(f"{land}/part=0")

@@ -36,7 +36,7 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repeated secrets after each of three landings."""
     store, out = own_folder(spark, "repeats"), None
-    rows = written(_versions(spark, sf_dir), "landing")
+    rows = _versions(spark, sf_dir)
     for part in range(3):
         rows.where(F.col("part") == part).drop("part").write.parquet(f"{store}/landing/part={part}")
         batch = repeats.advance(spark, f"{store}/landing", store)

@@ -1,13 +1,16 @@
 """Repeated secrets over contents that keep landing, with work per batch in proportion to the batch.
 
-Two streams follow one another. The first keeps, for every path, the secret of its newest version in keyed state, and
-writes what changes: the old secret taken back (-1), the new one counted (+1). The second sums these changes by secret,
-also in keyed state, and writes the secrets that a batch has touched, in a folder a batch. The table of repeats is the last
-row of every secret; compact() folds the folders into one base.
-
-Both are exactly once: the first by the file sink's log, the second because a batch that is tried again replaces its own
-folder. A restart goes on after the last batch that was committed. A version that arrives late, after a newer one of its
-path, changes nothing, so the table doesn't hang on the order or the cut of batches.
+Three streams follow one another. The first keeps the newest version of every path, in the keyed state of a plain
+aggregate, and writes those that a batch has touched, of paths that hold a secret or ever held one: other paths, by far the
+most, end here. The second keeps, for each path that comes through, its secret as last told, and writes what changes: the
+old secret taken back (-1), the new one counted (+1). It calls a Python function for each of these paths. The third sums
+the changes by secret, also in keyed state, and writes the secrets that a batch has touched, in a folder a batch. The
+table of repeats is the last row of every secret; compact() folds the folders into one base.
+
+All are exactly once: the second by the file sink's log, the others because a batch that is tried again replaces its own
+folder, and a newest version that comes twice changes nothing. A restart goes on after the last batch that was committed.
+A version that arrives late, after a newer one of its path, changes nothing, so the table doesn't hang on the order or the
+cut of batches.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from treeledger.functions.rules import RISKS
 from treeledger.operators import secrets
 
 VERSIONS = "root string, path string, version long, text string"
+NEWEST = "root string, path string, version long, value_hash string, masked string, risk_rank int"
 DELTAS = "root string, value_hash string, masked string, risk_rank int, delta int"
 _STATE = "version long, value_hash string, masked string, risk_rank int"
 _COUNTS = "root string, value_hash string, masked string, " + ", ".join(f"n{i} long" for i in range(len(RISKS)))
@@ -36,14 +40,18 @@ def versions_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1
     return rows.withColumn("version", F.coalesce("version", F.unix_micros("_metadata.file_modification_time")))
 
 
+def _place(x: tuple) -> tuple:
+    return x[0], x[1] or "", -1 if x[3] is None else x[3]
+
+
 def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The changes that one path's new rows make. Of rows of one version the one with the greatest hash holds."""
+    """The changes that one path's new rows make. Of rows of one version the one with the greatest hash, then risk, holds."""
     old = state.get if state.exists else None
     new = old
     for rows in frames:
         for v, h, m, r in zip(rows["version"], rows["value_hash"], rows["masked"], rows["risk_rank"], strict=True):
             mine = (int(v), None, None, None) if h is None or pd.isna(h) else (int(v), h, m, int(r))
-            if new is None or (mine[0], mine[1] or "") > (new[0], new[1] or ""):
+            if new is None or _place(mine) > _place(new):
                 new = mine
     if new == old:
         return
@@ -56,13 +64,29 @@ def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         yield pd.DataFrame(rows, columns=["root", "value_hash", "masked", "risk_rank", "delta"]).astype({"risk_rank": "int32", "delta": "int32"})
 
 
-def changes_stream(versions: DataFrame, log: str, checkpoint: str, **options) -> DataStreamWriter:
-    """The changes of secrets by every batch, appended to log. options go to the scan (max_depth, policy, patterns,
-    markers). A null version counts as the oldest."""
+def _by_batch(rows: DataFrame, folder: str, columns: str, checkpoint: str) -> DataStreamWriter:
+    """What a batch of an aggregate has touched, in folder/batch_id=n."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.select(*[c.split()[0] for c in columns.split(", ")]).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+
+    return rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+
+
+def newest_stream(versions: DataFrame, log: str, checkpoint: str, **options) -> DataStreamWriter:
+    """The newest version of every path that a batch touches and that holds a secret or ever held one, written to
+    log/batch_id=n. options go to the scan (max_depth, policy, patterns, markers). A null version counts as the oldest."""
     rows = versions.withColumn("version", F.coalesce("version", F.lit(-(1 << 62)).cast("long")))
     found = secrets.file_secrets(rows, keep=("version",), **options)
-    found = found.withColumn("risk_rank", F.col("risk_rank").cast("int"))
-    changes = found.groupBy("root", "path").applyInPandasWithState(_changes, DELTAS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    x = F.struct("version", "value_hash", F.col("risk_rank").cast("int").alias("risk_rank"), "masked")
+    newest = found.groupBy("root", "path").agg(F.max(x).alias("x"), F.bool_or(F.col("value_hash").isNotNull()).alias("held"))
+    return _by_batch(newest.where("held").select("root", "path", "x.*"), log, NEWEST, checkpoint)
+
+
+def changes_stream(spark: SparkSession, newest: str, log: str, checkpoint: str, files_per_trigger: int = 1000) -> DataStreamWriter:
+    """The changes of secrets by every batch of newest versions, appended to log."""
+    rows = spark.readStream.schema(NEWEST).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).parquet(newest)
+    changes = rows.groupBy("root", "path").applyInPandasWithState(_changes, DELTAS, _STATE, "append", GroupStateTimeout.NoTimeout)
     return changes.writeStream.format("parquet").outputMode("append").option("path", log).option("checkpointLocation", checkpoint)
 
 
@@ -75,11 +99,7 @@ def counts_stream(spark: SparkSession, log: str, table: str, checkpoint: str, fi
     table/batch_id=n. The masked form hangs on the secret alone."""
     deltas = spark.readStream.schema(DELTAS).option("maxFilesPerTrigger", files_per_trigger).parquet(log)
     counts = deltas.groupBy("root", "value_hash").agg(F.max("masked").alias("masked"), *_counted(F.col("delta").cast("long")))
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.select(*[c.split()[0] for c in _COUNTS.split(", ")]).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-
-    return counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return _by_batch(counts, table, _COUNTS, checkpoint)
 
 
 def _folders(spark: SparkSession, table: str) -> dict[int, str]:
@@ -143,9 +163,12 @@ def compact(spark: SparkSession, table: str) -> None:
 
 def advance(spark: SparkSession, landing: str, store: str, **options) -> int | None:
     """Take up all that has landed since the last call (streams that run until nothing is left) and return the number of
-    the last batch. store holds the changes, the table and both checkpoints."""
-    first = changes_stream(versions_stream(spark, landing), f"{store}/changes", f"{store}/checkpoint/changes", **options)
-    first.trigger(availableNow=True).start().awaitTermination()
-    second = counts_stream(spark, f"{store}/changes", f"{store}/counts", f"{store}/checkpoint/counts")
-    second.trigger(availableNow=True).start().awaitTermination()
+    the last batch. store holds the newest versions, the changes, the table and the checkpoints."""
+    streams = (
+        lambda: newest_stream(versions_stream(spark, landing), f"{store}/newest", f"{store}/checkpoint/newest", **options),
+        lambda: changes_stream(spark, f"{store}/newest", f"{store}/changes", f"{store}/checkpoint/changes"),
+        lambda: counts_stream(spark, f"{store}/changes", f"{store}/counts", f"{store}/checkpoint/counts"),
+    )
+    for stream in streams:  # each reads what the one before has written
+        stream().trigger(availableNow=True).start().awaitTermination()
     return last_batch(spark, f"{store}/counts")
