@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -221,6 +222,52 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
         assert [p for x in t for p in token_records._PIECE.findall(x)] == [] or ["".join(token_records._PIECE.findall(x)) for x in t] == t
 
 
+def test_cuts_around_every_sign_of_the_basic_plane():
+    encoder = token_records.Encoder(PATH)
+    signs = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    texts = [f"a{c}.{c}1 {c}\n{c}'s{c} 's,{c}\t{c}\n {c}{c} {c}" for c in signs]
+    assert encoder.batch(texts) == encoder._raw(texts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r'.,\"-sStdmrevl7é×÷ßЖ漢　\u2003\u0301٣😀"), st.characters(exclude_categories=["Cs"])), max_size=80), max_size=5))
+@example(["it's 'sand ..'s 5's '5 a'", "x\n", "\ny", "", "\n\nz\n\n", "a\tb\r\nc  d \n e"])
+def test_cuts_by_kinds_give_the_ids_of_whole_texts(texts):
+    encoder = token_records.encoder_of(PATH)
+    for t in [texts, [*texts, "x <|endoftext|>y", *texts], [" ".join(texts), "\n".join(texts)]]:
+        assert encoder.batch(t) == encoder._raw(t)
+        for x in t:
+            # every cut of the pattern is one by kinds
+            cut = token_records.cuts(np.frombuffer(x.encode(), np.uint8))
+            ends = np.cumsum([0, *(len(p.encode()) for p in token_records._PIECE.findall(x))])[:-1]
+            assert x == "" or cut[ends].all()
+
+
+def test_a_piece_is_encoded_once_whatever_stands_around_it():
+    """Before, a word with other signs or with a line feed in it was another word: the tokenizer got ten times as much."""
+    encoder = token_records.Encoder(PATH)
+    seen, raw = [], encoder._raw
+    encoder._raw = lambda texts: (seen.extend(texts), raw(texts))[1]
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) + "ation" for i in range(400)]
+    texts = [" ".join(f"{w}{end}" for w in words) for end in ("", "***", ";;;;;", ",%%%", ".\nThe", "###", "7", "'s", "/", "-x")]
+    assert encoder.batch(texts) == raw(texts)
+    assert sum(map(len, seen)) < 2 * len(texts[0])
+
+
+def test_more_pieces_than_are_remembered(monkeypatch):
+    monkeypatch.setattr(token_records, "PIECES", 50)
+    encoder = token_records.Encoder(PATH)
+    rng = random.Random(5)
+    for _ in range(8):
+        texts = [" ".join(rng.choice(["a", "é" * 30, "xyz", str(rng.random())]) for _ in range(rng.randrange(40))) for _ in range(4)]
+        assert encoder.batch(texts) == encoder._raw(texts)
+        assert len(encoder.known) <= 50 and len(encoder.ends) == len(encoder.known) + 1
+        assert all(len(p) <= token_records.PIECE_BYTES for p in encoder.known)
+    sliced = pa.array(["no", "", *texts, "no"]).slice(1, 5)
+    assert encoder.encode(sliced) == encoder._raw(sliced.to_pylist())
+    assert encoder.batch([]) == [] and encoder.batch(["", ""]) == [b"", b""]
+
+
 def test_other_tokenizers_encode_whole_texts():
     encoder = token_records.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert not encoder.cut
