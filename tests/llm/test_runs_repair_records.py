@@ -256,6 +256,7 @@ def test_a_piece_is_encoded_once_whatever_stands_around_it():
 
 def test_more_pieces_than_are_remembered(monkeypatch):
     monkeypatch.setattr(token_records, "PIECES", 50)
+    monkeypatch.setattr(token_records, "AT_ONCE", 30)
     encoder = token_records.Encoder(PATH)
     rng = random.Random(5)
     for _ in range(8):

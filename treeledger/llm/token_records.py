@@ -50,8 +50,8 @@ END_ID = 0
 FILE_BYTES = 64 << 20
 #: Pieces that a process remembers, the longest that it does (in bytes), and those that are encoded as one text.
 PIECES, PIECE_BYTES, JOINED = 1_000_000, 40, 2000
-#: Bytes of text that are cut at once.
-SLICE = 4 << 20
+#: Bytes of text that are cut at once, if a text is no longer, and pieces that are looked up at once.
+SLICE, AT_ONCE = 4 << 20, 1 << 20
 _NULL = 0xFFFFFFFF
 _MASK = 0xA282EAD8
 INDEX = "file string, part int, roll int, position long, key string, offset long, length long, n_tokens long, before long"
@@ -226,13 +226,17 @@ class Encoder:
         cut[bounds[:-1][np.diff(bounds) > 0] - begin] = True
         starts = np.flatnonzero(cut)
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts + begin, end).astype(np.int32)), data])
-        pieces = pieces.dictionary_encode()
-        at = self._places(pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), bool(whole))[pieces.indices.to_numpy()]
-        sizes = np.diff(self.ends)[at]
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(self.ends[at] - stops[:-1], sizes) + np.arange(stops[-1])].tobytes()
+        counts, found = [], []
+        for k in range(0, len(starts), AT_ONCE):
+            some = pieces.slice(k, AT_ONCE).dictionary_encode()
+            at = self._places(some.dictionary.to_numpy(zero_copy_only=False).tolist(), bool(whole))[some.indices.to_numpy()]
+            sizes = np.diff(self.ends)[at]
+            shift = self.ends[at] - np.cumsum(sizes) + sizes
+            found.append(self.ids[np.repeat(shift, sizes) + np.arange(sizes.sum())].tobytes())
+            counts.append(sizes.astype(np.int32))
+            self._forget()
+        ids, stops = b"".join(found), np.cumsum(np.concatenate([[0], *counts]))
         rows = (stops[np.searchsorted(starts, bounds - begin)] * self.width).tolist()
-        self._forget()
         return list(map(ids.__getitem__, map(slice, rows, rows[1:])))
 
     def _places(self, pieces: list[bytes], whole: bool) -> np.ndarray:
